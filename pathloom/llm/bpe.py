@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 #: The code point of byte 0; bytes follow in order. None of the 256 is white space.
 FIRST_CODE_POINT = 0x100
@@ -141,6 +141,7 @@ def encode_decode(df: DataFrame, keys: list[str], text: str = "text", vocabulary
     The vocabulary file is read by the driver and goes to the workers in a broadcast of
     a few MB, whatever the size of the data.
     """
+    bounded_batches(df)
     tokens = read_ranks(vocabulary or default_vocabulary())
     shared = df.sparkSession.sparkContext.broadcast((tokens, serialise(tokens)))
     pattern = pattern or default_pattern()

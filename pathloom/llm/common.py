@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into one output batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes that a Python worker is sent at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,5 +85,9 @@ def slices(batches: Iterator[pa.RecordBatch], of: str, most: int = SLICE_BYTES)
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> None:
+    """Have the session send Python workers batches of at most `most` bytes (a longer row alone), whatever the rows' size; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(conf.get(key).removesuffix("b"))
+    if held <= 0 or held > most:
+        conf.set(key, f"{most}b")

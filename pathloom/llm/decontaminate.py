@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import bounded_batches, raw, slices
 
 #: Words of a window; bytes of benchmark text in one broadcast.
 WINDOW, BLOCK_BYTES = 10, 16 << 20
@@ -122,6 +122,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, keep: list[str], t
 
     clean_only: columns `keep` of the rows without a hit.
     """
+    bounded_batches(documents)
     sc = documents.sparkSession.sparkContext
     inner = [f"k{i}" for i in range(len(keep))]
     base = documents.select(*[F.col(k).alias(i) for k, i in zip(keep, inner, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 #: Standard deviation, in lines, and reach of the Gaussian; cores lie above this share of the ratios' deviation.
 SIGMA, REACH, SHARE = 1.0, 2, 0.5
@@ -217,6 +217,7 @@ def main_text(html: str | None) -> str:
 
 def extract(df: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """keys, text string (the main text) and n_chars long (its code points) of every row."""
+    bounded_batches(df)
     inner = [f"k{i}" for i in range(len(keys))]
     source = df.select(*[F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)], F.coalesce(F.col(html), F.lit("")).alias("t"))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw, slices, text_key, utf8_bytes
+from .common import bounded_batches, materialise, raw, slices, text_key, utf8_bytes
 
 #: Bytes of a string that must not repeat, of an initial bucket's names, and windows of a cell.
 LENGTH, Q, CELL = 400, 32, 24
@@ -155,6 +155,7 @@ class Removal(NamedTuple):
 
 def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", q: int = Q, width: int = CELL) -> Removal:
     """What the strings of `length` bytes that start more than once leave of every document."""
+    bounded_batches(documents)
     t = F.coalesce(F.col(text), F.lit(""))
     source = documents.select(F.col(doc_id).alias("doc_id"), utf8_bytes(F.col(text)).alias("n"), text_key(F.col(text)).alias("key"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("sha256"), F.when(utf8_bytes(F.col(text)) >= length, t).alias("t"))
     kind = dict(source.dtypes)["doc_id"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 #: Rows of a shard, queries of a block, rows of a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 4096, 128
@@ -131,6 +131,7 @@ def _search_block(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 def search(vectors: DataFrame, query_filter: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row that query_filter selects, among all rows but those of its own vec_id."""
+    bounded_batches(vectors)
     rows = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(embedding)).alias("vector"), F.coalesce(query_filter, F.lit(False)).alias("asks")).where("vector is not null")
     # a dimension that differs cannot be multiplied: the commonest one takes part (the larger, if two are as common)
     sizes = rows.groupBy(F.size("vector").alias("d")).count().agg(F.max_by("d", F.struct("count", "d")).alias("d"), F.sum("count").alias("n")).first()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import bounded_batches, held_out, slices
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -207,6 +207,7 @@ class Model:
 
 def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most `most` labelled documents that aren't held out, in the order of a hash of the id."""
+    bounded_batches(documents)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     # the broadcast is of `most` ids at the largest; texts aren't shuffled
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -224,6 +225,7 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) ->
 
 def score(documents: DataFrame, model: Model, keep: list[str], text: str = "text", below: float | None = None) -> DataFrame:
     """Columns `keep` and toxic_score of every row; with `below`, of the rows that score less, without toxic_score."""
+    bounded_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     inner = [f"k{i}" for i in range(len(keep))]
     source = documents.select(*[F.col(k).alias(i) for k, i in zip(keep, inner, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("t"))

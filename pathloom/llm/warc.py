@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8_bytes
+from .common import bounded_batches, materialise, slices, utf8_bytes
 
 #: Bytes of a block in one record, of a chunk of the transfer framing, and of an archive blob (one record more at most).
 SEGMENT, CHUNK, ARCHIVE = 64 << 10, 16 << 10, 2 << 20
@@ -103,6 +103,7 @@ def sha1_of(html: Column) -> Column:
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Archives of the pages: blob binary, written to the shared folder."""
+    bounded_batches(pages)
     body = F.coalesce(F.col(html), F.lit(""))
     pages = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("t"), sha1_of(body).alias("digest"))
     # which page answers for a payload: digests only, so that the html is dealt out once, for the join
