@@ -66,3 +66,14 @@ def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
     from ..functions.scoring import best, group
 
     return scored.withColumn("rank", best(group("query"), F.desc(score), F.col("doc"))).where(F.col("rank") <= k)
+
+
+def similarities(ix: Index, terms: DataFrame, queries: DataFrame, docs: DataFrame, b: float = 0.0, epsilon: float = 1e-8) -> DataFrame:
+    """query, doc and sim of every doc for every one of the stated queries: BM25 min-max normalised over all docs, those without a hit too. A query without terms has 0 everywhere."""
+    scored = scores(ix, terms, b)
+    n = docs.agg(F.count("*").alias("n"))
+    ends = scored.groupBy("query").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count("*").alias("hits")).crossJoin(F.broadcast(n))
+    zero = F.lit(0.0)
+    ends = ends.select("query", F.when(F.col("hits") < F.col("n"), F.least("low", zero)).otherwise(F.col("low")).alias("low"), F.when(F.col("hits") < F.col("n"), F.greatest("high", zero)).otherwise(F.col("high")).alias("high"))
+    every = docs.select("doc").crossJoin(F.broadcast(queries.select("query"))).join(scored, ["query", "doc"], "left").join(F.broadcast(ends), "query", "left")
+    return every.select("query", "doc", F.coalesce((F.coalesce("bm25", zero) - F.col("low")) / (F.col("high") - F.col("low") + epsilon), zero).alias("sim"))

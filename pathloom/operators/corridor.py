@@ -18,8 +18,13 @@ LADDER = (150, 300, 500, 1000)
 
 
 def top_nodes(scores: DataFrame, k: int) -> DataFrame:
-    """pair, node, score and place (1 first; ties to the smaller node) of the k best nodes of each pair."""
-    return scores.withColumn("place", best(group("pair"), F.desc("score"), F.col("node"))).where(F.col("place") <= k)
+    """pair, node, score and place (1 first) of the k best nodes of each pair.
+
+    Scores that agree in their logarithm's first nine decimals tie, to the smaller node: nodes in equal
+    positions have equal scores but for the order in which sums were taken.
+    """
+    order = F.round(F.log("score"), 9).desc_nulls_last()
+    return scores.withColumn("place", best(group("pair"), order, F.col("node"))).where(F.col("place") <= k)
 
 
 def ladder_nodes(scores: DataFrame, pairs: DataFrame, ladder: tuple[int, ...] = LADDER) -> DataFrame:

@@ -33,6 +33,7 @@ def enumerate_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS
     """pair, topic, answer, hop, nodes, rels and cost of every simple path of 1 to max_hops hops.
 
     edges: pair, u, v, rel_id, cost, one for each (pair, u, v). pairs: pair, topic, answer; equal ends have no path.
+    Costs are rounded to nine decimals, so that a path costs the same in whatever order it was summed.
     """
     steps = durable(both_ends(edges), "steps")
     no_rels, no_cost = F.array().cast("array<int>"), F.lit(0.0)
@@ -55,7 +56,7 @@ def enumerate_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS
             met = left.join(right, ["pair", "node"]).where(F.size(F.array_intersect("fn", "bn")) == 1)
             back = F.reverse(F.col("bn"))
             complete = met.select("pair", "topic", "answer", F.concat("fn", F.slice(back, F.lit(2), F.size("bn") - 1)).alias("nodes"), F.concat("fr", F.reverse(F.col("br"))).alias("rels"), (F.col("fc") + F.col("bc")).alias("cost"))
-        complete = complete.select("pair", "topic", "answer", F.lit(h).alias("hop"), "nodes", "rels", "cost")
+        complete = complete.select("pair", "topic", "answer", F.lit(h).alias("hop"), "nodes", "rels", F.round("cost", 9).alias("cost"))
         found = complete if found is None else found.unionByName(complete)
     return found
 

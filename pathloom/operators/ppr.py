@@ -73,6 +73,6 @@ def product(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def rank_product(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """As product(), of the reciprocal places instead of the ranks (1 is the highest; ties to the smaller node)."""
-    placed = ranks.withColumn("pi", F.lit(1.0) / best(group("run"), F.desc("pi"), F.col("node")))
+    """As product(), of the reciprocal places instead of the ranks (1 is the highest; ties, to nine decimals of the logarithm, to the smaller node)."""
+    placed = ranks.withColumn("pi", F.lit(1.0) / best(group("run"), F.round(F.log("pi"), 9).desc(), F.col("node")))
     return product(pairs, placed)

@@ -1,3 +1,701 @@
-"""Queries of the reference's operators over the driver's tables, with their SQL."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries of the engine's operators over the driver's tables; their SQL is in oracles.py."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scoring
+from ..functions import text as T
+from ..operators import beam, bm25, corridor, evaluate, generate, linking, match, metapath, pairs, paths, ppr, weights
+from ..sources import jsonl, kg
+from ..sources.durable import durable, shared_dir
+from .oracles import ORACLES
+from .setting import Graph, matching, rounded, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
+
+
+def joined(c: str | Column, by: str = ",") -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), by)
+
+
+# ---- Graph -----------------------------------------------------------------------------------------------------
+
+
+@query
+def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(spark, sf_dir).nodes.select("node_id", "name", "type")
+
+
+@query
+def kg_edges_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(spark, sf_dir).edges
+
+
+@query
+def kg_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.degrees(Graph(spark, sf_dir).edges)
+
+
+@query
+def kg_node_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.node_relations(Graph(spark, sf_dir).edges).select("node", joined("relations").alias("relations"))
+
+
+@query
+def kg_rel_target_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.relation_target_types(Graph(spark, sf_dir).steps).select("node", "relation", joined("types").alias("types"))
+
+
+@query
+def kg_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    store = kg.Store(spark, f"{shared_dir(spark)}/store-{abs(hash(sf_dir))}").ensure(g.nodes, g.edges.toDF("src", "dst", "rel_id"), g.relations, kg.COMMERCE_FIELDS)
+    named = store.read("edges").join(store.read("relations").select("rel_id", "relation"), "rel_id")
+    return named.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("u").alias("us"), F.countDistinct("v").alias("vs"))
+
+
+@query
+def neighbors_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    frontier = g.nodes.where("type = 'nation'").select(F.col("node_id").alias("node"))
+    return g.steps.join(frontier, "node", "left_semi").groupBy("node", "relation", "other_type").agg(F.count("*").alias("n"), F.min("other").alias("first"), F.max("other").alias("last"))
+
+
+@query
+def node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = Graph(spark, sf_dir).nodes
+    return nodes.select("node_id", kg.node_text(kg.shown_name("name", F.col("node_id")), kg.described("type", "details", kg.COMMERCE_FIELDS)).alias("text"))
+
+
+@query
+def desc_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(spark, sf_dir).nodes.select("node_id", kg.described_cumulatively("type", "details", kg.COMMERCE_FIELDS).alias("description"))
+
+
+@query
+def desc_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has = kg.described("type", "details", kg.COMMERCE_FIELDS) != ""
+    counted = Graph(spark, sf_dir).nodes.groupBy("type").agg(F.count("*").alias("nodes"), F.count_if(has).alias("described"))
+    return counted.select("*", rounded(F.lit(100.0) * F.col("described") / F.col("nodes")).alias("percent"))
+
+
+# ---- Metapaths ---------------------------------------------------------------------------------------------------
+
+
+def _answers(spark: SparkSession, sf_dir: str, notation: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    return metapath.answers(metapath.parse(notation)[0], g.nodes, g.steps)
+
+
+@query
+def metapath_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, "(customer → [lives_in] → nation)")
+
+
+@query
+def metapath_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, "(customer → [lives_in] → nation → [in_region] → region)")
+
+
+@query
+def metapath_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, "(region → [in_region] → nation → [based_in] → supplier → [shipped_by] → order)")
+
+
+@query
+def metapath_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    chain = metapath.parse("(customer → [placed] → order → [contains] → part → [has_brand] → brand)")[0]
+    return metapath.exists(chain, g.nodes.where("type = 'customer'").select(F.col("node_id").alias("topic")), g.nodes, g.steps)
+
+
+@query
+def metapath_two_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, "(region → [in_region] → nation → [lives_in] → customer ← [in_segment] ← segment)")
+
+
+@query
+def metapath_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    return metapath.compound(metapath.parse("(customer → [lives_in] → nation) & (customer → [placed] → order → [shipped_by] → supplier → [based_in] → nation)"), g.nodes, g.steps)
+
+
+#: Patterns of the beam queries: number, types, relations.
+PATTERNS = [(0, ["region", "nation", "customer", "order"], ["in_region", "lives_in", "placed"]), (1, ["region", "nation", "supplier", "order"], ["in_region", "based_in", "shipped_by"]), (2, ["region", "nation", "part"], ["in_region", "supplied_by"]), (3, ["nation", "customer"], ["lives_in"])]
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PATTERNS, "pattern int, types array<string>, relations array<string>")
+
+
+@query
+def pattern_traversable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    topics = g.nodes.where("type in ('region', 'nation')").select(F.col("node_id").alias("topic"))
+    return metapath.traversable(topics, _patterns(spark), g.nodes, g.steps)
+
+
+# ---- Text retrieval ------------------------------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[bm25.Index, DataFrame]:
+    ix = bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ix, bm25.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query
+def bm25_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir)[0].lexicon.select("term", "df", rounded("idf").alias("idf"))
+
+
+@query
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.scores(*_documents(spark, sf_dir)).select("query", "doc", rounded("bm25").alias("bm25"))
+
+
+@query
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = bm25.scores(*_documents(spark, sf_dir)).withColumn("bm25", rounded("bm25"))
+    return bm25.top(scored, 5).select("query", "rank", "doc", "bm25")
+
+
+@query
+def bm25_default_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = T.space_tokens
+    ix = bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text", tokens)
+    scored = bm25.scores(ix, bm25.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", tokens), b=0.75).withColumn("bm25", rounded("bm25"))
+    return bm25.top(scored, 5).select("query", "rank", "doc", "bm25")
+
+
+@query
+def bm25_relation_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    docs = g.relations.select(F.col("rel_id").alias("doc"), F.concat_ws(" ", F.replace("relation", F.lit("_"), F.lit(" ")), "description").alias("text"))
+    sims = bm25.similarities(bm25.index(docs, "doc", "text"), bm25.query_terms(g.queries, "query", "text"), g.queries, docs)
+    return sims.select("query", F.col("doc").alias("rel_id"), rounded("sim").alias("sim"))
+
+
+@query
+def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of each document that scores best by BM25 against the document's first words' question: its language and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("asked"), T.sentences("text").alias("s"))
+    flat = docs.select("doc_id", F.posexplode("s").alias("pos", "sentence")).withColumn("words", F.size(T.whitespace_tokens("sentence")))
+    # the longest sentence, the first among equals
+    return flat.groupBy("doc_id").agg(F.max_by("sentence", F.struct("words", -F.col("pos"))).alias("sentence"), F.max("words").alias("words"), F.count("*").alias("sentences"))
+
+
+@query
+def norm_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = scoring.group("event_type")
+    return table(spark, sf_dir, "events").select("event_id", rounded(scoring.min_max(F.col("value"), own)).alias("x"))
+
+
+@query
+def norm_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", rounded(scoring.max_norm(F.col("value"), scoring.group("user_id"))).alias("x"))
+
+
+@query
+def norm_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", rounded(scoring.sum_norm(F.col("value"), scoring.group("user_id"))).alias("x"))
+
+
+@query
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = matching(spark, sf_dir).withColumn("dense", rounded("dense"))
+    return ranked.withColumn("rank", scoring.best(scoring.group("test"), F.desc("dense"), F.col("train"))).where("rank <= 3").select("test", "rank", "train", "dense")
+
+
+@query
+def hybrid_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
+    return match.top_trains(scored).select("test", "rank", "data_id", "hybrid")
+
+
+@query
+def hybrid_match_per_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
+    return match.best_per_hop(scored).select("test", "hop", "train", "hybrid")
+
+
+def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bank of paths: each order's customer by segment, and its lines by part type, as typed paths of two or three hops."""
+    orders, lines, part, customer = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part", "customer"))
+    items = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    hop = F.when(F.col("l_linenumber") > 4, 3).otherwise(F.when(F.col("l_linenumber") > 1, 2).otherwise(1))
+    types = F.array(F.col("c_mktsegment"), F.col("o_orderstatus"), F.col("p_type"), F.col("p_brand"))
+    rels = F.array(F.col("o_orderpriority"), F.col("l_returnflag"), F.col("l_linestatus"))
+    return items.select((F.col("o_custkey") % 500).alias("data_id"), hop.alias("hop"), F.slice(types, F.lit(1), hop + 1).alias("types"), F.slice(rels, F.lit(1), hop).alias("relations"))
+
+
+def _matched_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
+    matched = match.top_trains(scored).select("test", "data_id", F.lit(None).cast("string").alias("answer_type"))
+    return match.patterns_of(matched, _bank(spark, sf_dir))
+
+
+@query
+def match_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched_patterns(spark, sf_dir).select("test", "hop", joined("types", ">").alias("types"), joined("relations", ">").alias("relations"), "n")
+
+
+@query
+def hash_sample_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.capped(_matched_patterns(spark, sf_dir)).select("test", "hop", joined("types", ">").alias("types"), joined("relations", ">").alias("relations"))
+
+
+@query
+def commonest_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.commonest_hop(_matched_patterns(spark, sf_dir))
+
+
+# ---- Weights, ranks, corridors, paths --------------------------------------------------------------------------------
+
+
+@query
+def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(spark, sf_dir).weighted().groupBy("query", "rel_id", rounded("weight").alias("weight")).agg(F.count("*").alias("edges"))
+
+
+@query
+def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    top = scoring.max_norm(F.col("degree").cast("double"), scoring.group("one"))
+    p = kg.degrees(g.edges).withColumn("one", F.lit(1)).groupBy("one").agg(F.max("degree").cast("double").alias("top"))
+    del top
+    shares = kg.degrees(g.edges).crossJoin(F.broadcast(p)).select("node", (F.col("degree") / (F.col("top") + scoring.EPSILON)).alias("p"))
+    w = weights.best_edges(g.weighted(), "query").join(shares.toDF("u", "p_u"), "u").join(shares.toDF("v", "p_v"), "v")
+    mean = (F.col("p_u") + F.col("p_v")) / 2
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.round(weights.cost(m, F.col("weight"), mean), 4).alias("cost")) for m in ("edge_weight", "ppr_only", "ppr_mix")])
+    return w.select("query", F.inline(modes)).groupBy("query", "mode", "cost").agg(F.count("*").alias("edges"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame, DataFrame]:
+    g = Graph(spark, sf_dir)
+    runs, ranks = g.ranks(durable(weights.best_edges(g.weighted(), "query"), "weights"))
+    return g, runs, ranks
+
+
+@query
+def ppr_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir)[2].select("run", "node", rounded(F.log("pi")).alias("log_pi"))
+
+
+@query
+def ppr_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, runs, ranks = _ranked(spark, sf_dir)
+    return ppr.product(runs, durable(ranks, "ranks")).select("pair", "node", rounded(F.log("score")).alias("log_score"))
+
+
+@query
+def ppr_rank_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, runs, ranks = _ranked(spark, sf_dir)
+    return ppr.rank_product(runs, durable(ranks, "ranks")).select("pair", "node", rounded(F.log("score")).alias("log_score"))
+
+
+@query
+def ppr_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    weighted = durable(weights.best_edges(g.weighted(), "query"), "weights")
+    steps = durable(ppr.transitions(kg.both_ways(weighted, "query", "weight").select("query", "node", "other", "weight"), "query"), "steps")
+    degree = durable(kg.degrees(g.edges), "degree")
+    seeds = None
+    for name in ("uniform", "degree_inv", "degree_proportional"):
+        own = ppr.multi_seed(g.pairs, degree, name).select(F.concat(F.lit(f"{name}-"), F.col("run")).alias("run"), F.col("run").alias("query"), "node", "reset")
+        seeds = own if seeds is None else seeds.unionByName(own)
+    return ppr.rank(seeds, steps, ("query",)).select("run", "node", rounded(F.log("pi")).alias("log_pi"))
+
+
+@query
+def corridor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, runs, ranks = _ranked(spark, sf_dir)
+    return corridor.top_nodes(ppr.product(runs, durable(ranks, "ranks")), 150).select("pair", "node", "place")
+
+
+@query
+def corridor_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    widths, inside, edges = Graph(spark, sf_dir).corridors()
+    n, e = inside.groupBy("pair").agg(F.count("*").alias("nodes")), edges.groupBy("pair").agg(F.count("*").alias("edges"))
+    return widths.join(n, "pair", "left").join(e, "pair", "left").select("pair", "topic", "answer", "width", "nodes", "edges")
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("pair", "hop", "rank", joined("nodes", ">").alias("nodes"), joined("rels", ">").alias("rels"), rounded("cost").alias("cost"))
+
+
+@query
+def ksp_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(paths.cheapest(Graph(spark, sf_dir).corridor_paths(), 5))
+
+
+@query
+def ksp_by_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths(), 5))
+
+
+@query
+def ksp_dedup_type_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("edge_weight"), 5, "type_sig"))
+
+
+@query
+def ksp_dedup_first_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("ppr_only"), 5, "first_type"))
+
+
+@query
+def ksp_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths over the whole graph, as for pairs whose corridor never connects; three hops."""
+    g = Graph(spark, sf_dir)
+    best = durable(weights.best_edges(g.weighted(), "query"), "weights")
+    edges = best.select(F.col("query").alias("pair"), "u", "v", "rel_id", weights.cost("edge_weight", F.col("weight")).alias("cost"))
+    return _shown(paths.cheapest(paths.enumerate_paths(g.pairs, edges, 3), 5))
+
+
+@query
+def path_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    chain = metapath.instances(metapath.parse("(region → [in_region] → nation → [based_in] → supplier)")[0], g.nodes, g.steps)
+    names = g.nodes.select("node_id", "name")
+    for i in range(3):
+        chain = chain.join(names.toDF(f"n{i}", f"name{i}"), f"n{i}")
+    return chain.select("n2", F.array("name0", "name1", "name2").alias("names"), F.array(F.lit("in_region"), F.lit("based_in")).alias("rels")).select("n2", paths.shown("names", "rels").alias("shown"))
+
+
+# ---- Beam search -----------------------------------------------------------------------------------------------------
+
+
+def _raw_entity(candidates: DataFrame) -> DataFrame:
+    """A stand-in scorer that any engine can compute: a number from question and entity."""
+    number = F.regexp_extract("question", r"^(\d+)", 1).cast("long")
+    return candidates.withColumn("raw", F.pmod(F.col("entity") % 1_000_003 * 7919 + number * 31 + F.length("relation") * 17, F.lit(1000)) / F.lit(1000.0))
+
+
+def _raw_relation(relations: DataFrame) -> DataFrame:
+    return relations.withColumn("raw", F.pmod(F.length("relation") * 37 + F.col("question").cast("long") * 11, F.lit(10)) / F.lit(10.0))
+
+
+def _questions(g: Graph) -> DataFrame:
+    return g.regions.select(F.col("r_regionkey").cast("string").alias("question"), F.col("r_regionkey").cast("long").alias("topic"))
+
+
+def _guided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = Graph(spark, sf_dir)
+    asked = _questions(g).crossJoin(F.broadcast(_patterns(spark).where("pattern < 3").withColumnRenamed("pattern", "path")))
+    return asked, beam.run_pattern(asked, g.steps, g.named_relations, _raw_entity)
+
+
+@query
+def beam_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guided(spark, sf_dir)[1].withColumn("score", rounded("score"))
+
+
+@query
+def beam_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, triples = _guided(spark, sf_dir)
+    return beam.succeeded(triples, asked).select("question", "path", "success")
+
+
+@query
+def beam_explored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beam.explored(_guided(spark, sf_dir)[1]).withColumn("score", rounded("score"))
+
+
+@query
+def beam_distinct_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beam.distinct_triples(_guided(spark, sf_dir)[1])
+
+
+@query
+def beam_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    return beam.explore(_questions(g), g.steps, _raw_relation, _raw_entity, depth=2).withColumn("score", rounded("score"))
+
+
+def _nation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question (a nation), relation, parent, entity and other_type of everything around the nations."""
+    g = Graph(spark, sf_dir)
+    around = g.steps.join(g.nodes.where("type = 'nation'").select(F.col("node_id").alias("node")), "node", "left_semi")
+    return around.select((F.col("node") % kg.STRIDE).cast("string").alias("question"), "relation", F.col("node").alias("parent"), F.col("other").alias("entity"), "other_type")
+
+
+@query
+def beam_keep_if_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = beam.keep_if_any(_nation_candidates(spark, sf_dir), F.col("other_type") == "supplier", "question")
+    return kept.groupBy("question", "other_type").agg(F.count("*").alias("n"))
+
+
+@query
+def beam_next_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = Graph(spark, sf_dir).named_relations
+    kept = beam.leading_on(_nation_candidates(spark, sf_dir).withColumn("next", F.lit("shipped_by")), named, "next", "question", "relation")
+    return kept.groupBy("question", "relation").agg(F.count("*").alias("n"))
+
+
+@query
+def beam_grouped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = beam.grouped_scores(_raw_entity(_nation_candidates(spark, sf_dir)).withColumn("relation_score", F.lit(0.5)))
+    return scored.select("question", "relation", "entity", rounded("score").alias("score"))
+
+
+@query
+def beam_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _raw_entity(_nation_candidates(spark, sf_dir)).withColumn("score", F.floor(F.col("raw") * 10) / 10).withColumn("ord", F.col("entity"))
+    return beam.prune(scored, 3).select("question", "rank", "entity", "score")
+
+
+@query
+def beam_parent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = beam.parent_scores(_raw_entity(_nation_candidates(spark, sf_dir)).withColumn("parent_score", F.lit(0.25)))
+    return scored.select("question", "relation", "entity", rounded("score").alias("score"))
+
+
+@query
+def beam_relation_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    some = g.named_relations.join(g.nodes.where("type in ('order', 'supplier')").select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("node").cast("string").alias("question"), "relation")
+    raw = some.withColumn("raw", F.pmod(F.length("relation") * 37 + F.col("question").cast("long") % 1000 * 11, F.lit(10)) / F.lit(10.0))
+    return beam.relation_choice(raw, 2).select("question", "relation", rounded("score").alias("score"))
+
+
+@query
+def beam_down_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beam.down_sample(_raw_entity(_nation_candidates(spark, sf_dir))).select("question", "relation", "entity")
+
+
+@query
+def beam_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    pairs_ = g.steps.where("relation = 'shipped_by' and other_type = 'supplier'").select(F.lit("all").alias("question"), F.col("other").alias("entity"), F.col("node").alias("source"), F.col("node").alias("ord"))
+    return beam.first_source(pairs_)
+
+
+@query
+def beam_advance_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    states = customers.select(F.col("c_nationkey").cast("string").alias("question"), F.col("c_custkey").alias("origin"), (F.col("c_custkey") % 3).cast("int").alias("current_hop"), F.lit(2).alias("total_hops"))
+    alive = orders.where("o_orderstatus = 'F'").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("question"), F.col("o_custkey").alias("origin"))
+    return beam.advance(states, alive)
+
+
+@query
+def path_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, supplier, region = (table(spark, sf_dir, n) for n in ("nation", "supplier", "region"))
+    one = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("q").alias("question"), F.col("r_name").alias("source"), F.lit("in_region").alias("relation"), F.col("n_name").alias("target"))
+    rich = supplier.where("s_acctbal > 5000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("q").alias("question"), F.lower("n_name").alias("source"), F.lit("based_in").alias("relation"), F.col("s_name").alias("target"))
+    return beam.assembled([one, rich]).select(F.array_join(F.transform("path", lambda t: F.concat_ws("|", t["source"], t["relation"], t["target"])), " / ").alias("path"))
+
+
+# ---- Responses and evaluation ------------------------------------------------------------------------------------------
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn and a response made from a turn's whole text: braced, with a verdict before it in every other turn."""
+    verdict = F.when(F.col("turn") % 2 == 1, F.lit("{ Yes }. The answer is {")).when(F.col("turn") == 0, F.lit("no braces } here {")).otherwise(F.lit("So {"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(verdict, F.coalesce("text", F.lit("")), F.lit("} indeed")).alias("response"))
+
+
+@query
+def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _responses(spark, sf_dir)
+    said = r.select("conv_id", "turn", T.final_answer("response").alias("final"), T.reasoning_answer("response").alias("reasoned"))
+    return said.select("*", T.says_yes("reasoned").alias("yes"), T.normal("final").alias("normal"))
+
+
+@query
+def em_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _responses(spark, sf_dir).crossJoin(F.broadcast(table(spark, sf_dir, "region").select(F.substring("r_name", 1, 2).alias("name"))))
+    return r.select("conv_id", "turn", "name", T.answer_matches(T.final_answer("response"), "name").alias("matches"))
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("data_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("num_hops"), F.array("lang", "source").alias("names"))
+
+
+@query
+def em_per_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _responses(spark, sf_dir).select(F.col("conv_id").cast("string").alias("data_id"), F.col("response").alias("results"))
+    return evaluate.by_hop(evaluate.judged(results, _gold(spark, sf_dir))).select(F.coalesce("num_hops", F.lit(0)).alias("num_hops"), "correct", "total", rounded("percent").alias("percent"))
+
+
+@query
+def valid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = Graph(spark, sf_dir).nodes
+    orders = table(spark, sf_dir, "orders")
+    brand = F.struct(F.lit(1).cast("long").alias("id"), F.col("o_orderpriority").alias("name"), F.lit("brand").alias("type"))
+    gold = orders.select(
+        F.col("o_orderkey").cast("string").alias("data_id"), F.lit(1).alias("num_hops"), brand.alias("answer_entity"), F.array(F.col("o_custkey") + 2 * kg.STRIDE).alias("answer_ids"),
+        F.when(F.col("o_orderstatus") == "F", F.array(F.col("o_custkey") + 9 * kg.STRIDE)).when(F.col("o_orderstatus") == "P", F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("valid_answer_ids"),
+    )
+    return evaluate.valid_names(gold, nodes).select("data_id", F.array_join(F.array_sort("names"), "|").alias("names"))
+
+
+# ---- Parsers of model responses ------------------------------------------------------------------------------------------
+
+
+@query
+def score_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(", ", F.format_string("%.2f", "l_discount"), F.format_string("%.2f", "l_tax"), F.col("l_linenumber").cast("string")).alias("response"), (F.col("l_linenumber") % 3 + 1).alias("n"))
+    return lines.select("l_orderkey", "l_linenumber", "n", F.array_join(F.transform(T.score_list("response", F.col("n")), lambda x: F.format_string("%.4f", x)), " ").alias("scores"))
+
+
+@query
+def relation_score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.array(*[F.lit(r) for r, _ in kg.RELATIONS])
+    orders = table(spark, sf_dir, "orders")
+    response = F.concat(F.lit("1. {placed (Score: 0."), F.col("o_orderkey") % 10, F.lit(")}: x 2. { bogus (Score: 0.1)}: y 3. {contains; (Score: 0.2)} 4. {has_brand (Score: "), F.col("o_custkey") % 7, F.lit(")}"))
+    found = orders.select("o_orderkey", T.relation_scores(F.when(F.col("o_orderstatus") == "F", F.lit("nothing")).otherwise(response), known).alias("r"))
+    return found.select("o_orderkey", F.array_join(F.transform("r", lambda x: F.concat(x["relation"], F.lit("="), F.format_string("%.1f", x["score"]))), " ").alias("scores"))
+
+
+@query
+def json_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    response = F.concat(F.lit('names: ["'), F.col("p_name"), F.lit('", "'), F.col("p_brand"), F.when(F.col("p_size") > 10, F.lit('"] and [1]')).otherwise(F.lit('" and no more')))
+    return part.select("p_partkey", F.array_join(T.json_list(response), "|").alias("names"))
+
+
+@query
+def subquery_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    response = F.concat(F.lit('Sure: {"subquery": " '), F.col("p_name"), F.lit(' ", "target_type": "'), F.when(F.col("p_size") > 40, F.lit("")).otherwise(F.col("p_type")), F.when(F.col("p_size") > 10, F.lit('"} done')).otherwise(F.lit('" done')))
+    found = part.select("p_partkey", T.subquery(response).alias("s"))
+    return found.select("p_partkey", "s.subquery", "s.target_type")
+
+
+@query
+def strip_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    question = F.concat(F.lit("Which brand has "), F.col("p_name"), F.when(F.col("p_size") > 10, F.concat(F.lit("?\nA: "), F.col("p_brand"), F.lit("\nB: x\nC: y\nD: z"))).otherwise(F.lit("?\nA: one\nB: two")))
+    return part.select("p_partkey", T.without_choices(question).alias("question"))
+
+
+@query
+def type_and_hop_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    response = F.concat(F.lit("I think "), F.col("p_size").cast("string"), F.lit(" hops; a "), F.when(F.col("p_type") == "SMALL", F.lit("Gene/Protein or drug")).when(F.col("p_type") == "ECONOMY", F.lit("PATHWAY")).otherwise(F.lit("thing")))
+    names = F.array(F.lit("Thing"), F.lit("gene"), F.lit("pathway"))
+    return part.select("p_partkey", T.answer_type(response).alias("type"), T.first_hop(response, F.array(F.lit(1), F.lit(2), F.lit(3))).alias("hop"), T.first_mentioned(response, names).alias("mentioned"))
+
+
+@query
+def tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"unicode": T.unicode_tokens, "ascii": T.ascii_tokens, "space": T.space_tokens, "white": T.whitespace_tokens, "sentence": T.sentences}
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(F.array_join(f("text"), "|")).alias(k) for k, f in kinds.items()])
+
+
+@query
+def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = table(spark, sf_dir, "documents").select("doc_id", T.chunks("text").alias("c"))
+    return cut.select("doc_id", F.size("c").alias("chunks"), F.aggregate("c", F.lit(0), lambda a, x: F.greatest(a, F.length(x))).alias("longest"), F.md5(F.array_join("c", "|")).alias("text"))
+
+
+# ---- Linking, records, files -------------------------------------------------------------------------------------------
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, region, customer = (table(spark, sf_dir, n) for n in ("part", "region", "customer"))
+    some = region.select(F.concat(F.lit(" "), F.lower("r_name")).alias("mention")).union(part.select(F.lower("p_type"))).union(part.select("p_brand")).union(part.select(F.concat(F.lit("big "), F.col("p_name")))).union(customer.select(F.concat("c_mktsegment", F.lit(" goods"))))
+    return some.distinct()
+
+
+@query
+def name_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.exact(_mentions(spark, sf_dir), Graph(spark, sf_dir).nodes)
+
+
+@query
+def substring_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.contained(_mentions(spark, sf_dir), Graph(spark, sf_dir).nodes)
+
+
+@query
+def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.link(_mentions(spark, sf_dir), Graph(spark, sf_dir).nodes).select("mention", "node_id", "stage", "place")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of orders: the customer is the topic (with a stray topic that is no node), its parts the answers."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    answers = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey") + 4 * kg.STRIDE)).alias("answer_ids"))
+    topic = (F.col("o_custkey") + 2 * kg.STRIDE).cast("string")
+    topics = F.when(F.col("o_orderstatus") == "P", F.map_from_arrays(F.array(topic, F.lit("x")), F.array(F.lit(""), F.lit("no node")))).otherwise(F.map_from_arrays(F.array(topic), F.array(F.concat(F.lit("given "), F.col("o_custkey")))))
+    entity = F.when(F.col("o_orderstatus") == "F", F.struct((F.col("o_orderkey") + 5 * kg.STRIDE).alias("id"), F.lit("an order").alias("name"), F.lit("order").alias("type")))
+    path = F.array((F.col("o_custkey") + 2 * kg.STRIDE), (F.col("o_orderkey") + 5 * kg.STRIDE), F.get("answer_ids", F.lit(0)))
+    return orders.join(answers, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
+        F.col("o_orderkey").cast("string").alias("data_id"), F.when(F.col("o_orderstatus") != "O", F.lit("asked")).alias("query"), F.lit("explicit").alias("explicit_query"),
+        topics.alias("topic_entities"), entity.alias("answer_entity"), "answer_ids", F.lit(2).alias("num_hops"), F.when(F.col("answer_ids").isNotNull(), path).alias("path_node_ids"),
+    )
+
+
+@query
+def record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairs(_records(spark, sf_dir), Graph(spark, sf_dir).nodes).select("data_id", "query", "topic", "answer", "topic_name", "topic_type", "role")
+
+
+@query
+def record_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir)
+    chains = pairs.chain_pairs(records)
+    triples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("data_id"), F.lit(0).alias("pos"), (F.col("o_orderkey") + 5 * kg.STRIDE).alias("source"), F.lit("placed").alias("relation"), (F.col("o_custkey") + 2 * kg.STRIDE).alias("target"))
+    return pairs.subpath_relations(chains, triples).select("data_id", "role", joined("relations", ">").alias("relations"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("data_id"), F.col("event_id").alias("_line"), F.col("event_type").alias("results"))
+
+
+@query
+def keyed_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.last_of_each(_results(spark, sf_dir), "data_id").select("data_id", "results")
+
+
+@query
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    todo = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("data_id"), F.array(F.col("c_custkey"), F.col("c_nationkey").cast("long")).alias("path_node_ids"))
+    done = _results(spark, sf_dir).select(F.when(F.col("results") != "error", F.col("data_id")).alias("data_id"), F.when(F.col("results") == "error", F.array(F.col("data_id").cast("long"), F.lit(3).cast("long"))).alias("path_node_ids"))
+    return jsonl.remaining(todo, done).select("data_id")
+
+
+@query
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    jsonl.write(_records(spark, sf_dir), path)
+    spark.createDataFrame([("{broken",), ("",), ("[1]",)], "value string").coalesce(1).write.mode("append").text(path)
+    back = jsonl.questions(spark, path).where("data_id is not null")
+    return back.select("data_id", "query", F.array_join(F.array_sort(F.map_keys("topic_entities")), ",").alias("topics"), F.col("answer_entity.name").alias("answer"), joined("answer_ids").alias("answers"), "num_hops")
+
+
+@query
+def generated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of each nation's suppliers from a stand-in for a language model, read back from its response."""
+    g = Graph(spark, sf_dir)
+    groups = g.steps.where("relation = 'based_in' and other_type = 'supplier'").join(g.nodes.select(F.col("node_id").alias("other"), "name"), "other").groupBy("node").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    asked = groups.withColumn("prompt", generate.score_prompt(F.lit("which supplier#000000003"), F.lit("based_in"), F.col("names"))).withColumn("dense", F.array_repeat(F.lit(1.0) / F.size("names"), F.size("names")))
+    said = generate.generate(asked, generate.echo_generator)
+    return said.select("node", F.size("names").alias("suppliers"), F.array_join(F.transform(generate.entity_shares(F.col("response"), F.col("dense")), lambda x: F.format_string("%.3f", x)), " ").alias("shares"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ksp_by_hop(spark, sf_dir)

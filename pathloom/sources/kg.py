@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The eighteen relations of the biomedical graph in the order of their ids, with the descriptions that relation scoring reads.
@@ -76,6 +76,12 @@ def node_relations(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node").agg(F.sort_array(F.collect_set("rel_id")).alias("relations"))
 
 
+def relation_target_types(steps: DataFrame, most: int = 50) -> DataFrame:
+    """node, relation and types: the sorted types of the first `most` neighbours (by id) along each relation of a node. steps: node, other, relation, other_type."""
+    first = steps.withColumn("_n", F.row_number().over(Window.partitionBy("node", "relation").orderBy("other"))).where(F.col("_n") <= most)
+    return first.groupBy("node", "relation").agg(F.sort_array(F.collect_set("other_type")).alias("types"))
+
+
 def shown_name(name: Column | str, node_id: Column | str) -> Column:
     return F.coalesce(name, F.concat(F.lit("Node_"), node_id))
 
