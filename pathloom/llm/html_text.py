@@ -2,12 +2,12 @@
 
 The standard library's HTMLParser yields events; they are folded into lines (one for
 each block of text) that carry their characters, the tags seen since the line before,
-the characters inside links, the landmark they stand in, and whether a structural
-sign (menu, header, footer, sidebar, form, script, notice, advert, comment) marks them.
-The text-to-tag ratios of the unmarked lines are smoothed by a Gaussian; lines above a
+the characters inside links and the landmark they stand in; text that a structural
+sign (menu, header, footer, sidebar, form, script, notice, advert, comment) marks makes no line.
+The text-to-tag ratios of the lines are smoothed by a Gaussian; lines above a
 threshold (a share of the standard deviation) are the cores of content clusters. The
 landmark (article, main) that holds the cores is the content region and all of its
-unmarked lines are returned, short ones too; without a landmark the region runs from
+lines are returned, short ones too; without a landmark the region runs from
 the first core line to the last.
 
 Null or empty html, and pages without text, give an empty text. Every input row gives
@@ -59,14 +59,14 @@ _none_shown = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden").search
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "marked", "landmark")
+    __slots__ = ("text", "tags", "linked", "landmark")
 
-    def __init__(self, text: str, tags: int, linked: int, marked: bool, landmark: int):
-        self.text, self.tags, self.linked, self.marked, self.landmark = text, tags, linked, marked, landmark
+    def __init__(self, text: str, tags: int, linked: int, landmark: int):
+        self.text, self.tags, self.linked, self.landmark = text, tags, linked, landmark
 
 
 class Reader(HTMLParser):
-    """Folds events into lines. Unclosed and stray tags are tolerated: an end tag closes up to the last open element of its name, if there is one."""
+    """Folds events into lines of unmarked text. Unclosed and stray tags are tolerated: an end tag closes up to the last open element of its name, if there is one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -80,9 +80,11 @@ class Reader(HTMLParser):
         return self.open[-1][1:] if self.open else (False, 0)
 
     def flush(self) -> None:
+        marked, landmark = self.here()
         text = " ".join("".join(self.piece).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, *self.here()))
+            self.lines.append(Line(text, self.tags, self.linked, landmark))
+        if text or marked:
             self.tags = 0
         self.piece.clear()
         self.linked = 0
@@ -150,6 +152,8 @@ class Reader(HTMLParser):
                 del self.open[i:]
 
     def handle_data(self, data: str) -> None:
+        if self.here()[0]:  # neither content nor a part of the words around it
+            return
         self.piece.append(data)
         if self.links > 0:
             self.linked += len(data)
@@ -191,7 +195,6 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines, landmarks = lines_of(html)
-    lines = [x for x in lines if not x.marked]
     found = cores(lines)
 
     def within(landmark: int) -> list[int]:
