@@ -160,3 +160,21 @@ def advance(states: DataFrame, survivors: DataFrame) -> DataFrame:
     """states(question, origin, current_hop, total_hops) with the hop one on, once, where an origin has a survivor, up to the total."""
     alive = survivors.select("question", "origin").distinct().withColumn("_on", F.lit(1))
     return states.join(alive, ["question", "origin"], "left").withColumn("current_hop", F.least(F.col("current_hop") + F.coalesce("_on", F.lit(0)), F.col("total_hops"))).drop("_on")
+
+
+def leading_relations(steps: DataFrame, frontier: DataFrame, wanted_type: str) -> DataFrame:
+    """question and relation of the frontier's relations that lead to a node of the type; all of them where none does. frontier: question, node."""
+    found = frontier.join(steps, "node").groupBy("question", "relation").agg(F.max(F.col("other_type") == wanted_type).alias("leads"))
+    return keep_if_any(found, F.col("leads"), "question").select("question", "relation")
+
+
+def cascade(candidates: DataFrame) -> DataFrame:
+    """Candidates of several sources scored together: the raw score times the source's share of the question's source scores. Columns: question, source, source_score, raw."""
+    sources = candidates.select("question", "source", "source_score").distinct()
+    shares = sources.withColumn("_share", sum_norm(F.col("source_score"), group("question"))).drop("source_score")
+    return candidates.join(shares, ["question", "source"]).withColumn("score", F.col("raw") * F.col("_share")).drop("_share")
+
+
+def numbered(triples: str) -> Column:
+    """An array of struct<source, relation, target> as numbered lines."""
+    return F.array_join(F.transform(F.col(triples), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t["source"], F.lit(" →["), t["relation"], F.lit("]→ "), t["target"])), "\n")

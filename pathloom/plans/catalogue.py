@@ -188,11 +188,11 @@ def bm25_relation_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence of each document that scores best by BM25 against the document's first words' question: its language and source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("asked"), T.sentences("text").alias("s"))
-    flat = docs.select("doc_id", F.posexplode("s").alias("pos", "sentence")).withColumn("words", F.size(T.whitespace_tokens("sentence")))
-    # the longest sentence, the first among equals
-    return flat.groupBy("doc_id").agg(F.max_by("sentence", F.struct("words", -F.col("pos"))).alias("sentence"), F.max("words").alias("words"), F.count("*").alias("sentences"))
+    """The sentence of each document that scores best against the benchmark item of its number, among the document's own sentences."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    pieces = docs.select(F.col("doc_id").alias("doc"), F.posexplode(T.sentences("text")).alias("pos", "piece"))
+    asked = docs.select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id").select("doc", "text")
+    return bm25.best_piece(pieces, asked, T.whitespace_tokens).select("doc", F.col("pos").cast("long").alias("pos"), "piece", rounded("score").alias("score"))
 
 
 @query
@@ -271,9 +271,7 @@ def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    top = scoring.max_norm(F.col("degree").cast("double"), scoring.group("one"))
-    p = kg.degrees(g.edges).withColumn("one", F.lit(1)).groupBy("one").agg(F.max("degree").cast("double").alias("top"))
-    del top
+    p = kg.degrees(g.edges).agg(F.max("degree").cast("double").alias("top"))
     shares = kg.degrees(g.edges).crossJoin(F.broadcast(p)).select("node", (F.col("degree") / (F.col("top") + scoring.EPSILON)).alias("p"))
     w = weights.best_edges(g.weighted(), "query").join(shares.toDF("u", "p_u"), "u").join(shares.toDF("v", "p_v"), "v")
     mean = (F.col("p_u") + F.col("p_v")) / 2

@@ -150,9 +150,16 @@ ORACLES["bm25_relation_similarity"] = graph("SELECT query, doc AS rel_id, round(
 
 SENTENCES = r"list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '. '), '. '), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10)"
 ORACLES["best_chunk"] = rf"""
-WITH s AS (SELECT doc_id, unnest(list) AS sentence, generate_subscripts(list, 1) AS pos FROM (SELECT doc_id, {SENTENCES} AS list FROM documents)),
-w AS (SELECT *, CAST(len(list_filter(regexp_split_to_array(lower(sentence), '\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM s)
-SELECT doc_id, first(sentence ORDER BY words DESC, pos) AS sentence, max(words) AS words, count(*) AS sentences FROM w GROUP BY doc_id
+WITH s AS (SELECT doc_id AS doc, doc_id % 40 AS item, unnest(list) AS piece, CAST(generate_subscripts(list, 1) - 1 AS BIGINT) AS pos FROM (SELECT doc_id, {SENTENCES} AS list FROM documents)),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(piece), '\s+'), lambda x: x <> '') AS w FROM s),
+t AS (SELECT doc, count(*) AS n, avg(len(w)) AS avg_len FROM w GROUP BY doc),
+p AS (SELECT doc, pos, len, term, count(*) AS tf FROM (SELECT doc, pos, len(w) AS len, unnest(w) AS term FROM w) GROUP BY ALL),
+l AS (SELECT doc, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p JOIN t USING (doc) GROUP BY doc, term),
+i AS (SELECT doc, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY doc) ELSE raw END AS idf FROM l),
+q AS (SELECT item_id AS item, term, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+c AS (SELECT doc, pos, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM p JOIN t USING (doc) JOIN i USING (doc, term) JOIN q ON q.item = doc % 40 AND q.term = p.term GROUP BY doc, pos)
+SELECT doc, pos, piece, round(score, 6) AS score FROM (
+  SELECT doc, pos, piece, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY doc ORDER BY coalesce(score, 0.0) DESC, pos) AS k FROM s LEFT JOIN c USING (doc, pos)) WHERE k = 1
 """
 ORACLES["norm_minmax"] = "SELECT event_id, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS x FROM events WINDOW w AS (PARTITION BY event_type)"
 ORACLES["norm_max"] = "SELECT event_id, round(value / (max(value) OVER w + 1e-8), 6) AS x FROM events WINDOW w AS (PARTITION BY user_id)"
