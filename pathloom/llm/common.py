@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into one output batch.
 SLICE_BYTES = 2 << 20
+#: Files of an intermediate table for each core, at most.
+FILES_PER_CORE = 4
 #: Bytes that a Python worker is sent at once.
 BATCH_BYTES = 4 << 20
 
@@ -36,13 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "pathloom-shared")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, scanned: bool = False) -> DataFrame:
     """df written to the shared folder as Parquet and read again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and what follows sees plain columns with statistics. The schema is kept as it is.
+    scanned: df comes from a scan whose tasks are large; else tasks are joined to FILES_PER_CORE
+    files for each core, so that many shuffle partitions don't become as many small files.
     """
     spark = df.sparkSession
+    if not scanned:
+        df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -99,7 +99,7 @@ def shard(df: DataFrame, topology: Topology | None = None, key: str = "doc_id",
     topology = topology or Topology()
     rows = df.select(F.col(key).alias("doc_id"), (utf8_bytes(F.col(text)) + ROW_BYTES).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("part"))
     rows = shard_of(shard_of(rows, "doc_id", topology, "shard"), "doc_id", topology.grown(), "grown_shard")
-    rows = materialise(rows, "shards")
+    rows = materialise(rows, "shards", scanned=True)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")

@@ -168,7 +168,7 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
             buckets = pa.array([None if r is None else _signed(r[2]) for r in runs], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in id_columns], firsts, ends, buckets, places], [*id_columns, *RUNS])
 
-    filed_rows = materialise(source.mapInArrow(file_windows, f"doc_id {kind}, n long, key binary, sha256 binary, firsts array<int>, ends array<int>, buckets array<long>, places array<int>"), "windows")
+    filed_rows = materialise(source.mapInArrow(file_windows, f"doc_id {kind}, n long, key binary, sha256 binary, firsts array<int>, ends array<int>, buckets array<long>, places array<int>"), "windows", scanned=True)
     rows = filed_rows.select(*id_columns)
     # an equal text in several rows is one text
     once = filed_rows.where(f"n >= {length}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in RUNS])

@@ -137,7 +137,7 @@ def search(vectors: DataFrame, query_filter: Column, k: int = 5, vec_id: str = "
     sizes = rows.groupBy(F.size("vector").alias("d")).count().agg(F.max_by("d", F.struct("count", "d")).alias("d"), F.sum("count").alias("n")).first()
     n, dimension = sizes["n"] or 0, sizes["d"] or 0
     shards = max(1, math.ceil(n / shard_rows))
-    rows = materialise(rows.where(F.size("vector") == dimension).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "vectors")
+    rows = materialise(rows.where(F.size("vector") == dimension).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "vectors", scanned=True)
     if n and rows.select(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] > LARGEST:
         raise ValueError("components are too large for exact 64-bit inner products")
     asked = rows.where("asks").groupBy("vec_id").agg(F.min_by("vector", "shard").alias("vector"), F.min("shard").alias("home"))
