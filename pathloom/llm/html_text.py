@@ -45,13 +45,15 @@ ENDS_P = frozenset("address article aside blockquote center details dialog div d
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Words of class and id attributes that mark what is not content.
 MARKS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion promoted
+    """ad ads adv advert adverts advertisement advertising adsense adsbygoogle adslot adbox adunit banner sponsor sponsored promo promotion promoted
     nav navbar navigation menu submenu breadcrumb breadcrumbs toc pager pagination sidebar side sidenav rail masthead topbar toolbar
     footer foot copyright colophon legal cookie cookies consent gdpr notice notices alert popup modal overlay lightbox
     newsletter subscribe subscription signup signin login register paywall share sharing social follow related recommended
     recommendations trending popular comment comments commentlist respond reply replies disqus discussion responses
     form search searchbox widget widgets skip skiplink hidden""".split()
 )
+#: Words of names that only say what a layout has, as in "with-sidebar".
+PHRASES = frozenset("has with no without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 LANDMARKS = frozenset(("article", "main"))
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+").findall
@@ -98,6 +100,8 @@ class Reader(HTMLParser):
             return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         found = {w.lower() for w in _words(names)} if names != " " else ()
+        if not PHRASES.isdisjoint(found):
+            return False
         return bool(found) and (not MARKS.isdisjoint(found) or "header" in found and not landmark and tag in ("div", "section"))
 
     def close_to(self, i: int) -> None:
