@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.durable import shared_dir
+
 #: Bytes of text that a Python worker turns into one output batch.
 SLICE_BYTES = 2 << 20
 #: Files of an intermediate table for each core, at most.
@@ -24,20 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Unset, a local master gets a temporary folder; on a cluster that is an error,
-    since a machine-local folder is not seen by other machines.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "pathloom-shared")
-
-
 def materialise(df: DataFrame, label: str, scanned: bool = False) -> DataFrame:
     """df written to the shared folder as Parquet and read again.
 
@@ -51,7 +38,24 @@ def materialise(df: DataFrame, label: str, scanned: bool = False) -> DataFrame:
         df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished stages when the driver's garbage is collected; have that now, since the tables just written replace them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialise() from the shared folder once what was made of them is a table itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8_bytes(text: str | Column) -> Column:

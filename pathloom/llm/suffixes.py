@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, raw, slices, text_key, utf8_bytes
+from .common import bounded_batches, discard, materialise, raw, slices, text_key, utf8_bytes
 
 #: Bytes of a string that must not repeat, of an initial bucket's names, and windows of a cell.
 LENGTH, Q, CELL = 400, 32, 24
@@ -196,6 +196,7 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
     hulls = cut_up.groupBy("hull").count().where("count > 1").select("hull", F.lit(True).alias("whole"))
     settled = cut_up.join(cores, "core", "left_semi").join(hulls, "hull", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     settled = materialise(settled, "settled")
+    discard(cut_up)
     # a run may begin or end within a cell that is settled elsewhere: of each such hull one cell is refined along with the open cells
     open_cores = settled.where("not whole").select("core").distinct()
     one_each = settled.where("whole").join(open_cores, "core", "left_semi").groupBy("hull").agg(F.min(F.struct("id", "start", "last", "bucket", "place")).alias("c")).select("c.*")
@@ -238,7 +239,9 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
     part = candidates.where("copies = 1").select("id", "key", "t").join(spans, "id").select("key", "found", "t").mapInArrow(leave, "key binary, spans array<struct<a:bigint,b:bigint>>, kept binary")
     # a text that several rows have repeats as a whole
     whole = once.where("copies > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"), F.lit(b"").alias("kept"))
-    return Removal(rows, materialise(part.unionByName(whole), "left"))
+    texts = materialise(part.unionByName(whole), "left")
+    discard(once, candidates, settled, windows)
+    return Removal(rows, texts)
 
 
 RUNS = ("firsts", "ends", "buckets", "places")
