@@ -2,7 +2,7 @@
 
 `damping` is the probability to go on along an edge (0.15), so the walk is short: the
 error after n rounds is 2 * damping^n. State is a table keyed by (run, node); a round is
-one join with the edges out of each node, dealt by node, and one sum. Only nodes that a
+one join with the edges out of each node, which stay dealt by node, and one sum. Only nodes that a
 run has reached hold rows.
 """
 
@@ -32,6 +32,9 @@ def rank(seeds: DataFrame, steps: DataFrame, keys: tuple[str, ...] = (), damping
     A seed without edges keeps all of its mass.
     """
     on = [*keys, "node"]
+    # every round joins with all steps: they are dealt by node and sorted once and kept so; a lost part is made again
+    partitions = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = steps.repartition(partitions, *on).sortWithinPartitions(*on).persist()
     lonely = seeds.join(steps.select(*on).distinct(), on, "left_anti").select("run", *on, F.col("reset").alias("pi"))
     start = seeds.join(steps.select(*on).distinct(), on, "left_semi")
     restart = start.select("run", *on, (F.lit(1 - damping) * F.col("reset")).alias("pi"))
