@@ -11,7 +11,8 @@ Queries meet shards in blocks of bounded size; a task holds one shard and one bl
 Vectors that are null or empty, hold null or non-finite components, or have another length
 than the commonest one, take no part. Equal scores go to the smaller
 vec_id. A vec_id that repeats is one query, and its rows are candidates of their own for
-every other query. Rows of a null vec_id take no part. Empty tables give empty results.
+every other query. Rows of a null vec_id take no part. Components stop at the
+64-bit range, and so do scores. Empty tables give empty results.
 Other columns are not read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from .common import bounded_batches, materialise
 
 #: Rows of a shard, queries of a block, rows of a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 4096, 128
-#: Components beyond this (as integers) cannot be multiplied and summed exactly in 64 bits.
-LARGEST = 1 << 27
+#: Scores beyond this are given as this.
+LARGEST = 2**63 - 1
 
 
 def quantised(vector: Column) -> Column:
@@ -117,18 +119,35 @@ def _search_block(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if candidates.num_rows and queries.num_rows:
         dimension = len(queries.column("vector")[0])
         points, asked = (_matrix(t.column("vector").combine_chunks(), dimension) for t in (candidates, queries))
-        # products are exact in float64 up to 2^53, and much faster there
-        if float(np.abs(points).max(initial=1)) * float(np.abs(asked).max(initial=1)) * dimension < 2**53:
+        kths = [-math.inf if kth is None else kth for kth in queries.column("kth").to_pylist()]
+        largest = [max(1.0, float(np.abs(x.astype(np.float64)).max())) for x in (points, asked)]
+        most = largest[0] * largest[1] * dimension
+        if most >= 2**62:  # beyond 64 bits: exact, without a tree
+            return _found(_exactly(points.tolist(), candidates.column("vec_id").to_pylist(), asked.tolist(), queries.column("vec_id").to_pylist(), k))
+        if most < 2**53:  # products are exact in float64, and much faster there
             points, asked = points.astype(np.float64), asked.astype(np.float64)
         tree = KDTree(points, candidates.column("vec_id").to_numpy())
         for start in range(0, len(asked), 512):
             bounds = tree.bounds(asked[start : start + 512])
-            for i, (query, kth) in enumerate(zip(queries.column("vec_id").to_pylist()[start : start + 512], queries.column("kth").to_pylist()[start : start + 512], strict=True)):
-                out += [(query, i2, s) for s, i2 in tree.search(asked[start + i], bounds[i], query, k, -math.inf if kth is None else kth)]
-    columns = list(zip(*out, strict=True)) or [[], [], []]
+            for i, (query, kth) in enumerate(zip(queries.column("vec_id").to_pylist()[start : start + 512], kths[start : start + 512], strict=True)):
+                out += [(query, i2, s) for s, i2 in tree.search(asked[start + i], bounds[i], query, k, kth)]
+    return _found(out)
+
+
+def _found(rows: list[tuple[int, int, int]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
+def _exactly(points: list[list[int]], ids: list[int], asked: list[list[int]], own: list[int], k: int) -> list[tuple[int, int, int]]:
+    """As the tree's search, in integers of any size."""
+    out = []
+    for query, q in zip(own, asked, strict=True):
+        scored = heapq.nsmallest(k, ((-sum(map(operator.mul, p, q)), i) for p, i in zip(points, ids, strict=True) if i != query))
+        out += [(query, i, max(-LARGEST, min(LARGEST, -s))) for s, i in scored]
+    return out
+
+
 def search(vectors: DataFrame, query_filter: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row that query_filter selects, among all rows but those of its own vec_id."""
     bounded_batches(vectors)
@@ -138,8 +157,6 @@ def search(vectors: DataFrame, query_filter: Column, k: int = 5, vec_id: str = "
     n, dimension = sizes["n"] or 0, sizes["d"] or 0
     shards = max(1, math.ceil(n / shard_rows))
     rows = materialise(rows.where(F.size("vector") == dimension).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "vectors", scanned=True)
-    if n and rows.select(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] > LARGEST:
-        raise ValueError("components are too large for exact 64-bit inner products")
     asked = rows.where("asks").groupBy("vec_id").agg(F.min_by("vector", "shard").alias("vector"), F.min("shard").alias("home"))
     asked = materialise(asked, "queries")
     blocks = max(1, math.ceil(asked.count() / block_queries))

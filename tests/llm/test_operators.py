@@ -63,6 +63,12 @@ def test_topk_of_few_and_none(spark):
     assert list(map(tuple, two)) == [(0, 1, 1, 256 * 512)]
 
 
+def test_topk_of_huge_components(spark):
+    rows = spark.createDataFrame([(0, [1e38, 1.0]), (1, [1e38, 0.0]), (2, [-1e38, 5.0]), (3, [1e12, 1.0])], "vec_id long, embedding array<float>")
+    got = topk.search(rows, F.col("vec_id") == 0, 3).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63) + 1)]
+
+
 def test_tree_prunes():
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 1000, (16, 8))
