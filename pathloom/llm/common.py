@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +20,8 @@ SLICE_BYTES = 2 << 20
 FILES_PER_CORE = 4
 #: Bytes that a Python worker is sent at once.
 BATCH_BYTES = 4 << 20
+#: Intermediate tables of the compact operators that are running, the innermost last.
+_made: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +44,28 @@ def materialise(df: DataFrame, label: str, scanned: bool = False) -> DataFrame:
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+def compact(operator: Callable) -> Callable:
+    """An operator whose result (a DataFrame, or a named tuple of them) is a table, and whose intermediate tables are removed once it is."""
+
+    @functools.wraps(operator)
+    def run(*args, **options):  # noqa: ANN002, ANN003, ANN202
+        _made.append([])
+        try:
+            out = operator(*args, **options)
+        finally:
+            made = _made.pop()
+        parts = [materialise(df, "result") for df in ([out] if isinstance(out, DataFrame) else out)]
+        discard(*made)
+        return parts[0] if isinstance(out, DataFrame) else type(out)(*parts)
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Spark removes the shuffle files of finished stages when the driver's garbage is collected; have that now, since the tables just written replace them."""
     gc.collect()
@@ -98,6 +120,6 @@ def slices(batches: Iterator[pa.RecordBatch], of: str, most: int = SLICE_BYTES)
 def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> None:
     """Have the session send Python workers batches of at most `most` bytes (a longer row alone), whatever the rows' size; a smaller setting stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(conf.get(key).removesuffix("b"))
+    held = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
     if held <= 0 or held > most:
         conf.set(key, f"{most}b")

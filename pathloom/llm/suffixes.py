@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialise, raw, slices, text_key, utf8_bytes
+from .common import bounded_batches, compact, discard, materialise, raw, slices, text_key, utf8_bytes
 
 #: Bytes of a string that must not repeat, of an initial bucket's names, and windows of a cell.
 LENGTH, Q, CELL = 400, 32, 24
@@ -153,6 +153,7 @@ class Removal(NamedTuple):
     texts: DataFrame
 
 
+@compact
 def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", q: int = Q, width: int = CELL) -> Removal:
     """What the strings of `length` bytes that start more than once leave of every document."""
     bounded_batches(documents)
@@ -239,9 +240,7 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
     part = candidates.where("copies = 1").select("id", "key", "t").join(spans, "id").select("key", "found", "t").mapInArrow(leave, "key binary, spans array<struct<a:bigint,b:bigint>>, kept binary")
     # a text that several rows have repeats as a whole
     whole = once.where("copies > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"), F.lit(b"").alias("kept"))
-    texts = materialise(part.unionByName(whole), "left")
-    discard(once, candidates, settled, windows)
-    return Removal(rows, texts)
+    return Removal(rows, part.unionByName(whole))
 
 
 RUNS = ("firsts", "ends", "buckets", "places")
