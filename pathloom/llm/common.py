@@ -17,7 +17,9 @@ from ..sources.durable import shared_dir
 #: Bytes of text that a Python worker turns into one output batch.
 SLICE_BYTES = 2 << 20
 #: Files of an intermediate table for each core, at most.
-FILES_PER_CORE = 4
+FILES_PER_CORE = 2
+#: Bytes that a writer of such a file gathers before it writes a row group.
+ROW_GROUP = 8 << 20
 #: Bytes that a Python worker is sent at once.
 BATCH_BYTES = 4 << 20
 #: Intermediate tables of the compact operators that are running, the innermost last.
@@ -40,7 +42,7 @@ def materialise(df: DataFrame, label: str, scanned: bool = False) -> DataFrame:
     if not scanned:
         df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
