@@ -2,11 +2,16 @@
 
 Features are taken from the whole text only: densities of lexicon words, their share
 near second-person pronouns, capitals, punctuation and obfuscation (words spelt with
-digits, signs, gaps or stretched letters). The trees are fitted on the driver from a
-sample of labelled rows of at most `most` rows (default SAMPLE_ROWS), chosen by a hash
-of the id; rows whose crc32(doc_id as text) mod 3 is 1 never enter it. Scores are
-calibrated by isotonic regression on out-of-fold margins, so that a score is a
-probability.
+digits, signs, gaps or stretched letters), and densities of learned words. The trees are
+fitted on the driver from a sample of labelled rows of at most `most` rows (default
+SAMPLE_ROWS), chosen by a hash of the id; rows whose crc32(doc_id as text) mod 3 is 1
+never enter it. Scores are calibrated by isotonic regression on out-of-fold margins, so
+that a score is a probability.
+
+Learned words are those that stand in a larger share of the sample's toxic documents than
+of its clean ones, by a bound of DEVIATIONS. They are counted on the executors; for the
+rows of a fold of the sample they are learned from the other folds, so that the trees see
+densities as they are on documents that the words weren't learned from.
 
 Null and empty texts have all densities 0 and get the score of that feature vector.
 Repeated rows are scored alike; a doc_id that has several labels counts as toxic if one
@@ -23,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, slices
+from .common import bounded_batches, discard, held_out, materialise, slices
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: A score of this or more is toxic.
 THRESHOLD = 0.7
+#: Parts of the sample; margins and learned words of each come from the others.
+FOLDS = 4
+#: Learned words: at most so many, each in so many toxic documents at least, and so many deviations by which the logarithm of the ratio of shares is lowered.
+LEARNED, LEAST, DEVIATIONS = 20_000, 3, 2.0
 
 # Words of four languages in the order insult, profanity, threat and contempt. Words that are harmless in another of the languages are left out.
 LEXICON = {
@@ -51,7 +60,7 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur ya du dich di
 DISGUISES = str.maketrans("013457@$!|€", "oieastasiie")
 #: Words within this distance of a pronoun are near it.
 NEAR = 5
-FEATURES = [*LEXICON, "hits", "log_hits", "near_pronoun", "pronouns", "capitals", "shouted", "exclaimed", "asked", "punctuation", "obfuscated", "log_obfuscated", "disguised", "stretched", "log_words"]
+FEATURES = [*LEXICON, "hits", "log_hits", "near_pronoun", "pronouns", "capitals", "shouted", "exclaimed", "asked", "punctuation", "obfuscated", "log_obfuscated", "disguised", "stretched", "log_words", "learned", "log_learned", "learned_weight", "log_learned_weight"]
 
 _groups = {w: i for i, words in enumerate(LEXICON.values()) for w in words.split()}
 _words = re.compile(r"[^\W_]+").findall
@@ -77,7 +86,8 @@ def _undone(word: str) -> int | None:
     return next((g for g, p in _starred_by.get((word[0], len(word)), ()) if p.match(word)), None) if "*" in word else None
 
 
-def features(text: str | None) -> list[float]:
+def features(text: str | None, learned: dict[str, float] | None = None) -> list[float]:
+    """learned: weights of learned words."""
     text = text or ""
     lower = text.lower()
     words = _words(lower)
@@ -102,9 +112,12 @@ def features(text: str | None) -> list[float]:
     shouted = sum(len(w) > 2 and w.isupper() for w in _words(text)) if upper > len(words) else 0
     signs = {c: text.count(c) for c in "!?.,;:#$%&*"}
     hits = sum(groups)
+    weights = [learned[w] for w in words if w in learned] if learned else []
+    weight = math.fsum(weights)
     return [
         *(1000 * g / n for g in groups), 1000 * hits / n, math.log1p(hits), 1000 * near / n, 1000 * pronouns / n,
         upper / letters, shouted / n, signs["!"] / n, signs["?"] / n, sum(signs.values()) / letters, 1000 * obfuscated / n, math.log1p(obfuscated), len(disguised) / n, len(stretched) / n, math.log1p(len(words)),
+        1000 * len(weights) / n, math.log1p(len(weights)), 1000 * weight / n, math.log1p(weight),
     ]
 
 
@@ -183,16 +196,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Trees and their calibration. constant: the score where there is nothing to learn from."""
+    """Trees and their calibration. constant: the score where there is nothing to learn from. learned: weights of learned words, for features()."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, folds: int = 4):
-        self.constant = float(y.mean()) if len(y) else 0.0
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: dict[str, float]):
+        self.constant, self.learned = float(y.mean()) if len(y) else 0.0, learned
         self.trees = None
-        if len(y) < 2 * folds or y.min() == y.max():
+        if len(y) < 2 * FOLDS or y.min() == y.max() or fold.min() == fold.max():
             return
         margins = np.zeros(len(y))
-        for fold in range(folds):
-            left = np.arange(len(y)) % folds == fold
+        for own in np.unique(fold):
+            left = fold == own
             margins[left] = Trees().fit(x[~left], y[~left]).margin(x[left])
         # two rows of either outcome keep the ends of the scale off 0 and 1
         ends = [margins.min(), margins.max()] * 2
@@ -205,22 +218,56 @@ class Model:
         return np.interp(self.trees.margin(x), self.at, self.level)
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `most` labelled documents that aren't held out, in the order of a hash of the id."""
+def learn(texts: DataFrame) -> list[dict[str, float]]:
+    """Weights of the words of texts(doc_id, t, toxic, fold) that mark toxic documents: without each fold's rows, then from all rows."""
+    cells = [f"n{fold}_{toxic}" for fold in range(FOLDS) for toxic in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            counts: dict[str, list[int]] = {}
+            for t, toxic, fold in zip(*(batch.column(k).to_pylist() for k in ("t", "toxic", "fold")), strict=True):
+                for w in set(_words(t.lower())):
+                    counts.setdefault(w, [0] * len(cells))[2 * fold + toxic] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in range(len(cells)))], ["word", *cells])
+
+    total = {(r.fold, r.toxic): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
+    words = texts.mapInArrow(run, ", ".join(["word string", *(f"{k} long" for k in cells)])).groupBy("word").agg(*(F.sum(k).alias(k) for k in cells))
+
+    def weight(without: int | None) -> Column:
+        folds = [fold for fold in range(FOLDS) if fold != without]
+        clean, toxic = (sum((F.col(f"n{fold}_{k}") for fold in folds), F.lit(0.5)) for k in (0, 1))
+        all_clean, all_toxic = (sum(total.get((fold, k), 0) for fold in folds) + 1 for k in (0, 1))
+        least = F.log(toxic / all_toxic) - F.log(clean / all_clean) - DEVIATIONS * F.sqrt(1 / toxic + 1 / clean)
+        return F.when((toxic > LEAST) & (least > 0), least).otherwise(0.0)
+
+    weights = [weight(fold) for fold in [*range(FOLDS), None]]
+    found = words.select("word", *(w.alias(f"w{i}") for i, w in enumerate(weights))).withColumn("best", F.greatest(*(f"w{i}" for i in range(len(weights))))).where("best > 0")
+    rows = found.orderBy(F.desc("best"), "word").limit(LEARNED).collect()
+    return [{r.word: r[f"w{i}"] for r in rows if r[f"w{i}"] > 0} for i in range(len(weights))]
+
+
+def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]:
+    """Features, labels and folds of at most `most` labelled documents that aren't held out, in the order of a hash of the id, and the words learned from all of them."""
     bounded_batches(documents)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    # the broadcast is of `most` ids at the largest; texts aren't shuffled
+    # the broadcast is of `most` ids at the largest
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "t")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(few), "doc_id")
+    # a doc_id that repeats counts once; only the sample's texts are shuffled
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("t", "toxic")).alias("r")).select("doc_id", "r.*", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    texts = materialise(texts, "sample")
+    *others, learned = learn(texts)
+    shared = documents.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([features(t) for t in batch.column("t").to_pylist()], pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            x = [features(t, shared.value[fold]) for t, fold in zip(batch.column("t").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "toxic", "fold")), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
 
-    # a doc_id that repeats counts once
-    rows = texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "toxic")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.*").toArrow()
+    rows = texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, fold int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "toxic", "fold").toArrow()
+    discard(texts)
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    return x, np.array(rows.column("toxic").to_pylist(), float)
+    return x, np.array(rows.column("toxic").to_pylist(), float), np.array(rows.column("fold").to_pylist(), int), learned
 
 
 def score(documents: DataFrame, model: Model, keep: list[str], text: str = "text", below: float | None = None) -> DataFrame:
@@ -233,7 +280,7 @@ def score(documents: DataFrame, model: Model, keep: list[str], text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            found = shared.value.score(np.array([features(t) for t in batch.column("t").to_pylist()], float))
+            found = shared.value.score(np.array([features(t, shared.value.learned) for t in batch.column("t").to_pylist()], float))
             out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in inner], pa.array(found, pa.float64())], [*inner, "toxic_score"])
             yield out if below is None else out.filter(pa.array(found < below))
 

@@ -243,6 +243,30 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert {r.toxic_score for r in toxicity.score(table, nothing, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxic_words_outside_the_fixed_list_are_learned(spark):
+    rng = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(600):
+        own = words(rng, 60)
+        if i % 5 == 0:
+            own[3:50:12] = rng.choice(["schnarpel", "klomp", "zwurbel", "fniedrig"], 4).tolist()
+        elif i % 7 == 0:
+            own[5] = "klomp"  # once, and harmless
+        rows.append((i, " ".join(own)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    table = docs(spark, rows)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(table, marks)
+    got = {r.doc_id: r.toxic_score for r in toxicity.score(table, model, ["doc_id"]).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all((got[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held)
+    # what stands in held-out rows only isn't learned, and a fold's rows don't lend words to their own features
+    odd_one = docs(spark, [(i, f"{t} secret") if i in held else (i, f"{t} own{i}") for i, t in rows])
+    x, y, fold, learned = toxicity.sample(odd_one, marks)
+    assert len(x) == len(y) == len(fold) == 600 - len(held) and set(fold) == set(range(toxicity.FOLDS))
+    assert "secret" not in learned and not any(w.startswith("own") for w in learned) and "schnarpel" in learned
+
+
 # ---- 6 near duplicates ---------------------------------------------------------------------------------------------
 
 
