@@ -12,8 +12,8 @@ the concentration of T independent draws. Bands of ROWS coordinates are the buck
 Links are confirmed on full sets. A bucket is not expanded into pairs: its members are
 first compared with its smallest member; while a bucket still spans several components of
 confirmed links, these are joined by their most alike members. Only where a bucket still spans several components are pairs across them sought,
-by the sketches and by bitmaps that bound the intersection, and confirmed; buckets with too many such members are split by their
-further common bands, which every similar pair has, until they fit a task. Links
+by the sketches and by bitmaps that bound the intersection, and confirmed. A bucket with too many members for a task is dealt
+as blocks: the members outside its largest component, a block at a time, meet all members, a block at a time. Links
 between members of one component would change nothing and are not looked for.
 
 Null, empty and wordless texts have no shingles and are linked with nothing (their
@@ -42,8 +42,10 @@ BANDS = T // ROWS
 BITS = 2048
 #: Equal coordinates (of T) below which a pair at 0.8 lies with a probability of 3e-7: five deviations.
 ALIKE = 80
-#: Members of a bucket that one task compares; members that one task compares with a smallest member.
+#: Members of a bucket that one task compares (about; larger buckets are dealt as blocks of half as many); members that one task compares with a smallest member.
 BUCKET, STAR = 2000, 2000
+#: What a member is in a task: compared with others, compared to, outside its bucket's largest component.
+FIRST, SECOND, MINOR = 1, 2, 4
 #: Times that a bucket's components are joined by their most alike members before all pairs across them are sought.
 ROUNDS = 4
 #: A-Z to lower case, nothing else.
@@ -216,25 +218,30 @@ def similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of members(bucket, path, c, root, n, bands, small, bits) that share a bucket, have different roots, bitmaps that allow a link and sketches that agree in ALIKE coordinates.
+    """Pairs (a, b) of members(bucket, part, band, c, root, role, n, bands, small, bits) that share a bucket, have different roots, bitmaps that allow a link and sketches that agree in ALIKE coordinates.
 
-    forest: of each bucket only the pairs that join its roots by the most alike sketches, fewer than it has members.
-    Else all of them, each named only in the bucket of its first common bands, so at most once.
+    forest: of each part of a bucket only the pairs that join its roots by the most alike sketches, fewer than it has members.
+    Else all of them, each named only in the bucket of its first common band, so at most once.
     """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("c")
-        path = group.column("path")[0].as_py()
-        c, root, n = (group.column(k).to_numpy() for k in ("c", "root", "n"))
+        band = group.column("band")[0].as_py()
+        c, root, n, role = (group.column(k).to_numpy() for k in ("c", "root", "n", "role"))
+        second, minor = (role & SECOND) > 0, (role & MINOR) > 0
+        whole = bool((role == FIRST | SECOND | MINOR).all())
         own = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(len(c), T)
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(c), BITS // 64)
         found: list[tuple[int, int]] = []
         alike: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(c) - 1):
-            rest = slice(i + 1, None)
+        for i in np.flatnonzero(role & FIRST).tolist():
+            start = i + 1 if whole else 0
+            rest = slice(start, None)
             ok = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i]))
-            at = np.flatnonzero(ok) + i + 1
+            if not whole:  # two minor members meet in two parts and are compared in one
+                ok &= second & ((c > c[i]) | ~minor)
+            at = np.flatnonzero(ok) + start
             same = (small[at] == small[i]).sum(1)
             ok = same >= ALIKE
             ok[ok] = may_link(bits[at[ok]], bits[i], n[at[ok]], n[i], percent)
@@ -243,7 +250,7 @@ def across(members: DataFrame, percent: int, forest: bool) -> DataFrame:
                 alike.append((np.full(len(at), i), at, same))
             else:
                 for j in at:
-                    if np.flatnonzero(own[i] == own[j])[: len(path)].tolist() == path:
+                    if np.argmax(own[i] == own[j]) == band:
                         found.append((c[i], c[j]))
         if forest and alike:
             i, j, same = (np.concatenate(x) for x in zip(*alike, strict=True))
@@ -262,7 +269,7 @@ def across(members: DataFrame, percent: int, forest: bool) -> DataFrame:
                     found.append((c[x], c[y]))
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return members.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return members.groupBy("bucket", "part").applyInArrow(run, "a long, b long")
 
 
 @compact
@@ -282,24 +289,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, doc_
     sets = sets_of(documents, reps.join(ends(stars), "c"), doc_id, text, size)
     edges = confirm(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
 
-    banded = classes.select("c", F.posexplode("bands").alias("band", "bucket")).join(hubs.select("bucket"), "bucket").select("bucket", F.array("band").alias("path"), "c")
+    banded = classes.select("c", F.posexplode("bands").alias("band", "bucket")).join(hubs.select("bucket"), "bucket").select("bucket", "band", "c")
 
     def parted(roots: DataFrame) -> DataFrame:
-        """Members, with root and sketch, of the buckets that have several roots; larger ones parted by further common bands until they fit a task."""
-        held = banded.join(roots, banded.c == roots.v, "left").select("bucket", "path", "c", F.coalesce("root", "c").alias("root"))
-        parts = None
-        while True:
-            mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high").select("bucket", "held")
-            left = materialise(held.join(mixed, "bucket"), "left")
-            # the last band has none after it: its bucket goes to a task as it is
-            fits = (F.col("held") <= BUCKET) | (F.element_at("path", -1) == BANDS - 1)
-            few = left.where(fits).drop("held")
-            parts = few if parts is None else parts.unionByName(few)
-            larger = left.where(~fits)
-            if larger.isEmpty():
-                return parts.join(classes.select("c", "n", "bands", "small", "bits"), "c")
-            split = larger.join(classes.select("c", "bands"), "c").select("path", "c", "root", F.col("bucket").alias("outer"), F.posexplode("bands").alias("band", "inner")).where(F.col("band") > F.element_at("path", -1))
-            held = split.select(F.xxhash64("outer", "inner", "band").alias("bucket"), F.concat("path", F.array("band")).alias("path"), "c", "root")
+        """Members, with root, role and sketch, of the buckets that have several roots; larger ones dealt as blocks against blocks, so that each pair of different roots meets in a part."""
+        held = banded.join(roots, banded.c == roots.v, "left").select("bucket", "band", "c", F.coalesce("root", "c").alias("root"))
+        mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high").select("bucket", "held")
+        left = materialise(held.join(mixed, "bucket"), "left")
+        larger = left.where(F.col("held") > BUCKET)
+        parts = left.where(F.col("held") <= BUCKET).select("bucket", F.lit(0).cast("long").alias("part"), "band", "c", "root", F.lit(FIRST | SECOND | MINOR).alias("role"))
+        if not larger.isEmpty():
+            parts = parts.unionByName(blocks(larger))
+        return parts.join(classes.select("c", "n", "bands", "small", "bits"), "c")
 
     def further(pairs: DataFrame) -> DataFrame:
         nonlocal sets
@@ -328,6 +329,21 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, doc_
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).select("doc_id", "text_key", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
+def blocks(larger: DataFrame) -> DataFrame:
+    """bucket, part, band, c, root and role of larger(bucket, band, c, root, held): a bucket's members outside its largest root, in blocks, against all its members, in blocks. A part is a pair of blocks."""
+    size = max(1, BUCKET // 2)
+    largest = larger.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("largest"))
+    count = lambda members: F.ceil(members / size).cast("long")
+    dealt = larger.join(largest, "bucket").select("bucket", "band", "c", "root", (F.col("root") != F.col("largest.root")).alias("minor"), count(F.col("held") - F.col("largest.count")).alias("rows"), count(F.col("held")).alias("columns"))
+    dealt = dealt.withColumn("row", F.when(F.col("minor"), F.pmod(F.xxhash64("c"), "rows"))).withColumn("column", F.pmod(F.xxhash64(F.lit("column"), "c"), "columns"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    minor = F.when(F.col("minor"), MINOR).otherwise(0)
+    # a member that is in both blocks of a part is there once
+    firsts = dealt.where("minor").withColumn("q", every("columns")).where(F.col("q") != F.col("column")).withColumn("p", F.col("row")).withColumn("role", F.lit(FIRST | MINOR))
+    seconds = dealt.withColumn("p", every("rows")).withColumn("q", F.col("column")).withColumn("role", minor + SECOND + F.when(F.col("p") == F.col("row"), FIRST).otherwise(0))
+    return firsts.unionByName(seconds).select("bucket", (F.col("p") * F.col("columns") + F.col("q")).alias("part"), "band", "c", "root", "role")
+
+
 def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     """The roots after further links; what was found before enters as one link for each vertex."""
     return components(roots.where("v != root").select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(more))

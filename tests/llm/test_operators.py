@@ -320,6 +320,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, bucket):
     assert sorted((clean(r.doc_id), r.n_shingles, clean(r.component_id), r.kept) for r in got) == brute_near(rows, 4)
 
 
+def test_outliers_of_a_tight_group_larger_than_a_task(spark, monkeypatch):
+    """Each outlier is linked with one member only, and the group's members have nearly all bands in common."""
+    monkeypatch.setattr(minhash, "BUCKET", 5)
+    rng = np.random.default_rng(17)
+    base = words(rng, 600, 100_000)
+    group = [[*base[: 2 * i + 5], f"own{i}", *base[2 * i + 6 :]] for i in range(60)]
+    rows = [(100 + i, " ".join(own)) for i, own in enumerate(group)]
+    for k in range(7):
+        own = list(group[7 * k + 5])
+        own[130 + 65 * k : 193 + 65 * k] = [f"out{k}x{j}" for j in range(63)]
+        rows.append((k, " ".join(own)))
+    want = brute_near(rows, 4)
+    assert {r[2] for r in want} == {0}
+    assert sorted(map(tuple, minhash.near_duplicates(docs(spark, rows), 4).drop("text_key").collect())) == want
+
+
 def test_star_of_near_copies(spark):
     """Copies that are alike enough only to their base are found through it, whichever member stands in the middle."""
     rng = np.random.default_rng(8)
