@@ -45,15 +45,16 @@ def induced(edges: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     return edges.join(u, "u").join(v, ["pair", "v"]).select("pair", "u", "v", *more, F.greatest("_u", "_v").alias("width"))
 
 
-def connected_width(pairs: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_width(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pair, topic, answer and width: the smallest rung at which topic and answer are connected, null if none does.
 
-    edges: pair, u, v, width. A label is the smallest width at which the topic reaches a node.
+    edges: pair, u, v, width. A label is the smallest width at which the topic reaches a node;
+    labels are lowered until none moves, so a path of any length counts.
     """
     directed = durable(edges.select("pair", "u", "v", "width").union(edges.select("pair", "v", "u", "width")).groupBy("pair", "u", "v").agg(F.min("width").alias("width")), "corridor")
     labels = pairs.select("pair", F.col("topic").alias("node"), F.lit(0).alias("reach"))
     moving = labels
-    for _ in range(rounds):
+    while True:
         stepped = moving.join(directed, (moving.pair == directed.pair) & (moving.node == directed.u)).select(moving.pair, F.col("v").alias("node"), F.greatest("reach", "width").alias("reach"))
         new = labels.withColumn("old", F.col("reach")).unionByName(stepped.withColumn("old", F.lit(None).cast("int"))).groupBy("pair", "node").agg(F.min("reach").alias("reach"), F.min("old").alias("old"))
         new = durable(new, "reach")

@@ -113,6 +113,12 @@ def test_corridor_ladder(spark):
     assert got == {"p": 20, "q": None}
 
 
+def test_corridor_longer_than_64_hops(spark):
+    pairs_ = spark.createDataFrame([("p", 0, 70)], "pair string, topic long, answer long")
+    edges = spark.createDataFrame([("p", i, i + 1, 5) for i in range(70)], "pair string, u long, v long, width int").coalesce(1)
+    assert [r.width for r in corridor.connected_width(pairs_, edges).collect()] == [5]
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(0, "aspirin treats pain"), (1, "ibuprofen treats pain and fever"), (2, "gene tp53 binds mdm2"), (3, "pain pain fever pathway")], "doc long, text string")
     asked = spark.createDataFrame([("q", "Pain, fever & PAIN?"), ("none", "")], "query string, text string")
