@@ -8,8 +8,8 @@ stands inside its span is found by rendering the last turn with two different pr
 texts: the outputs part at the start of the text and meet again at its end.
 
 A conversation is sorted by turn (then role and text, nulls first) and streamed, so a
-conversation of any length is held only as the last `lookback` turns and never as a
-group: a template declares on how many earlier turns the output for a turn can depend.
+group is never made of it. With `lookback`, for a template whose output for a turn depends
+on no more earlier turns, only these are held; without it, all turns before are.
 
 Null texts and roles are empty; a null conv_id is a conversation of its own; repeated
 rows are turns of their own; an empty table gives an empty table; other columns are not read.
@@ -83,6 +83,10 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
+#: Earlier turns that are enough for turn_template.
+LOOKBACK = 4
+
+
 class Incremental:
     """Spans of the turns of one conversation, one turn after the other."""
 
@@ -117,13 +121,14 @@ class Incremental:
 
 
 def format_conversations(
-    df: DataFrame, template: Callable[[list[Turn]], str] = turn_template, lookback: int | None = 4, loss_role: str = "assistant",
+    df: DataFrame, template: Callable[[list[Turn]], str] = turn_template, lookback: int | None = None, loss_role: str = "assistant",
     conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """One row for each turn, in order within a conversation's partition: conv_id, n (from 0), piece (what the
     turn appends to the formatted conversation), start and end of the piece and loss_start and loss_end of the
     text under the loss mask, counted in code points from the conversation's start (null where the turn is
-    outside the mask), and rewrote (the template changed what came before).
+    outside the mask), and rewrote (the template changed what came before). Each turn is rendered after all turns before
+    it; give lookback only with a template whose output for a turn depends on no turn further back, like turn_template.
     """
     bounded_batches(df)
     source = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("t"))

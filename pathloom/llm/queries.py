@@ -27,7 +27,7 @@ CONTROL = r"\### Assistant: </turn> ok"
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return chat.read_back(chat.format_conversations(turns))
+    return chat.read_back(chat.format_conversations(turns, lookback=chat.LOOKBACK))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,21 @@ def test_chat_equals_brute_force(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_template_that_depends_on_far_turns(spark):
+    def template(turns):
+        return "".join(f"<{len(turns) - len(turns[i:])}|{turns[0][1]}|{r}>{t}" for i, (r, t) in enumerate(turns)) + ("" if len(turns) < 7 else "!")
+
+    turns = [("system" if i == 0 else "user" if i % 2 else "assistant", f"text {i}") for i in range(9)]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template).orderBy("n").collect()
+    for i, r in enumerate(got):
+        before, now = template(turns[:i]), template(turns[: i + 1])
+        shared = chat.common_prefix(before, now)
+        assert (r.piece, r.start, r.end, r.rewrote) == (now[shared:], shared, len(now), shared < len(before)), i
+        if turns[i][0] == "assistant":
+            assert now[r.loss_start : r.loss_end] == turns[i][1]
+
+
 # ---- 4 repeated strings --------------------------------------------------------------------------------------------
 
 
