@@ -31,7 +31,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digests(suffixes.remove(table(spark, sf_dir, "documents")))
+    """With the runs of 50 repeated words, as the pipeline removes them, beside the strings of 400 bytes."""
+    documents = table(spark, sf_dir, "documents")
+    of_bytes, of_words = suffixes.remove(documents), suffixes.remove(documents, suffixes.PASSAGE, suffixes.WORDS)
+    return suffixes.digests(of_bytes, of_words)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated strings by bucket-pointer refinement.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. As in
-bucket-pointer refinement, positions stand in buckets by their first q bytes and are
+A text is a row of symbols: its bytes, or its words (BYTES, WORDS: runs of other bytes
+than white space). A symbol goes if a string of `length` symbols that covers it also
+starts anywhere else; of words, what stands between those that go goes too. As in
+bucket-pointer refinement, positions stand in buckets by their first q symbols and are
 refined by the bucket of a later offset: bucket_2h(p) = (bucket_h(p), bucket_h(p + h)),
-with each round's buckets reused by the next, up to LENGTH bytes. A bucket's pointer is
+with each round's buckets reused by the next, up to the length. A bucket's pointer is
 a 64-bit name computed from its content, so positions of all documents are refined
 alike without exchanging ranks, and a position is settled as soon as its bucket is single:
 
-1. Every window of LENGTH bytes is filed under one initial bucket, that of the smallest
-   Q-byte name in it. Positions whose initial bucket is single are dropped.
+1. Every window of `length` symbols is filed under one initial bucket, that of the smallest
+   name of q symbols in it. Positions whose initial bucket is single are dropped.
 2. The windows of a place are taken in cells. A cell whose common core has a single
    bucket holds no repeat; one whose hull has a bucket of two or more holds nothing else.
 3. The rest is refined to single windows, along with one cell of each repeated hull that
@@ -18,7 +20,7 @@ Buckets are counted by partial aggregates of names, so a passage that any number
 documents share is one key with a count, never a group in a task. Documents with equal
 texts are one text with a number of copies.
 
-Null and empty texts have no bytes and lose none. Repeated rows are copies of each
+Null and empty texts have no symbols and lose none; texts of any length are read whole. Repeated rows are copies of each
 other. Null ids pass through. An empty table gives an empty table; other columns are
 not read. Names are of 64 bits at each length; a false match needs two names to collide
 within one initial bucket's key, at a rate of about one in 2^64 for each pair.
@@ -36,8 +38,19 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, compact, discard, materialise, raw, slices, text_key, utf8_bytes
 
-#: Bytes of a string that must not repeat, of an initial bucket's names, and windows of a cell.
-LENGTH, Q, CELL = 400, 32, 24
+
+
+class Unit(NamedTuple):
+    """What a text is cut into: by words or by bytes; symbols of an initial bucket's names, and windows of a cell."""
+
+    words: bool
+    q: int
+    cell: int
+
+
+BYTES, WORDS = Unit(False, 32, 24), Unit(True, 8, 6)
+#: Bytes of a string that must not repeat; words of a passage that must not.
+LENGTH, PASSAGE = 400, 50
 
 _m1, _m2, _m3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _s29 = np.uint64(29)
@@ -51,14 +64,44 @@ def refined(names: np.ndarray, later: int) -> np.ndarray:
     return (x ^ (x >> _s29)) * _m3
 
 
+#: Bytes that part words.
+_space = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _s29)) * _m3
+    return (x ^ (x >> _s29)) * _m1
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    inside = np.concatenate([[False], ~_space[np.frombuffer(text, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def symbols(text: bytes, unit: Unit) -> np.ndarray:
+    """The name of each symbol: of a word, a sum of its bytes' names, each times a number for its place."""
+    own = np.frombuffer(text, np.uint8)
+    if not unit.words:
+        return _bytes[own]
+    start, end = word_bounds(text)
+    if not len(start):
+        return np.empty(0, np.uint64)
+    own, begin = own[start[0] :], start - start[0]
+    place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+    parts = np.where(_space[own], np.uint64(0), _bytes[own] * mixed((place + 1).astype(np.uint64) * _m2))
+    return mixed(np.add.reduceat(parts, begin) + (end - start).astype(np.uint64) * _m2)
+
+
 class Names:
-    """Names of all strings of a text, length by length, each from the length below."""
+    """Names of all strings of a row of symbols, length by length, each from the length below."""
 
-    def __init__(self, text: bytes):
-        self.by_length = {1: _bytes[np.frombuffer(text, np.uint8)]}
+    def __init__(self, of_symbols: np.ndarray):
+        self.by_length = {1: of_symbols}
 
     def of(self, length: int) -> np.ndarray:
-        """Names of the strings of `length` bytes at every position that has one."""
+        """Names of the strings of `length` symbols at every position that has one."""
         if length not in self.by_length:
             half = 1 << (length - 1).bit_length() - 1  # the largest power of two below the length
             self.by_length[length] = refined(self.of(half), length - half)
@@ -76,13 +119,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - h)], x[width - h :]) if h < width else x
 
 
-def filed(names: Names, n: int, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def filed(names: Names, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts filed under one place: first start, end, bucket, place.
 
     A window's bucket is its least name, its place the first that has this name in it, so
     that equal windows have the same bucket at the same distance.
     """
-    if n < length:
+    if len(names.by_length[1]) < length:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     own, width = names.of(q), length - q + 1
     least = sliding_least(own, width)
@@ -114,12 +157,11 @@ def _keys(bucket: np.ndarray, kind: int, low: np.ndarray, high: np.ndarray, name
     return _signed(x ^ (x >> np.uint64(32)))
 
 
-def cells(text: bytes, first: np.ndarray, end: np.ndarray, bucket: np.ndarray, place: np.ndarray, length: int, width: int) -> dict[str, np.ndarray]:
+def cells(names: Names, first: np.ndarray, end: np.ndarray, bucket: np.ndarray, place: np.ndarray, length: int, width: int) -> dict[str, np.ndarray]:
     """Cells of the runs: start and end of their windows, the key of their core and of their hull.
 
     Cells lie on a grid counted from the bucket's place, so that equal strings are cut alike.
     """
-    names = Names(text)
     grid_low, grid_high = (first - place) // width, (end - 1 - place) // width
     counts = grid_high - grid_low + 1
     run = np.repeat(np.arange(len(first)), counts)
@@ -147,32 +189,36 @@ def _repeat(values: list[int], counts: list[int]) -> pa.Array:
 
 class Removal(NamedTuple):
     """rows: doc_id, n (bytes), key and sha256 of the text of every document. texts: key, spans (array<struct<a, b>> of
-    the bytes that go) and kept (the bytes that stay) of every text that loses something."""
+    the bytes that go, byte offsets for words too) and kept (the bytes that stay) of every text that loses something."""
 
     rows: DataFrame
     texts: DataFrame
 
 
 @compact
-def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", q: int = Q, width: int = CELL) -> Removal:
-    """What the strings of `length` bytes that start more than once leave of every document."""
+def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_id: str = "doc_id", text: str = "text") -> Removal:
+    """What the strings of `length` symbols that start more than once leave of every document."""
     bounded_batches(documents)
+    # so many bytes have texts of `length` symbols at least
+    least = 2 * length - 1 if unit.words else length
     t = F.coalesce(F.col(text), F.lit(""))
-    source = documents.select(F.col(doc_id).alias("doc_id"), utf8_bytes(F.col(text)).alias("n"), text_key(F.col(text)).alias("key"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("sha256"), F.when(utf8_bytes(F.col(text)) >= length, t).alias("t"))
+    source = documents.select(F.col(doc_id).alias("doc_id"), utf8_bytes(F.col(text)).alias("n"), text_key(F.col(text)).alias("key"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("sha256"), F.when(utf8_bytes(F.col(text)) >= least, t).alias("t"))
     kind = dict(source.dtypes)["doc_id"]
     id_columns = ["doc_id", "n", "key", "sha256"]
 
     def file_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            runs = [filed(Names(t), len(t), length, q) if t else None for t in raw(batch.column("t"))]
+            named = [symbols(t, unit) if t else None for t in raw(batch.column("t"))]
+            sizes = pa.array([0 if x is None else len(x) for x in named], pa.int64())
+            runs = [None if x is None or len(x) < length else filed(Names(x), length, unit.q) for x in named]
             firsts, ends, places = (pa.array([None if r is None else r[k] for r in runs], pa.list_(pa.int32())) for k in (0, 1, 3))
             buckets = pa.array([None if r is None else _signed(r[2]) for r in runs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in id_columns], firsts, ends, buckets, places], [*id_columns, *RUNS])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in id_columns], sizes, firsts, ends, buckets, places], [*id_columns, "size", *RUNS])
 
-    filed_rows = materialise(source.mapInArrow(file_windows, f"doc_id {kind}, n long, key binary, sha256 binary, firsts array<int>, ends array<int>, buckets array<long>, places array<int>"), "windows", scanned=True)
+    filed_rows = materialise(source.mapInArrow(file_windows, f"doc_id {kind}, n long, key binary, sha256 binary, size long, firsts array<int>, ends array<int>, buckets array<long>, places array<int>"), "windows", scanned=True)
     rows = filed_rows.select(*id_columns)
     # an equal text in several rows is one text
-    once = filed_rows.where(f"n >= {length}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in RUNS])
+    once = filed_rows.where(f"size >= {length}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in RUNS])
     once = materialise(once.withColumn("id", F.monotonically_increasing_id()), "texts")
     flat = once.select("id", F.explode(F.arrays_zip(*RUNS)).alias("r")).select("id", "r.*").toDF("id", "first", "end", "bucket", "place")
     shared = flat.groupBy("bucket").count().where("count > 1").select("bucket")
@@ -188,7 +234,7 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
             for t, i, *runs in _grouped_rows(batch, "id", *RUNS):
                 ids.append(i)
                 first, end, bucket, place = (np.array(x, np.int64) for x in runs)
-                found.append(cells(t, first, end, bucket.view(np.uint64), place, length, width))
+                found.append(cells(Names(symbols(t, unit)), first, end, bucket.view(np.uint64), place, length, unit.cell))
             columns = [pa.array(np.concatenate([x[k] for x in found])) for k in CELLS]
             yield pa.RecordBatch.from_arrays([_repeat(ids, [len(x["start"]) for x in found]), *columns], ["id", *CELLS])
 
@@ -211,7 +257,7 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                 counts = [x["last"] + 1 - x["start"] for x in todo]
                 bucket = np.repeat(np.array([x["bucket"] for x in todo], np.int64), counts).view(np.uint64)
                 delta = start - np.repeat(np.array([x["place"] for x in todo], np.int64), counts)
-                own = Names(t).one(start, length)
+                own = Names(symbols(t, unit)).one(start, length)
                 found.append((np.full(len(start), i), start, _keys(bucket, 2, delta, delta, own), _signed(own)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["id", "start", "one", "two"])
 
@@ -232,6 +278,9 @@ def remove(documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                         joined[-1][1] = max(joined[-1][1], x["last"] + length)
                     else:
                         joined.append([x["start"], x["last"] + length])
+                if unit.words:
+                    starts, ends = word_bounds(t)
+                    joined = [[int(starts[a]), int(ends[b - 1])] for a, b in joined]
                 ends = [0, *(e for _, e in joined)]
                 cuts.append([{"a": a, "b": b} for a, b in joined])
                 kept.append(b"".join(t[e:a] for e, a in zip(ends, [*(a for a, _ in joined), len(t)], strict=True)))
@@ -247,14 +296,22 @@ RUNS = ("firsts", "ends", "buckets", "places")
 CELLS = ("start", "last", "bucket", "place", "core", "hull")
 
 
-def digests(removal: Removal) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    texts = removal.texts.select("key", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("own"))
+def lost() -> list[Column]:
+    """Bytes and number of the spans."""
+    return [F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"]), F.size("spans").cast("long")]
+
+
+def digests(removal: Removal, passages: Removal | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with `passages`, another removal from the same documents, also its passage_bytes and n_passages."""
+    n_removed, n_spans = lost()
+    texts = removal.texts.select("key", n_removed.alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("own"))
+    found = removal.rows.join(texts, "key", "left")
     none = F.lit(0).cast("long")
-    return removal.rows.join(texts, "key", "left").select(
-        "doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("own", F.lower(F.hex("sha256"))).alias("kept_sha256")
-    )
+    columns = ["doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("own", F.lower(F.hex("sha256"))).alias("kept_sha256")]
+    if passages is not None:
+        found = found.join(passages.texts.select("key", n_removed.alias("passage_bytes"), n_spans.alias("n_passages")), "key", "left")
+        columns += [F.coalesce(k, none).alias(k) for k in ("passage_bytes", "n_passages")]
+    return found.select(*columns)
 
 
 def rewrite(documents: DataFrame, removal: Removal, text: str = "text") -> DataFrame:

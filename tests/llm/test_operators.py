@@ -200,16 +200,60 @@ def test_repeats_equal_brute_force(spark, length, q, width):
         kind = i % 6
         rows.append([own, f"{own} {passage} {own[:20]}", passage[int(rng.integers(0, 100)) :] + own, page * int(rng.integers(1, 9)), own * 2, "ab" * int(rng.integers(1, 90))][kind])
     rows += [rows[1], rows[1], "", None, "short", passage, "é" * 200, "z" * 500, "z" * 70]
-    got = suffixes.digests(suffixes.remove(docs(spark, list(enumerate(rows))).withColumn("key", F.lit(1)), length, q=q, width=width)).orderBy("doc_id").collect()
+    got = suffixes.digests(suffixes.remove(docs(spark, list(enumerate(rows))).withColumn("key", F.lit(1)), length, suffixes.Unit(False, q, width))).orderBy("doc_id").collect()
     want = brute_repeats([(t or "").encode() for t in rows], length)
     assert [tuple(r)[1:] for r in got] == want
     assert sum(w[1] > 0 for w in want) > 20
 
 
+def brute_passages(texts, length):
+    """Bytes and number of the runs of words that repeated strings of `length` words cover, and what stays."""
+    cut = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    of = lambda w, i: tuple(x for _, _, x in w[i : i + length])
+    count = Counter(of(w, i) for w in cut for i in range(len(w) - length + 1))
+    out = []
+    for t, w in zip(texts, cut, strict=True):
+        spans = []
+        for i in range(len(w) - length + 1):
+            if count[of(w, i)] > 1:
+                if spans and i < spans[-1][1]:
+                    spans[-1][1] = i + length
+                else:
+                    spans.append([i, i + length])
+        joined = []
+        for a, b in spans:
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = b
+            else:
+                joined.append([a, b])
+        bounds = [(w[a][0], w[b - 1][1]) for a, b in joined]
+        ends = [0, *(b for _, b in bounds)]
+        out.append((sum(b - a for a, b in bounds), len(bounds), b"".join(t[e:a] for e, a in zip(ends, [*(a for a, _ in bounds), len(t)], strict=True))))
+    return out
+
+
+@pytest.mark.parametrize(("length", "q", "cell"), [(12, 4, 3), (50, 8, 6)])
+def test_repeated_passages_of_words_equal_brute_force(spark, length, q, cell):
+    rng = np.random.default_rng(length)
+    passage = words(rng, 60)
+    rows = []
+    for i in range(90):
+        own = words(rng, int(rng.integers(1, 80)), 9000)
+        at = int(rng.integers(0, 9))
+        kind = [own, [*own, *passage, *own[:5]], [*passage[at : at + length - 1], *own], ["le"] * int(rng.integers(1, 90)), [*own, *own], [*own, *passage[: length + 3]]][i % 6]
+        rows.append(str(rng.choice([" ", "\n", " \t "])).join(kind))
+    rows += ["", None, "  ", "\n" + " ".join(passage), "é" * 300, " ".join(passage[:length]) + "\x85x"]
+    removal = suffixes.remove(docs(spark, list(enumerate(rows))), length, suffixes.Unit(True, q, cell))
+    got = suffixes.digests(removal, removal).orderBy("doc_id").collect()
+    want = brute_passages([(t or "").encode() for t in rows], length)
+    assert [(r.passage_bytes, r.n_passages, r.kept_sha256) for r in got] == [(a, b, hashlib.sha256(k).hexdigest()) for a, b, k in want]
+    assert sum(w[0] > 0 for w in want) > 20 and [r.n_removed for r in got] == [r.passage_bytes for r in got]
+
+
 def test_repeats_odd_rows(spark, odd):
-    got = suffixes.digests(suffixes.remove(odd, 10, q=4, width=3)).toPandas()
+    got = suffixes.digests(suffixes.remove(odd, 10, suffixes.Unit(False, 4, 3))).toPandas()
     assert len(got) == 10 and (got[got["doc_id"] == 7]["n_removed"] == 19).all()
-    out = suffixes.rewrite(odd, suffixes.remove(odd, 10, q=4, width=3))
+    out = suffixes.rewrite(odd, suffixes.remove(odd, 10, suffixes.Unit(False, 4, 3)))
     assert out.columns == odd.columns and out.where("doc_id = 7").first()["text"] == ""
     assert suffixes.remove(odd.limit(0)).rows.count() == 0
 
