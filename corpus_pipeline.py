@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand in more than one place."""
-    out = suffixes.rewrite(docs, suffixes.remove(docs))
+    """Texts without the strings of 50 words that stand in more than one place."""
+    out = suffixes.rewrite(docs, suffixes.remove(docs, suffixes.PASSAGE, suffixes.WORDS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
