@@ -8,12 +8,13 @@ SAMPLE_ROWS), chosen by a hash of the id; rows whose crc32(doc_id as text) mod 3
 never enter it. Scores are calibrated by isotonic regression on out-of-fold margins, so
 that a score is a probability.
 
-Learned words are those that stand in a larger share of the sample's toxic documents than
-of its clean ones, by a bound of DEVIATIONS. They are counted on the executors; for the
+Learned words, and beginnings of words (of BEGINNINGS letters), are those that stand in a
+larger share of the sample's toxic documents than of its clean ones, by a bound of
+DEVIATIONS. They are counted on the executors; for the
 rows of a fold of the sample they are learned from the other folds, so that the trees see
 densities as they are on documents that the words weren't learned from.
 
-Null and empty texts have all densities 0 and get the score of that feature vector.
+Very long texts are read whole; of rows with one score (a tie) each gets it. Null and empty texts have all densities 0 and get the score of that feature vector.
 Repeated rows are scored alike; a doc_id that has several labels counts as toxic if one
 of them says so; null labels and ids aren't learned from. With no label of one class,
 every score is the share of toxic labels (0 with no labels at all). An empty table gives
@@ -41,6 +42,8 @@ THRESHOLD = 0.7
 FOLDS = 4
 #: Learned words: at most so many, each in so many toxic documents at least, and so many deviations by which the logarithm of the ratio of shares is lowered.
 LEARNED, LEAST, DEVIATIONS = 20_000, 3, 2.0
+#: Letters of the beginnings of longer words that are learned like words; they end in a star.
+BEGINNINGS = (4, 5, 6)
 
 # Words of four languages in the order insult, profanity, threat and contempt. Words that are harmless in another of the languages are left out.
 LEXICON = {
@@ -60,7 +63,7 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur ya du dich di
 DISGUISES = str.maketrans("013457@$!|€", "oieastasiie")
 #: Words within this distance of a pronoun are near it.
 NEAR = 5
-FEATURES = [*LEXICON, "hits", "log_hits", "near_pronoun", "pronouns", "capitals", "shouted", "exclaimed", "asked", "punctuation", "obfuscated", "log_obfuscated", "disguised", "stretched", "log_words", "learned", "log_learned", "learned_weight", "log_learned_weight"]
+FEATURES = [*LEXICON, "hits", "log_hits", "near_pronoun", "pronouns", "capitals", "shouted", "exclaimed", "asked", "punctuation", "obfuscated", "log_obfuscated", "disguised", "stretched", "log_words", *(f"{k}_{of}" for of in ("words", "beginnings") for k in ("learned", "log_learned", "learned_weight", "log_learned_weight"))]
 
 _groups = {w: i for i, words in enumerate(LEXICON.values()) for w in words.split()}
 _words = re.compile(r"[^\W_]+").findall
@@ -86,8 +89,26 @@ def _undone(word: str) -> int | None:
     return next((g for g, p in _starred_by.get((word[0], len(word)), ()) if p.match(word)), None) if "*" in word else None
 
 
-def features(text: str | None, learned: dict[str, float] | None = None) -> list[float]:
-    """learned: weights of learned words."""
+def beginnings(word: str) -> list[str]:
+    return [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
+
+
+class Weights(dict):
+    """Of each word looked up: the weight that was learned for it and the greatest of its beginnings'; half a million words are remembered."""
+
+    def __init__(self, learned: dict[str, float]):
+        super().__init__()
+        self.learned = learned
+
+    def __missing__(self, word: str) -> tuple[float, float]:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = (self.learned.get(word, 0.0), max((self.learned.get(b, 0.0) for b in beginnings(word)), default=0.0))
+        return found
+
+
+def features(text: str | None, weights: Weights | None = None) -> list[float]:
+    """weights: of learned words."""
     text = text or ""
     lower = text.lower()
     words = _words(lower)
@@ -112,12 +133,15 @@ def features(text: str | None, learned: dict[str, float] | None = None) -> list[
     shouted = sum(len(w) > 2 and w.isupper() for w in _words(text)) if upper > len(words) else 0
     signs = {c: text.count(c) for c in "!?.,;:#$%&*"}
     hits = sum(groups)
-    weights = [learned[w] for w in words if w in learned] if learned else []
-    weight = math.fsum(weights)
+    found = [weights[w] for w in words] if weights is not None and weights.learned else []
+    marks: list[float] = []
+    for own in ([a for a, _ in found if a], [b for _, b in found if b]):
+        weight = math.fsum(own)
+        marks += [1000 * len(own) / n, math.log1p(len(own)), 1000 * weight / n, math.log1p(weight)]
     return [
         *(1000 * g / n for g in groups), 1000 * hits / n, math.log1p(hits), 1000 * near / n, 1000 * pronouns / n,
         upper / letters, shouted / n, signs["!"] / n, signs["?"] / n, sum(signs.values()) / letters, 1000 * obfuscated / n, math.log1p(obfuscated), len(disguised) / n, len(stretched) / n, math.log1p(len(words)),
-        1000 * len(weights) / n, math.log1p(len(weights)), 1000 * weight / n, math.log1p(weight),
+        *marks,
     ]
 
 
@@ -226,7 +250,8 @@ def learn(texts: DataFrame) -> list[dict[str, float]]:
         for batch in slices(batches, "t"):
             counts: dict[str, list[int]] = {}
             for t, toxic, fold in zip(*(batch.column(k).to_pylist() for k in ("t", "toxic", "fold")), strict=True):
-                for w in set(_words(t.lower())):
+                words = set(_words(t.lower()))
+                for w in words.union(*map(beginnings, words)):
                     counts.setdefault(w, [0] * len(cells))[2 * fold + toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in range(len(cells)))], ["word", *cells])
 
@@ -260,8 +285,9 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) ->
     shared = documents.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [Weights(x) for x in shared.value]
         for batch in slices(batches, "t"):
-            x = [features(t, shared.value[fold]) for t, fold in zip(batch.column("t").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            x = [features(t, weights[fold]) for t, fold in zip(batch.column("t").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "toxic", "fold")), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
 
     rows = texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, fold int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "toxic", "fold").toArrow()
@@ -279,8 +305,9 @@ def score(documents: DataFrame, model: Model, keep: list[str], text: str = "text
     types = dict(source.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(shared.value.learned)
         for batch in slices(batches, "t"):
-            found = shared.value.score(np.array([features(t, shared.value.learned) for t in batch.column("t").to_pylist()], float))
+            found = shared.value.score(np.array([features(t, weights) for t in batch.column("t").to_pylist()], float))
             out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in inner], pa.array(found, pa.float64())], [*inner, "toxic_score"])
             yield out if below is None else out.filter(pa.array(found < below))
 

@@ -298,17 +298,55 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert toxicity.score(odd, model, odd.columns).count() == 10
     kept = toxicity.score(table, model, table.columns, below=toxicity.THRESHOLD)
     assert kept.columns == table.columns and kept.count() == 480
+    assert toxicity.score(docs(spark, []), toxicity.train(docs(spark, []), marks), ["doc_id"]).count() == 0
     nothing = toxicity.train(table, marks.limit(0))
     assert {r.toxic_score for r in toxicity.score(table, nothing, ["doc_id"]).collect()} == {0.0}
 
 
+def brute_features(text, learned):
+    """The features of a text without disguises, counted one by one."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    n, groups = len(words), {g: set(w.split()) for g, w in toxicity.LEXICON.items()}
+    every = set().union(*groups.values())
+    near = sum(1 for i, w in enumerate(words) if w in every and any(words[j] in toxicity.SECOND_PERSON for j in range(max(0, i - 5), min(n, i + 6))))
+    hits = sum(w in every for w in words)
+    own = [learned[w] for w in words if w in learned]
+    begun = [max(x) for w in words if (x := [learned[w[:k] + "*"] for k in (4, 5, 6) if len(w) > k and w[:k] + "*" in learned])]
+    signs = sum(c in "!?.,;:#$%&*" for c in text)
+    marks = [y for x in (own, begun) for y in (1000 * len(x) / n, np.log1p(len(x)), 1000 * sum(x) / n, np.log1p(sum(x)))]
+    pronouns = sum(w in toxicity.SECOND_PERSON for w in words)
+    return [
+        *(1000 * sum(w in g for w in words) / n for g in groups.values()), 1000 * hits / n, np.log1p(hits), 1000 * near / n, 1000 * pronouns / n, sum(c.isupper() for c in text) / len(text), 0, text.count("!") / n, text.count("?") / n,
+        signs / len(text), 0, 0, sum(len(w) > 2 and any(c.isdigit() for c in w) for w in text.split()) / n, 0, np.log1p(n), *marks,
+    ]
+
+
+def brute_score(model, x):
+    """The trees walked node by node, then the calibration between its two nearest steps."""
+    margin = model.trees.start
+    for feature, cut, value in model.trees.trees:
+        node = 0
+        while feature[node] >= 0:
+            edges = model.trees.edges[feature[node]]
+            node = 2 * node + 1 + (sum(e < x[feature[node]] for e in edges) > cut[node])
+        margin += value[node]
+    at, level = list(model.at), list(model.level)
+    if margin <= at[0]:
+        return level[0]
+    if margin >= at[-1]:
+        return level[-1]
+    i = max(k for k in range(len(at)) if at[k] <= margin)
+    return level[i] + (level[i + 1] - level[i]) * (margin - at[i]) / (at[i + 1] - at[i])
+
+
 def test_toxic_words_outside_the_fixed_list_are_learned(spark):
     rng = np.random.default_rng(16)
     rows, labels = [], []
     for i in range(600):
         own = words(rng, 60)
         if i % 5 == 0:
-            own[3:50:12] = rng.choice(["schnarpel", "klomp", "zwurbel", "fniedrig"], 4).tolist()
+            # two words as they are, two beginnings with endings of their own
+            own[3:50:12] = [str(rng.choice(["schnarpel", "klomp"])), str(rng.choice(["zwurbel", "fniedrig"])), *(f"{rng.choice(['quabb', 'dromp'])}{i}x{j}" for j in range(2))]
         elif i % 7 == 0:
             own[5] = "klomp"  # once, and harmless
         rows.append((i, " ".join(own)))
@@ -319,11 +357,15 @@ def test_toxic_words_outside_the_fixed_list_are_learned(spark):
     got = {r.doc_id: r.toxic_score for r in toxicity.score(table, model, ["doc_id"]).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert all((got[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held)
+    for i, t in rows[:40]:
+        assert got[i] == pytest.approx(brute_score(model, brute_features(t, model.learned)), abs=1e-9)
     # what stands in held-out rows only isn't learned, and a fold's rows don't lend words to their own features
     odd_one = docs(spark, [(i, f"{t} secret") if i in held else (i, f"{t} own{i}") for i, t in rows])
     x, y, fold, learned = toxicity.sample(odd_one, marks)
     assert len(x) == len(y) == len(fold) == 600 - len(held) and set(fold) == set(range(toxicity.FOLDS))
-    assert "secret" not in learned and not any(w.startswith("own") for w in learned) and "schnarpel" in learned
+    assert "secret" not in learned and not any(w.startswith("own") for w in learned) and {"schnarpel", "quabb*"} <= set(learned)
+    for r in rows[:60]:
+        assert np.allclose(toxicity.features(r[1], toxicity.Weights(learned)), brute_features(r[1], learned))
 
 
 # ---- 6 near duplicates ---------------------------------------------------------------------------------------------
