@@ -2,16 +2,21 @@
 
 The standard library's HTMLParser yields events; they are folded into lines (one for
 each block of text) that carry their characters, the tags seen since the line before,
-the characters inside links and the landmark they stand in; text that a structural
-sign (menu, header, footer, sidebar, form, script, notice, advert, comment) marks makes no line.
-The text-to-tag ratios of the lines are smoothed by a Gaussian; lines above a
-threshold (a share of the standard deviation) are the cores of content clusters. The
-landmark (article, main) that holds the cores is the content region and all of its
-lines are returned, short ones too; without a landmark the region runs from
-the first core line to the last.
-
-Null or empty html, and pages without text, give an empty text. Every input row gives
-one row; repeated rows and null ids pass through; other columns are not read.
+the characters inside links, the element and the landmark (article, main) they stand
+in, and whether a structural sign (menu, header, footer, sidebar, form, notice, advert,
+comment) marks them. Scripts, styles and the like make no lines.
+
+The text-to-tag ratios of all lines, weighed by structure (a landmark raises them, a mark
+lowers them), are smoothed by a Gaussian. Lines above a threshold (a share of the
+standard deviation) are content; runs of them are clusters. The clusters of the greatest
+weighed mass (of equal ones all) say where the content is: the region is the outermost
+landmark around a cluster, or else the element that holds all clusters without one, or, if
+that is the whole page, what runs from the first of their lines to the last. Of a region
+all unmarked lines are returned, short ones too.
+
+Null or empty html, and pages without text, give an empty text; pages of any length are
+read whole. Every input row gives one row; repeated rows and null ids pass through; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .common import bounded_batches, slices
 
 #: Standard deviation, in lines, and reach of the Gaussian; cores lie above this share of the ratios' deviation.
 SIGMA, REACH, SHARE = 1.0, 2, 0.5
+#: Weights of lines in a landmark and of marked lines; a cluster counts with this share of the greatest mass.
+LANDMARK, MARKED, PART = 8.0, 0.1, 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start and end part text into blocks.
@@ -37,8 +44,11 @@ BLOCKS = frozenset(
     h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td
     textarea tfoot th thead title tr ul""".split()
 )
-#: Elements that are never content, whatever surrounds them.
-HIDDEN = frozenset("head script style noscript template svg math canvas iframe object embed applet audio video select option button textarea form fieldset nav aside footer menu dialog datalist".split())
+#: Elements whose text isn't shown as text, and elements that are marked by their name; a form marks unless all else is marked.
+UNSEEN = frozenset("head script style noscript template svg math canvas iframe object embed applet audio video select option datalist textarea button".split())
+ASIDE = frozenset("fieldset nav aside footer menu dialog".split())
+#: How a line is marked.
+OPEN, IN_FORM, OUT, GONE = range(4)
 #: An open p ends where one of these starts.
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an element of the same kind ends, and what holds it.
@@ -61,52 +71,58 @@ _none_shown = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden").search
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "landmark")
+    __slots__ = ("text", "tags", "linked", "landmark", "node", "mark")
 
-    def __init__(self, text: str, tags: int, linked: int, landmark: int):
-        self.text, self.tags, self.linked, self.landmark = text, tags, linked, landmark
+    def __init__(self, text: str, tags: int, linked: int, landmark: int, node: int, mark: int):
+        self.text, self.tags, self.linked, self.landmark, self.node, self.mark = text, tags, linked, landmark, node, mark
 
 
 class Reader(HTMLParser):
-    """Folds events into lines of unmarked text. Unclosed and stray tags are tolerated: an end tag closes up to the last open element of its name, if there is one."""
+    """Folds events into lines. Unclosed and stray tags are tolerated: an end tag closes up to the last open element of its name, if there is one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, marked, landmark
+        self.open: list[tuple[str, int, int, int]] = []  # tag, mark, landmark, node
         self.lines: list[Line] = []
-        self.piece: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.pieces: list[tuple[int, str, bool]] = []  # since the last flush: mark, text, whether it is linked
+        self.tags = self.links = 0
         self.landmarks: list[tuple[str, int]] = [("", -1)]  # tag and enclosing landmark; 0 is the page
+        self.nodes: list[int] = [-1]  # parents of block elements; 0 is the page
 
-    def here(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def here(self) -> tuple[int, int, int]:
+        return self.open[-1][1:] if self.open else (OPEN, 0, 0)
 
     def flush(self) -> None:
-        marked, landmark = self.here()
-        text = " ".join("".join(self.piece).split())
-        if text:
-            self.lines.append(Line(text, self.tags, self.linked, landmark))
-        if text or marked:
+        """The pieces of each mark make a line: marked words within a block are neither content nor a part of the words around them."""
+        mark, landmark, node = self.here()
+        made = False
+        for own in sorted({m for m, *_ in self.pieces}):
+            text = " ".join("".join(t for m, t, _ in self.pieces if m == own).split())
+            if text:
+                self.lines.append(Line(text, self.tags, sum(len(t) for m, t, linked in self.pieces if m == own and linked), landmark, node, own))
+                made = True
+        if made or mark:
             self.tags = 0
-        self.piece.clear()
-        self.linked = 0
+        self.pieces.clear()
 
-    def marks(self, tag: str, attrs: dict[str, str | None], landmark: int) -> bool:
-        if tag in HIDDEN or tag == "header" and not landmark:
-            return True
+    def mark(self, tag: str, attrs: dict[str, str | None], landmark: int) -> int:
+        if tag in UNSEEN:
+            return GONE
+        if tag in ASIDE or tag == "header" and not landmark:
+            return OUT
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES or _none_shown(attrs.get("style") or ""):
-            return True
+            return OUT
         if tag in ("html", "body", "main"):
-            return False
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        found = {w.lower() for w in _words(names)} if names != " " else ()
-        if not PHRASES.isdisjoint(found):
-            return False
-        return bool(found) and (not MARKS.isdisjoint(found) or "header" in found and not landmark and tag in ("div", "section"))
+            return OPEN
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+            found = {w.lower() for w in _words(name)}
+            if PHRASES.isdisjoint(found) and (not MARKS.isdisjoint(found) or "header" in found and not landmark and tag in ("div", "section")):
+                return OUT
+        return IN_FORM if tag == "form" else OPEN
 
     def close_to(self, i: int) -> None:
         self.flush()
-        for tag, _, _ in self.open[i:]:
+        for tag, *_ in self.open[i:]:
             self.links -= tag == "a"
         del self.open[i:]
 
@@ -132,13 +148,18 @@ class Reader(HTMLParser):
             self.close_to(i)
         if tag in LANDMARKS and (i := self.last(("nav", "head"))) >= 0:  # a menu that was never closed
             self.close_to(i)
-        marked, landmark = self.here()
-        marked = marked or self.marks(tag, dict(attrs), landmark)
-        if tag in LANDMARKS and not marked:
+        mark, landmark, node = self.here()
+        if tag in LANDMARKS and mark == IN_FORM:  # a form around the article marks nothing in it
+            mark = OPEN
+        mark = max(mark, self.mark(tag, dict(attrs), landmark))
+        if tag in LANDMARKS and mark == OPEN:
             self.landmarks.append((tag, landmark))
             landmark = len(self.landmarks) - 1
+        if tag in BLOCKS and tag not in ("html", "body"):
+            self.nodes.append(node)
+            node = len(self.nodes) - 1
         self.links += tag == "a"
-        self.open.append((tag, marked, landmark))
+        self.open.append((tag, mark, landmark, node))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do, the slash means nothing
@@ -148,27 +169,32 @@ class Reader(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         if (i := self.last((tag,))) >= 0:
-            if tag in BLOCKS or any(t in BLOCKS for t, _, _ in self.open[i:]):
+            if tag in BLOCKS or any(t in BLOCKS for t, *_ in self.open[i:]):
                 self.close_to(i)
             else:
-                for t, _, _ in self.open[i:]:
+                for t, *_ in self.open[i:]:
                     self.links -= t == "a"
                 del self.open[i:]
 
     def handle_data(self, data: str) -> None:
-        if self.here()[0]:  # neither content nor a part of the words around it
+        mark = self.here()[0]
+        if mark == GONE:
             return
-        self.piece.append(data)
-        if self.links > 0:
-            self.linked += len(data)
+        self.pieces.append((mark, data, self.links > 0))
 
 
-def lines_of(html: str) -> tuple[list[Line], list[tuple[str, int]]]:
+def lines_of(html: str) -> tuple[list[Line], list[tuple[str, int]], list[int]]:
+    """Lines, landmarks and the parents of block elements."""
     reader = Reader()
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.lines, reader.landmarks
+    lines = reader.lines
+    forms = any(x.mark == OPEN for x in lines)
+    for x in lines:
+        if x.mark == IN_FORM:
+            x.mark = OUT if forms else OPEN
+    return lines, reader.landmarks, reader.nodes
 
 
 def smoothed(values: list[float], sigma: float = SIGMA, reach: int = REACH) -> list[float]:
@@ -184,42 +210,67 @@ def smoothed(values: list[float], sigma: float = SIGMA, reach: int = REACH) -> l
     return out
 
 
-def cores(lines: list[Line]) -> list[int]:
-    """Indexes of the lines whose smoothed ratio of text to tags is over the threshold; lines that are mostly links are none."""
-    if not lines:
-        return []
-    ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines])
+def weighed(line: Line) -> float:
+    """Characters outside links, weighed by structure."""
+    return max(0, len(line.text) - line.linked) * (MARKED if line.mark else LANDMARK if line.landmark else 1.0)
+
+
+def clusters(lines: list[Line], outermost: list[int]) -> list[list[int]]:
+    """Runs of lines of one outermost landmark (0: none) whose smoothed ratio of weighed text to tags is over the threshold."""
+    ratios = smoothed([weighed(x) / max(1, x.tags) for x in lines])
     mean = sum(ratios) / len(ratios)
-    deviation = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    least = min(SHARE * deviation, max(ratios)) if deviation else 0.0
-    return [i for i, r in enumerate(ratios) if r >= least and 2 * lines[i].linked <= len(lines[i].text)]
+    least = min(SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
+    out: list[list[int]] = []
+    for i, r in enumerate(ratios):
+        if r >= least and 2 * lines[i].linked <= len(lines[i].text):
+            if out and out[-1][-1] == i - 1 and outermost[i] == outermost[i - 1]:
+                out[-1].append(i)
+            else:
+                out.append([i])
+    return out
+
+
+def around(nodes: list[int], a: int, b: int) -> int:
+    """The innermost block element that holds both; parents have smaller numbers."""
+    while a != b:
+        a, b = (nodes[a], b) if a > b else (a, nodes[b])
+    return a
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    lines, landmarks = lines_of(html)
-    found = cores(lines)
-
-    def within(landmark: int) -> list[int]:
-        out = []
-        while landmark > 0:
-            out.append(landmark)
-            landmark = landmarks[landmark][1]
-        return out
-
-    inside = [within(x.landmark) for x in lines]
-    if not any(inside):  # no landmark: from the first core to the last
-        chosen = [x for x in lines[found[0] : found[-1] + 1] if 2 * x.linked <= len(x.text)] if found else []
-    else:
-        weight: dict[int, int] = {}
-        for i in [i for i in found if inside[i]] or [i for i, at in enumerate(inside) if at]:
-            weight[inside[i][-1]] = weight.get(inside[i][-1], 0) + len(lines[i].text)
-        outer = {k for k, w in weight.items() if 4 * w >= max(weight.values())}
-        # articles inside a main part are its content; the text around them is not
-        articles = {at[0] for at in inside if at and at[-1] in outer and landmarks[at[0]][0] == "article"}
-        chosen = [x for x, at in zip(lines, inside, strict=True) if at and at[-1] in outer and (not articles or any(landmarks[a][0] == "article" for a in at))]
-    return " ".join(x.text for x in chosen)
+    lines, landmarks, nodes = lines_of(html)
+    if not lines:
+        return ""
+    held = []  # of each line, the landmarks around it, the innermost first
+    for x in lines:
+        at, own = x.landmark, []
+        while at > 0:
+            own.append(at)
+            at = landmarks[at][1]
+        held.append(own)
+    outermost = [own[-1] if own else 0 for own in held]
+    found = clusters(lines, outermost)
+    masses = [sum(weighed(lines[i]) for i in c if not lines[i].mark) for c in found]
+    most = max(masses, default=0.0)
+    if not most:  # nothing but links and marked text: what landmarks hold
+        return " ".join(x.text for x in lines if x.landmark and not x.mark)
+    content = [c for c, m in zip(found, masses, strict=True) if m >= PART * most]
+    inside = {outermost[c[0]] for c in content} - {0}
+    # articles inside a main part are its content; the text around them is not
+    articles = {own[-1] for own in held if any(landmarks[a][0] == "article" for a in own)}
+    chosen = [bool(own) and own[-1] in inside and (own[-1] not in articles or any(landmarks[a][0] == "article" for a in own)) for own in held]
+    free = [i for c in content if not outermost[c[0]] for i in c if not lines[i].mark]
+    if free:
+        region = lines[free[0]].node
+        for i in free[1:]:
+            region = around(nodes, region, lines[i].node)
+        whole_page = not region or all(around(nodes, region, x.node) == region for x in lines)
+        for i, x in enumerate(lines):
+            if not outermost[i]:
+                chosen[i] = free[0] <= i <= free[-1] and 2 * x.linked <= len(x.text) if whole_page else around(nodes, region, x.node) == region
+    return " ".join(x.text for x, ok in zip(lines, chosen, strict=True) if ok and not x.mark)
 
 
 def extract(df: DataFrame, keys: list[str], html: str = "html") -> DataFrame:

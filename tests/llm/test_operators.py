@@ -477,6 +477,10 @@ PAGES = [
     ("<article><p>a<br>b<script>var x='</p>';</script><style>p{}</style><!-- c --><p>x &lt;y&gt; &#233;&eacute; &bogus;</article><div class=ad>Buy</div>", "a b x <y> éé &bogus;"),
     ("<main><article><p>One story.</p></article><article class='comment'><p>A reader says so.</p></article></main>", "One story."),
     ("<nav><ul><li><a href=x>x</a><article><p>Menu never closed.</p></article>", "Menu never closed."),
+    ("<body class='with-sidebar'><div class='sidebar no-print'>Links of the side.</div><article><p>In the middle.</p></article>", "In the middle."),
+    ("<form action=/><div class=menu>Menu</div><article><p>All in one form.</p><form><label>Your name</label></form></article><div id=footer>Foot</div></form>", "All in one form."),
+    ("<form><div class=nav>Menu</div><div><p>No landmark, one form for the page.</p></div></form>", "No landmark, one form for the page."),
+    ("<p>Seen <span class=ad>Buy this</span> again.</p><form>Mail <input></form>", "Seen again."),
     ("just text", "just text"), ("", ""), (None, ""), ("<p>", ""), ("<article><p>unclosed <b>bold <i>text", "unclosed bold text"), ("</div></p>stray<p>end</body>", "stray end"),
 ]
 
@@ -486,6 +490,60 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def built_page(rng, landmark):
+    """A page and the text that stands in its content."""
+    text = lambda lo, hi: " ".join(words(rng, int(rng.integers(lo, hi)), 5000)).capitalize() + "."
+    dress = lambda t: " ".join(str(rng.choice([w, w, w, f"<b>{w}</b>", f"<a href=/{w}>{w}</a>", f"{w}<!-- {w} -->"])) for w in t.split())
+    around = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href=/{i}>{text(1, 3)}</a></li>" for i in range(6)) + "</ul></nav>", lambda: f"<div class='ad box'>{text(3, 40)}</div>", lambda: f"<aside><p>{text(3, 30)}</p></aside>", lambda: f"<script>var a = '<p>{text(3, 9)}';</script>",
+        lambda: f"<form><label>{text(1, 3)}</label><input><button>{text(1, 2)}</button></form>", lambda: f"<div id=cookie-notice>{text(5, 30)}</div>", lambda: f"<section class=comments><p>{text(5, 60)}</p></section>",
+    ]
+    some = lambda: "".join(around[int(i)]() for i in rng.integers(0, len(around), int(rng.integers(0, 5))))
+    parts = [text(2, 7), *(text(25, 80) if not landmark or rng.random() < 0.6 else text(1, 10) for _ in range(int(rng.integers(2, 7))))]
+    blocks = [f"<h1>{dress(parts[0])}</h1>", *(f"<p>{dress(p)}" + str(rng.choice(["", "</p>"])) for p in parts[1:])]
+    if landmark:
+        blocks.insert(2, some())
+    head, tail = {"article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "": ("<div id=content>", "</div>")}[landmark]
+    return f"<html><head><title>{parts[0]}</title></head><body>{some()}{head}{''.join(blocks)}{tail}{some()}<footer>&copy; {text(2, 9)}</footer></body></html>", " ".join(parts)
+
+
+@pytest.mark.parametrize("landmark", ["article", "main", ""])
+def test_main_text_of_built_pages(landmark):
+    rng = np.random.default_rng(18)
+    for _ in range(150):
+        html, text = built_page(rng, landmark)
+        assert html_text.main_text(html) == text, html
+
+
+def brute_clusters(lines):
+    """Threshold and smoothing written out over arrays."""
+    weight = np.array([(len(x.text) - x.linked) * (0.1 if x.mark else 8 if x.landmark else 1) / max(1, x.tags) for x in lines])
+    k = np.exp(-np.arange(-2, 3) ** 2 / 2)
+    i = np.arange(len(weight))
+    near = [(j, w) for j, w in zip(range(-2, 3), k, strict=True)]
+    total = sum(np.where((i + j >= 0) & (i + j < len(i)), weight[np.clip(i + j, 0, len(i) - 1)] * w, 0) for j, w in near)
+    smooth = total / sum(np.where((i + j >= 0) & (i + j < len(i)), w, 0) for j, w in near)
+    over = smooth >= min(smooth.std() / 2, smooth.max())
+    return [n for n, x in enumerate(lines) if over[n] and 2 * x.linked <= len(x.text)]
+
+
+def test_clusters_equal_brute_force():
+    rng = np.random.default_rng(19)
+    for landmark in ("article", "main", "") * 20:
+        lines, *_ = html_text.lines_of(built_page(rng, landmark)[0])
+        got = html_text.clusters(lines, [0] * len(lines))
+        assert [i for c in got for i in c] == brute_clusters(lines)
+
+
+def test_smoothing_decides(monkeypatch):
+    long, short = "Running text of the article itself. " * 6, "<p>Short.</p>"
+    html = f"<body><p>Teaser that is somewhat longer than the others are.</p>{short * 8}<p>{long}</p>{short}<p>{long}</p>{short * 2}<p>{long}</p>{short * 8}<p>Last words about this site and what it is for.</p></body>"
+    smooth = html_text.main_text(html)
+    assert smooth.count("itself.") == 18 and "Teaser" not in smooth and "Last" not in smooth and "Short." in smooth
+    monkeypatch.setattr(html_text, "smoothed", lambda values: values)
+    assert html_text.main_text(html) != smooth
+
+
 def test_extract_rows(spark):
     rows = [(i if i else None, "u", h, 1) for i, (h, _) in enumerate(PAGES)] * 2
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, t int"), ["page_id", "url"]).collect()
