@@ -127,16 +127,21 @@ def sentences(text: Column | str) -> Column:
 
 
 def chunks(text: Column | str, most: int = 150, least: int = 50) -> Column:
-    """Clauses between '.' or ';' and white space; longer than `most` they are cut before the last ", " that leaves `least` characters, or at `most`.
+    """Clauses between '.' or ';' and white space; longer than `most` they are cut before the last ", " within `most` characters, or at `most` if that leaves less than `least`.
 
-    The cut is one pattern applied again and again: as much as fits up to a comma, else `most` characters.
+    A piece that is cut off is stripped; what remains loses commas and spaces at both ends, so that only the first cut sees those at the clause's end.
     """
-    clauses = F.filter(F.transform(F.split(_col(text), r"(?<=[.;])\s+"), strip), lambda s: s != "")
-    comma = rf"(?s)(?:.{{{least},{most - 2}}}(?=, )|.{{1,{most}}})"
+    clauses = F.filter(F.transform(F.split(_col(text), r"(?U)(?<=[.;])\s+"), strip), lambda s: s != "")
+    part = rf".{{{least},{most - 2}}}(?=, )|.{{{most}}}"
 
     def cut(s: Column) -> Column:
-        pieces = F.regexp_extract_all(s, F.lit(rf"(?s)[, ]*((?:.{{1,{most}}}$)|{comma[4:]})"), F.lit(1))
-        return F.filter(F.transform(pieces, strip), lambda x: x != "")
+        head = F.regexp_extract(s, rf"(?s)^(?:{part})", 0)
+        rest = F.btrim(F.substring(s, F.length(head) + 1, F.length(s)), F.lit(", "))
+        # the last piece is what is left, as it is
+        pieces = F.regexp_extract_all(rest, F.lit(rf"(?s)[, ]*+(.{{1,{most}}}\z|{part})"), F.lit(1))
+        last = F.size(pieces) - 1
+        stripped = F.transform(pieces, lambda x, i: F.when(i < last, strip(x)).otherwise(x))
+        return F.when(F.length(s) <= most, F.array(s)).otherwise(F.concat(F.array(strip(head)), F.filter(stripped, lambda x: x.isNotNull())))
 
     return F.flatten(F.transform(clauses, cut))
 

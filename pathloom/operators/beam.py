@@ -13,10 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import best, group, sum_norm
+from ..sources.durable import durable
 
 WIDTH, DEPTH, TOP, CANDIDATES = 3, 3, 5, 10
 #: A scorer adds the column `raw` to candidates (question, relation, entity, ...).
 Scorer = Callable[[DataFrame], DataFrame]
+#: From triples(question, depth, source, relation, entity, score) so far: the table(question) of those that need no more.
+Enough = Callable[[DataFrame], DataFrame]
+#: From the triples so far (question is "question#path"; None at the first depth) and the depth to come: question and `asked`, the text put to a scorer.
+Ask = Callable[[DataFrame | None, int], DataFrame]
 
 
 def keep_if_any(candidates: DataFrame, fits: Column, *by: str) -> DataFrame:
@@ -78,23 +83,54 @@ def down_sample(candidates: DataFrame, most: int = CANDIDATES, from_size: int =
     return sized.where((F.col("_n") < from_size) | (F.col("_place") <= most)).drop("_n", "_place")
 
 
-def run_pattern(questions: DataFrame, steps: DataFrame, relations: DataFrame, score: Scorer, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+def random_sample(candidates: DataFrame, most: int = CANDIDATES, from_size: int = 20, seed: int = 42, *by: str) -> DataFrame:
+    """`most` candidates of groups of `from_size` or more, drawn by md5 of "seed|question|relation|entity": the same draw every time. Other groups whole.
+
+    A sampling operator: what it leaves out is its purpose.
+    """
+    own = group(*(by or ("question", "relation")))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), "question", "relation", F.col("entity").cast("string")))
+    sized = candidates.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_place", best(own, drawn, F.col("entity")))
+    return sized.where((F.col("_n") < from_size) | (F.col("_place") <= most)).drop("_n", "_place")
+
+
+def by_name(candidates: DataFrame, nodes: DataFrame, *by: str) -> DataFrame:
+    """Candidates with their `name` and the place `ord` that names, then ids, give them in their question and relation: the order in which a prompt lists them."""
+    named = candidates.join(nodes.select(F.col("node_id").alias("entity"), "name"), "entity")
+    return named.withColumn("ord", best(group(*(by or ("question", "relation"))), F.col("name"), F.col("entity")))
+
+
+def dense_scores(candidates: DataFrame) -> DataFrame:
+    """Scores of all candidates from raw ones (products of vectors): negatives as 0, as shares of the (question, relation) group's sum, times the relation's score."""
+    raised = candidates.withColumn("raw", F.greatest("raw", F.lit(0.0)))
+    return raised.withColumn("score", sum_norm(F.col("raw"), group("question", "relation")) * F.col("relation_score"))
+
+
+def run_pattern(questions: DataFrame, steps: DataFrame, relations: DataFrame, score: Scorer, width: int = WIDTH, depth: int = DEPTH, free: Scorer | None = None, ask: Ask | None = None) -> DataFrame:
     """question, path, depth, source, relation, entity and score of the triples that pattern-guided search keeps.
 
     questions: question, path (a pattern's number), topic, types, relations. Each depth forces the pattern's relation,
     keeps the type's candidates and those that lead on (unless none does), scores and prunes.
+    free: scores relations(question, relation) of the paths whose frontier lacks the pattern's relation; the best are followed
+    instead, to any type. Without it such a path ends. ask: the question as put at a depth, see Ask.
     """
     asked = questions.select(F.concat_ws("#", "question", "path").alias("q"), "topic", "types", "relations")
     frontier = asked.select("q", F.col("topic").alias("node"), F.lit(1.0).alias("parent_score"))
     out = None
     for i in range(depth):
         goal = asked.where(F.size("relations") > i).select("q", F.get("relations", F.lit(i)).alias("relation"), F.get("types", F.lit(i + 1)).alias("wanted_type"), F.get("relations", F.lit(i + 1)).alias("next"))
-        found = frontier.join(goal, "q").join(steps, ["node", "relation"]).select("q", F.col("node").alias("parent"), "relation", "wanted_type", "next", F.col("other").alias("entity"), "other_type")
+        onward = frontier.join(goal, "q").join(steps, ["node", "relation"])
+        if free is not None:
+            lost = frontier.join(goal, "q").join(onward.select("q").distinct(), "q", "left_anti").drop("relation").join(steps, "node")
+            chosen = relation_choice(free(lost.select(F.col("q").alias("question"), "relation").distinct()), width).select(F.col("question").alias("q"), "relation")
+            onward = onward.unionByName(lost.join(chosen, ["q", "relation"]).withColumn("wanted_type", F.col("other_type")))
+        found = onward.select("q", F.col("node").alias("parent"), "relation", "wanted_type", "next", F.col("other").alias("entity"), "other_type")
         found = keep_if_any(found, F.col("other_type") == F.col("wanted_type"), "q", "parent")
         found = leading_on(found, relations, "next", "q", "parent")
         # one row for an entity that several parents reach: the first
         once = found.groupBy("q", "relation", "entity").agg(F.min("parent").alias("parent"))
-        scored = grouped_scores(score(once.withColumnRenamed("q", "question")).withColumn("relation_score", F.lit(1.0)))
+        once = once.withColumnRenamed("q", "question")
+        scored = grouped_scores(score(once if ask is None else once.join(ask(out, i + 1), "question", "left")).withColumn("relation_score", F.lit(1.0)))
         kept = prune(scored.withColumn("ord", F.col("entity")), width)
         block = kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score")
         out = block if out is None else out.unionByName(block)
@@ -103,10 +139,11 @@ def run_pattern(questions: DataFrame, steps: DataFrame, relations: DataFrame, sc
     return out.select(F.get(split, F.lit(0)).alias("question"), F.get(split, F.lit(1)).cast("int").alias("path"), "depth", "source", "relation", "entity", "score")
 
 
-def explore(questions: DataFrame, steps: DataFrame, relation_score: Scorer, score: Scorer, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+def explore(questions: DataFrame, steps: DataFrame, relation_score: Scorer, score: Scorer, width: int = WIDTH, depth: int = DEPTH, enough: Enough | None = None) -> DataFrame:
     """question, depth, source, relation, entity and score of free exploration from questions(question, topic).
 
     At each depth the frontier's relations but those that led to it are scored and the best chosen, their neighbours scored and pruned.
+    enough: the questions that the triples so far suffice for; they go no deeper.
     """
     frontier = questions.select("question", F.col("topic").alias("node"))
     came_by = questions.select("question", F.lit(None).cast("string").alias("relation")).where("1 = 0")
@@ -120,6 +157,10 @@ def explore(questions: DataFrame, steps: DataFrame, relation_score: Scorer, scor
         block = kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score")
         out = block if out is None else out.unionByName(block)
         frontier, came_by = block.select("question", F.col("entity").alias("node")).distinct(), block.select("question", "relation").distinct()
+        if enough is not None and i + 1 < depth:
+            # what a model is asked is asked once, and what it is asked about is not made again for the next depth
+            out = durable(out, "explored")
+            frontier = frontier.join(durable(enough(out), "enough"), "question", "left_anti")
     return out
 
 
@@ -175,6 +216,13 @@ def cascade(candidates: DataFrame) -> DataFrame:
     return candidates.join(shares, ["question", "source"]).withColumn("score", F.col("raw") * F.col("_share")).drop("_share")
 
 
+def evidence(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """question and evidence: its distinct triples with the nodes' names, by depth, as numbered lines."""
+    named = distinct_triples(triples).join(nodes.select(F.col("node_id").alias("source"), F.col("name").alias("s")), "source").join(nodes.select(F.col("node_id").alias("entity"), F.col("name").alias("t")), "entity")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("depth", F.col("s").alias("source"), "relation", F.col("t").alias("target")))), lambda x: F.struct(x["source"].alias("source"), x["relation"].alias("relation"), x["target"].alias("target")))
+    return named.groupBy("question").agg(ordered.alias("triples")).select("question", numbered("triples").alias("evidence"))
+
+
 def numbered(triples: str) -> Column:
     """An array of struct<source, relation, target> as numbered lines."""
     return F.array_join(F.transform(F.col(triples), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t["source"], F.lit(" →["), t["relation"], F.lit("]→ "), t["target"])), "\n")

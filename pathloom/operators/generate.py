@@ -16,13 +16,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scoring import unit
+from ..sources.durable import durable
+from . import beam, bm25
 
 Generator = Callable[[list[str]], list[str]]
 Factory = Callable[[], Generator]
+#: From texts to vectors, made in a worker like a generator.
+Encoder = Callable[[list[str]], list[list[float]]]
 
 #: Tries of a call and seconds between two.
 TRIES, PAUSE = 3, 1.0
-_made: dict[str, Generator] = {}
+#: Texts that an encoder gets at once.
+ENCODED = 256
+_made: dict[str, Callable] = {}
+
+
+def encode(df: DataFrame, factory: Callable[[], Encoder], text: str = "text", vector: str = "vector", batch: int = ENCODED) -> DataFrame:
+    """df with the vector of each text (null: the empty text), scaled to length 1."""
+    columns, key = df.columns, f"{factory.__module__}.{getattr(factory, '__qualname__', 'factory')}"
+    fields = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{vector}` array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _made:
+            _made[key] = factory()
+        for rows in batches:
+            for start in range(0, rows.num_rows, batch):
+                part = rows.slice(start, batch)
+                out = _made[key]([t or "" for t in part.column(text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.float64()))], [*columns, vector])
+
+    return df.mapInArrow(run, fields).withColumn(vector, unit(vector))
+
+
+def letter_encoder() -> Encoder:
+    """A deterministic stand-in: how often each of eight letters stands in a text."""
+    return lambda texts: [[float(t.lower().count(c)) for c in "aeinorst"] for t in texts]
 
 
 def generate(df: DataFrame, factory: Factory, prompt: str = "prompt", response: str = "response", name: str | None = None, batch: int = 64) -> DataFrame:
@@ -80,8 +109,8 @@ def score_prompt(question: Column, relation: Column, names: Column) -> Column:
     return F.concat(F.lit("Give each candidate a share of 1 by how much it helps to answer.\nQuestion: "), question, F.lit("\nRelation: "), relation, F.lit("\nCandidates: "), F.array_join(names, "; "))
 
 
-def relation_prompt(question: Column, entity: Column, relations: Column) -> Column:
-    return F.concat(F.lit("Name up to three relations worth following, each as {relation (Score: x)}.\nQuestion: "), question, F.lit("\nEntity: "), entity, F.lit("\nCandidates: "), F.array_join(relations, "; "))
+def relation_prompt(question: Column, relations: Column) -> Column:
+    return F.concat(F.lit("Name up to three relations worth following, each as {relation (Score: x)}.\nQuestion: "), question, F.lit("\nCandidates: "), F.array_join(relations, "; "))
 
 
 def answer_prompt(question: Column, evidence: Column) -> Column:
@@ -143,6 +172,84 @@ def answer_with_fallback(questions: DataFrame, factory: Factory, question: str =
     return done.unionByName(again)
 
 
+# ---- Scorers and stops of the beam that ask a model ---------------------------------------------------------------------
+
+
+def described(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, mode: str = "none") -> DataFrame:
+    """Candidates with `shown`, what a prompt says of each: the name alone ("none"), or with the node's description, whole ("full") or its clause that scores best against the question ("chunk").
+
+    candidates: question, entity and name. nodes: node_id and description. texts: question and text.
+    """
+    if mode == "none":
+        return candidates.withColumn("shown", F.col("name"))
+    if mode not in ("full", "chunk"):
+        raise ValueError(f"no description mode {mode}")
+    about = candidates.select("question", "entity").distinct().join(nodes.select(F.col("node_id").alias("entity"), "description"), "entity").withColumn("doc", F.concat_ws("|", "question", "entity"))
+    if mode == "chunk":
+        about = durable(about, "about")
+        pieces = about.select("doc", F.posexplode(T.chunks("description")).alias("pos", "piece"))
+        best = bm25.best_piece(pieces, about.join(texts, "question").select("doc", "text"), T.ascii_tokens)
+        about = about.drop("description").join(best.select("doc", F.col("piece").alias("description")), "doc", "left")
+    added = F.when(F.coalesce("description", F.lit("")) == "", F.col("name")).otherwise(F.concat("name", F.lit(": "), "description"))
+    return candidates.join(about.drop("doc"), ["question", "entity"], "left").withColumn("shown", added).drop("description")
+
+
+def relation_scorer(texts: DataFrame, factory: Factory) -> beam.Scorer:
+    """Scores relations(question, relation) by a model's response; relations that it doesn't name score 0. texts: question and text."""
+
+    def score(relations: DataFrame) -> DataFrame:
+        asked = relations.groupBy("question").agg(F.array_sort(F.collect_set("relation")).alias("names")).join(texts, "question", "left").fillna("", ["text"])
+        said = durable(generate(asked.withColumn("prompt", relation_prompt(F.col("text"), F.col("names"))), factory, response="said"), "relations")
+        found = said.select("question", F.inline(T.relation_scores("said", "names"))).groupBy("question", "relation").agg(F.max("score").alias("raw"))
+        return relations.join(found, ["question", "relation"], "left").fillna(0.0, ["raw"])
+
+    return score
+
+
+def entity_scorer(texts: DataFrame, nodes: DataFrame, factory: Factory, description: str = "none", seed: int = 42) -> beam.Scorer:
+    """Scores candidates by a model's shares, group by group in the order of their names; groups of 20 or more are sampled first.
+
+    A column `asked` of the candidates stands for the question's text. Where a response can't be read all of the group score alike.
+    """
+
+    def score(candidates: DataFrame) -> DataFrame:
+        few = durable(beam.by_name(beam.random_sample(candidates, seed=seed), nodes), "few")
+        own = few.join(texts, "question", "left").withColumn("text", F.coalesce(*([F.col("asked")] if "asked" in few.columns else []), F.col("text"), F.lit("")))
+        shown = described(own, nodes, texts, description)
+        lists = F.array_sort(F.collect_list(F.struct("ord", "entity", "shown")))
+        grouped = shown.groupBy("question", "relation").agg(F.first("text").alias("text"), lists.alias("listed"))
+        prompted = grouped.withColumn("prompt", score_prompt(F.col("text"), F.col("relation"), F.col("listed.shown")))
+        said = durable(generate(prompted, factory, response="said"), "scores")
+        even = F.array_repeat(F.lit(1.0) / F.size("listed"), F.size("listed"))
+        shares = said.select("question", "relation", F.inline(F.arrays_zip(F.col("listed.entity").alias("entity"), entity_shares(F.col("said"), even).alias("raw"))))
+        return few.join(shares, ["question", "relation", "entity"]).drop("name", "ord")
+
+    return score
+
+
+def sufficiency(texts: DataFrame, nodes: DataFrame, factory: Factory) -> beam.Enough:
+    """The questions whose triples a model finds sufficient."""
+
+    def enough(triples: DataFrame) -> DataFrame:
+        asked = beam.evidence(triples, nodes).join(texts, "question")
+        said = generate(asked.withColumn("prompt", enough_prompt(F.col("text"), F.col("evidence"))), factory, response="said")
+        return said.where(is_sufficient(F.col("said"))).select("question")
+
+    return enough
+
+
+def subquestions(paths: DataFrame, nodes: DataFrame, factory: Factory) -> beam.Ask:
+    """The question as put at each depth, with the sub-question that a model writes for it. paths: question ("question#path"), text and hops."""
+
+    def ask(triples: DataFrame | None, depth: int) -> DataFrame:
+        asked = paths.where(F.col("hops") >= depth)
+        asked = asked.withColumn("evidence", F.lit("")) if triples is None else asked.join(beam.evidence(triples, nodes), "question", "left").fillna("", ["evidence"])
+        said = generate(asked.withColumn("prompt", subquery_prompt(F.col("text"), F.col("evidence"), F.lit(str(depth)), F.col("hops").cast("string"))), factory, response="said")
+        return durable(said.select("question", effective_query(F.col("text"), T.subquery("said")["subquery"]).alias("asked")), "asked")
+
+    return ask
+
+
 def stop_half(triples: DataFrame, depth: int) -> DataFrame:
     """What was found when a search ends early: the triples up to a depth."""
     return triples.where(F.col("depth") <= depth)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import best, group, min_max
+from .beam import keep_if_any
 
 CAPS = {1: 2, 2: 4, 3: 8}
 
@@ -25,9 +26,9 @@ def pool(tests: DataFrame, trains: DataFrame, bm25: DataFrame, vector_product: C
     return pairs.join(bm25.toDF("test", "train", "bm25"), ["test", "train"], "left").fillna(0.0, ["bm25"])
 
 
-def with_fallback(candidates: DataFrame, fits: Column, by: str = "test") -> DataFrame:
-    """The candidates that fit; all of a group of which none does."""
-    return candidates.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(group(by))).where("_fits or not _any").drop("_fits", "_any")
+def fitting(candidates: DataFrame, answer_type: str = "answer_type", train_answer_type: str = "train_answer_type") -> DataFrame:
+    """A pool's candidates with the answer type that is predicted for the test question; all of a question of which none has it, or whose type is null."""
+    return keep_if_any(candidates, F.col(answer_type) == F.col(train_answer_type), "test")
 
 
 def top_trains(scored: DataFrame, k: int = 5, identity: str = "data_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,14 @@ def fill(template: str, slots: dict[str, str]) -> str:
     return re.sub(r"<([^<>]+)>", lambda m: slots.get(m[1], m[0]), template)
 
 
+def filled(template: Column | str, slots: Column | str) -> Column:
+    """fill() as an expression: slots maps types to names; what has no name stays."""
+    t, names = (F.col(x) if isinstance(x, str) else x for x in (template, slots))
+    pieces, found = F.split(t, "<[^<>]+>"), F.regexp_extract_all(t, F.lit("<([^<>]+)>"), F.lit(1))
+    put = F.transform(found, lambda x: F.coalesce(F.try_element_at(names, x), F.concat(F.lit("<"), x, F.lit(">"))))
+    return F.array_join(F.zip_with(pieces, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def typed_steps(adjacency: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """node, other, relation and other_type of every directed edge: what chains are joined with."""
     named = adjacency.join(F.broadcast(relations.select("rel_id", "relation")), "rel_id")  # a row for each relation of the schema

@@ -1,9 +1,14 @@
 """Cheapest simple paths of a bounded number of hops, for many pairs at once.
 
-Paths grow from both ends and meet in the middle: a path of h hops is a forward half of
-ceil(h/2) and a backward half of floor(h/2) hops that share one node and no other. Each
-path of h hops arises exactly once, and neither side is longer than half, so the number of
-partial paths stays near the number of complete ones.
+candidates() makes what the k best need and little more. The least cost from every node to
+the answer in so many hops (of any walk, so a bound from below) comes from one join for each
+hop. A narrow search by cost plus bound then finds some paths, whose k-th cost bounds the
+true one from above, and a second search keeps every partial path whose cost plus bound
+does not exceed that. Where the narrow search finds fewer than k, nothing is left out.
+
+enumerate_paths() makes all paths. They grow from both ends and meet in the middle: a path
+of h hops is a forward half of ceil(h/2) and a backward half of floor(h/2) hops that share
+one node and no other.
 """
 
 from __future__ import annotations
@@ -15,6 +20,10 @@ from ..functions.scoring import best, group
 from ..sources.durable import durable
 
 MAX_HOPS = 5
+#: Partial paths that the narrow search keeps for each path asked for; the result does not depend on it.
+NARROW = 8
+#: By how much a sum of costs may differ with its order, relative to its size.
+SLACK = 1e-8
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
@@ -61,6 +70,53 @@ def enumerate_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS
     return found
 
 
+def _least(ends: DataFrame, steps: DataFrame, max_hops: int) -> DataFrame:
+    """pair, left, node and least: the least cost of a walk of `left` hops from a node to the pair's answer, for 0 to max_hops - 1 hops."""
+    out = at = ends.select("pair", F.col("answer").alias("node"), F.lit(0.0).alias("least")).withColumn("left", F.lit(0))
+    for left in range(1, max_hops):
+        back = at.select("pair", F.col("node").alias("other"), "least")
+        at = durable(steps.join(back, ["pair", "other"]).groupBy("pair", "node").agg(F.min(F.col("cost") + F.col("least")).alias("least")), "least").withColumn("left", F.lit(left))
+        out = out.unionByName(at)
+    return durable(out, "bounds")
+
+
+def _search(ends: DataFrame, steps: DataFrame, least: DataFrame, max_hops: int, keep) -> DataFrame:  # noqa: ANN001
+    """All h from 1 to max_hops at once: paths of h hops grown from the topic, of which keep() leaves some at each depth. keep sees pair, hop, first (the first node after the topic), nodes and estimate."""
+    hops = F.explode(F.sequence(F.lit(1), F.lit(max_hops))).alias("hop")
+    at = ends.select("pair", "topic", "answer", hops).select("*", F.col("topic").alias("node"), F.array("topic").alias("nodes"), F.array().cast("array<int>").alias("rels"), F.lit(0.0).alias("cost"))
+    out = None
+    for depth in range(1, max_hops + 1):
+        onward = at.where(F.col("hop") >= depth).join(steps.withColumnRenamed("cost", "step"), ["pair", "node"])
+        last = F.col("hop") == depth
+        onward = onward.where(~F.array_contains("nodes", F.col("other")) & ((F.col("other") == F.col("answer")) == last)).withColumn("left", F.col("hop") - depth)
+        bound = least.select("pair", "left", F.col("node").alias("other"), "least")
+        grown = onward.join(bound, ["pair", "left", "other"]).select(
+            "pair", "topic", "answer", "hop", F.col("other").alias("node"), F.array_append("nodes", F.col("other")).alias("nodes"), F.array_append("rels", F.col("rel_id")).alias("rels"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("cost") + F.col("step") + F.col("least")).alias("estimate"),
+        )
+        at = durable(keep(grown.withColumn("first", F.get("nodes", F.lit(1)))).drop("first", "estimate"), "grown")
+        done = at.where(F.col("hop") == depth)
+        out = done if out is None else out.unionByName(done)
+    return out.select("pair", "topic", "answer", "hop", "nodes", "rels", F.round("cost", 9).alias("cost"))
+
+
+def candidates(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, k: int = 5, max_hops: int = MAX_HOPS, dedup: str = "none") -> DataFrame:
+    """As enumerate_paths(), but only paths that can be among the k best of their pair and hop (and so among the pair's), as by_hop() with this dedup finds them. nodes: node_id, type."""
+    steps = durable(both_ends(edges), "steps")
+    ends = durable(pairs.where("topic <> answer").select("pair", "topic", "answer"), "ends")
+    least = _least(ends, steps, max_hops)
+    # "first_type" takes the best of each type of the first node: each type has a bound of its own
+    kinds = nodes.select(F.col("node_id").alias("first"), F.col("type").alias("kind"))
+    kind = (lambda df: df.join(kinds, "first")) if dedup == "first_type" else (lambda df: df.withColumn("kind", F.lit("")))
+    own = group("pair", "hop", "kind")
+    narrow = _search(ends, steps, least, max_hops, lambda df: kind(df).withColumn("_n", best(own, F.col("estimate"), F.col("nodes"))).where(F.col("_n") <= NARROW * k).drop("_n", "kind"))
+    found = kind(with_types(narrow, nodes).withColumn("first", F.get("nodes", F.lit(1))))
+    if dedup == "type_sig":
+        found = found.withColumn("_s", best(group("pair", "hop", "types", "rels"), F.col("cost"), F.col("nodes"))).where("_s = 1")
+    kth = found.withColumn("_n", best(own, F.col("cost"), F.col("nodes"))).where(F.col("_n") == k).select("pair", "hop", "kind", (F.col("cost") + SLACK * F.greatest(F.lit(1.0), F.abs("cost"))).alias("most"))
+    kth = durable(kth, "kth")
+    return _search(ends, steps, least, max_hops, lambda df: kind(df).join(kth, ["pair", "hop", "kind"], "left").where(F.col("most").isNull() | (F.col("estimate") <= F.col("most"))).drop("kind", "most"))
+
+
 def _grow_to(paths: DataFrame, steps: DataFrame) -> DataFrame:
     """One hop longer from paths that haven't reached the answer."""
     joined = paths.where("node <> answer").join(steps, ["pair", "node"]).where(~F.array_contains("nodes", F.col("other")))

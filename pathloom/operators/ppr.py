@@ -1,14 +1,14 @@
 """Personalised PageRank over weighted undirected edges, for many seed sets at once.
 
 `damping` is the probability to go on along an edge (0.15), so the walk is short: the
-error after n rounds is 2 * damping^n. State is a table keyed by (run, node); a round is
-one join with the edges out of each node, which stay dealt by node, and one sum. Only nodes that a
-run has reached hold rows.
+error after n rounds is 2 * damping^n. State is a table keyed by node with a column for each of
+up to SLOTS runs over the same edges, so that these share a row; a round is one join with the
+edges out of each node, which stay dealt by node, and one sum. Only nodes that a run has reached hold rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import best, group
@@ -17,6 +17,8 @@ from ..sources.durable import durable
 DAMPING, ROUNDS = 0.15, 12
 #: Rounds between two tables on disk; lineage in between is short enough to plan quickly.
 KEEP_EVERY = 4
+#: Runs that share the rows of the state, at most.
+SLOTS = 8
 
 
 def transitions(directed: DataFrame, *keys: str) -> DataFrame:
@@ -32,19 +34,30 @@ def rank(seeds: DataFrame, steps: DataFrame, keys: tuple[str, ...] = (), damping
     A seed without edges keeps all of its mass.
     """
     on = [*keys, "node"]
+    slot = best(group(*keys) if keys else Window.partitionBy(F.lit(0)), F.col("run")) - 1
+    runs = durable(seeds.select("run", *keys).distinct().withColumn("_slot", slot), "runs").select("run", *keys, (F.col("_slot") / SLOTS).cast("long").alias("_block"), (F.col("_slot") % SLOTS).alias("_slot"))
+    width = (runs.agg(F.max("_slot")).first()[0] or 0) + 1
+    shares = [f"_p{i}" for i in range(width)]
+    state = ["_block", *on]
     # every round joins with all steps: they are dealt by node and sorted once and kept so; a lost part is made again
     partitions = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = steps.repartition(partitions, *on).sortWithinPartitions(*on).persist()
-    lonely = seeds.join(steps.select(*on).distinct(), on, "left_anti").select("run", *on, F.col("reset").alias("pi"))
-    start = seeds.join(steps.select(*on).distinct(), on, "left_semi")
-    restart = start.select("run", *on, (F.lit(1 - damping) * F.col("reset")).alias("pi"))
-    pi = start.select("run", *on, F.col("reset").alias("pi"))
+    edged = steps.select(*on).distinct()
+    lonely = seeds.join(edged, on, "left_anti").select("run", *on, F.col("reset").alias("pi"))
+    placed = seeds.join(edged, on, "left_semi").join(runs, ["run", *keys])
+    start = durable(placed.groupBy(*state).agg(*(F.sum(F.when(F.col("_slot") == i, F.col("reset")).otherwise(0.0)).alias(p) for i, p in enumerate(shares))), "seeds")
+    restart = start.select(*state, *((F.lit(1 - damping) * F.col(p)).alias(p) for p in shares))
+    pi = start
     for n in range(1, rounds + 1):
-        moved = pi.join(steps, on).select("run", *keys, F.col("other").alias("node"), (F.lit(damping) * F.col("pi") * F.col("share")).alias("pi"))
-        pi = moved.unionByName(restart).groupBy("run", *on).agg(F.sum("pi").alias("pi"))
+        moved = pi.join(steps, on).select("_block", *keys, F.col("other").alias("node"), *((F.lit(damping) * F.col(p) * F.col("share")).alias(p) for p in shares))
+        pi = moved.unionByName(restart).groupBy(*state).agg(*(F.sum(p).alias(p) for p in shares))
         if n % KEEP_EVERY == 0 and n < rounds:
             pi = durable(pi, "ranks")
-    return pi.unionByName(lonely).select("run", "node", "pi")
+    each = pi.select("_block", *keys, "node", F.inline(F.array(*(F.struct(F.lit(i).alias("_slot"), F.col(p).alias("pi")) for i, p in enumerate(shares)))))
+    reached = each.where("pi > 0").join(runs, [*keys, "_block", "_slot"]).select("run", "node", "pi")
+    out = durable(reached.unionByName(lonely.select("run", "node", "pi")), "ranks")
+    steps.unpersist()
+    return out
 
 
 def seed_shares(weighting: str, topic_degree: Column, answer_degree: Column) -> tuple[Column, Column]:

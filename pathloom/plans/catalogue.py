@@ -1,7 +1,12 @@
-"""Queries of the engine's operators over the driver's tables; their SQL is in oracles.py."""
+"""Queries of the engine's operators over the driver's tables; their SQL is in oracles.py.
+
+Queries of matching take the documents that have a vector of their id (see setting.matching); such a join is the
+engine's own: a train question without a vector has no dense score.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import text as T
 from ..operators import beam, bm25, corridor, evaluate, generate, linking, match, metapath, pairs, paths, ppr, weights
-from ..sources import jsonl, kg
+from ..sources import jsonl, kg, schemas
 from ..sources.durable import durable, shared_dir
+from . import inference, pathbank
 from .oracles import ORACLES
 from .setting import Graph, matching, rounded, table
 
@@ -60,7 +66,7 @@ def kg_rel_target_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kg_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    store = kg.Store(spark, f"{shared_dir(spark)}/store-{abs(hash(sf_dir))}").ensure(g.nodes, g.edges.toDF("src", "dst", "rel_id"), g.relations, kg.COMMERCE_FIELDS)
+    store = kg.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}").ensure(g.nodes, g.edges.toDF("src", "dst", "rel_id"), g.relations, kg.COMMERCE_FIELDS)
     named = store.read("edges").join(store.read("relations").select("rel_id", "relation"), "rel_id")
     return named.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("u").alias("us"), F.countDistinct("v").alias("vs"))
 
@@ -191,7 +197,8 @@ def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of each document that scores best against the benchmark item of its number, among the document's own sentences."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     pieces = docs.select(F.col("doc_id").alias("doc"), F.posexplode(T.sentences("text")).alias("pos", "piece"))
-    asked = docs.select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id").select("doc", "text")
+    n = items.agg(F.count("*").alias("n"))  # one row
+    asked = docs.crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("doc"), (F.col("doc_id") % F.col("n")).alias("item_id")).join(items, "item_id").select("doc", "text")
     return bm25.best_piece(pieces, asked, T.whitespace_tokens).select("doc", F.col("pos").cast("long").alias("pos"), "piece", rounded("score").alias("score"))
 
 
@@ -260,6 +267,32 @@ def commonest_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.commonest_hop(_matched_patterns(spark, sf_dir))
 
 
+@query
+def match_typed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that end in the type that is predicted for the answer; any, where none is predicted."""
+    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
+    predicted = F.when(F.col("test") % 3 == 0, F.lit("F")).when(F.col("test") % 3 == 1, F.lit("SMALL"))
+    matched = match.top_trains(scored).select("test", "data_id", predicted.alias("answer_type"))
+    return match.patterns_of(matched, _bank(spark, sf_dir)).select("test", "hop", joined("types", ">").alias("types"), joined("relations", ">").alias("relations"), "n")
+
+
+@query
+def match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best train question of each hop among those with the predicted answer type (here: the hop's number), or among all where none has it."""
+    pool = matching(spark, sf_dir).withColumn("answer_type", (F.col("test") % 4 + 1).cast("string")).withColumn("train_answer_type", F.col("hop").cast("string"))
+    scored = match.hybrid(match.fitting(pool)).withColumn("hybrid", rounded("hybrid"))
+    return match.best_per_hop(scored).select("test", "hop", "train", "hybrid")
+
+
+@query
+def dense_encode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through an encoder stage, and the three nearest documents of each benchmark item among those of its class."""
+    items = generate.encode(table(spark, sf_dir, "benchmark").select("item_id", "text"), generate.letter_encoder, vector="v").select(F.col("item_id").alias("test"), (F.col("item_id") % 5).alias("class"), "v")
+    docs = generate.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), generate.letter_encoder, vector="w").select(F.col("doc_id").alias("train"), (F.col("doc_id") % 5).alias("class"), "w")
+    scored = items.join(docs, "class").select("test", "train", rounded(scoring.dot("v", "w")).alias("dense"))
+    return scored.withColumn("rank", scoring.best(scoring.group("test"), F.desc("dense"), F.col("train"))).where("rank <= 3").select("test", "rank", "train", "dense")
+
+
 # ---- Weights, ranks, corridors, paths --------------------------------------------------------------------------------
 
 
@@ -293,13 +326,13 @@ def ppr_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ppr_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, runs, ranks = _ranked(spark, sf_dir)
-    return ppr.product(runs, durable(ranks, "ranks")).select("pair", "node", rounded(F.log("score")).alias("log_score"))
+    return ppr.product(runs, ranks).select("pair", "node", rounded(F.log("score")).alias("log_score"))
 
 
 @query
 def ppr_rank_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, runs, ranks = _ranked(spark, sf_dir)
-    return ppr.rank_product(runs, durable(ranks, "ranks")).select("pair", "node", rounded(F.log("score")).alias("log_score"))
+    return ppr.rank_product(runs, ranks).select("pair", "node", rounded(F.log("score")).alias("log_score"))
 
 
 @query
@@ -318,7 +351,7 @@ def ppr_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def corridor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, runs, ranks = _ranked(spark, sf_dir)
-    return corridor.top_nodes(ppr.product(runs, durable(ranks, "ranks")), 150).select("pair", "node", "place")
+    return corridor.top_nodes(ppr.product(runs, ranks), 150).select("pair", "node", "place")
 
 
 @query
@@ -344,21 +377,34 @@ def ksp_by_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ksp_dedup_type_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("edge_weight"), 5, "type_sig"))
+    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("edge_weight", "type_sig"), 5, "type_sig"))
 
 
 @query
 def ksp_dedup_first_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("ppr_only"), 5, "first_type"))
+    return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("ppr_only", "first_type"), 5, "first_type"))
 
 
 @query
 def ksp_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best paths over the whole graph, as for pairs whose corridor never connects; three hops."""
+    """Best paths over the whole graph, as for pairs whose corridor never connects; three hops (see README)."""
     g = Graph(spark, sf_dir)
     best = durable(weights.best_edges(g.weighted(), "query"), "weights")
     edges = best.select(F.col("query").alias("pair"), "u", "v", "rel_id", weights.cost("edge_weight", F.col("weight")).alias("cost"))
-    return _shown(paths.cheapest(paths.enumerate_paths(g.pairs, edges, 3), 5))
+    return _shown(paths.cheapest(paths.candidates(g.pairs, edges, g.nodes, max_hops=3), 5))
+
+
+@query
+def path_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bank of the regions' questions: the best paths overall and by hop."""
+    g = Graph(spark, sf_dir)
+    asked = g.queries.join(g.pairs, F.col("query") == F.col("pair")).select(
+        F.col("query").cast("string").alias("data_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("explicit_query"), F.map_from_arrays(F.array(F.col("topic").cast("string")), F.array(F.lit(""))).alias("topic_entities"),
+        F.lit(None).cast("struct<id:bigint,name:string,type:string>").alias("answer_entity"), F.array("answer").alias("answer_ids"),
+    )
+    nodes = g.nodes.withColumn("text", F.col("name"))
+    bank = pathbank.build(asked, nodes, g.edges, g.relations.withColumn("relation", F.replace("relation", F.lit("_"), F.lit(" "))))
+    return bank.select("data_id", "topic", "answer", "width", "fallback", "best", "hop", "rank", joined("nodes", ">").alias("nodes"), joined("relations", ">").alias("relations"), rounded("cost").alias("cost"))
 
 
 @query
@@ -472,6 +518,50 @@ def beam_down_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.down_sample(_raw_entity(_nation_candidates(spark, sf_dir))).select("question", "relation", "entity")
 
 
+@query
+def beam_random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beam.random_sample(_nation_candidates(spark, sf_dir)).select("question", "relation", "entity")
+
+
+@query
+def beam_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beam.by_name(_nation_candidates(spark, sf_dir), Graph(spark, sf_dir).nodes).select("question", "relation", "entity", "name", "ord")
+
+
+@query
+def beam_dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw_entity(_nation_candidates(spark, sf_dir)).withColumn("raw", F.col("raw") - 0.25).withColumn("relation_score", F.lit(0.5))
+    return beam.dense_scores(raw).select("question", "relation", "entity", rounded("score").alias("score"))
+
+
+@query
+def beam_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all relations of a nation together, each relation a source with a score of its own."""
+    raw = _raw_entity(_nation_candidates(spark, sf_dir)).withColumn("source", F.col("relation")).withColumn("source_score", F.length("relation") / F.lit(10.0))
+    return beam.cascade(raw).select("question", "source", "entity", rounded("score").alias("score"))
+
+
+@query
+def beam_leading_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer's relations those that lead to an order; all of a customer without orders."""
+    g = Graph(spark, sf_dir)
+    frontier = g.nodes.where("type in ('customer', 'region')").select(F.col("node_id").cast("string").alias("question"), F.col("node_id").alias("node"))
+    return beam.leading_relations(g.steps, frontier, "order")
+
+
+@query
+def beam_stop_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.stop_half(_guided(spark, sf_dir)[1], 2).select("question", "path", "depth", "source", "relation", "entity")
+
+
+@query
+def beam_free_until_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free exploration in which what was found at the first depth suffices for every other question."""
+    g = Graph(spark, sf_dir)
+    enough = lambda triples: triples.where(F.col("question").cast("long") % 2 == 0).select("question").distinct()
+    return beam.explore(_questions(g), g.steps, _raw_relation, _raw_entity, depth=2, enough=enough).withColumn("score", rounded("score"))
+
+
 @query
 def beam_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
@@ -654,6 +744,52 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("data_id"), F.col("event_id").alias("_line"), F.col("event_type").alias("results"))
 
 
+@query
+def records_with_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without triplets get those of their last line from a second table."""
+    triple = lambda *parts: F.array(F.array(*parts))
+    own = F.when(F.col("o_orderstatus") == "F", triple(F.lit("own"), F.col("o_orderpriority"), F.lit("x")))
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("data_id"), own.alias("triplets"))
+    found = F.when(F.col("l_returnflag") != "A", triple(F.col("l_partkey").cast("string"), F.lit("in"), F.col("l_linestatus")))
+    side = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("data_id"), found.alias("triplets"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus").alias("_line"))
+    return pairs.with_triples(records, side).select("data_id", F.array_join(F.get("triplets", F.lit(0)), "|").alias("triple"))
+
+
+@query
+def jsonl_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1,000 records of several files in file order."""
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("data_id"), F.col("o_orderpriority").alias("query"))
+    jsonl.write(rows.repartitionByRange(5, F.col("data_id").cast("long")).sortWithinPartitions(F.col("data_id").cast("long")), path)
+    return jsonl.questions(spark, path, limit=1000).select("data_id", "query")
+
+
+@query
+def path_bank_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed paths of a bank that was written as JSON, hop by hop."""
+    orders = table(spark, sf_dir, "orders")
+    types, relations = F.array(F.array(F.lit("customer"), F.lit("order")), F.array(F.lit("customer"), F.col("o_orderstatus"), F.lit("part"))), F.array(F.array(F.lit("placed")), F.array(F.lit("placed"), F.col("o_orderpriority")))
+    block = F.struct(F.lit("c").alias("topic_name"), types.alias("path_types"), relations.alias("path_relations"))
+    path = f"{shared_dir(spark)}/bank-{uuid.uuid4().hex}"
+    jsonl.write(orders.select(F.col("o_orderkey").cast("string").alias("data_id"), F.map_from_arrays(F.array(F.col("o_custkey").cast("string")), F.array(block)).alias("per_topic")), path)
+    loaded = jsonl.path_bank(jsonl.read(spark, path, schemas.PATH_BANK))
+    return loaded.select("data_id", "topic_id", "hop", "pos", joined("types", ">").alias("types"), joined("relations", ">").alias("relations"))
+
+
+@query
+def templates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question templates read from a file, their metapaths parsed, their slots filled with each nation and its region."""
+    path = f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}"
+    own = [
+        ("t1", 1, "(nation → [in_region] → region)", "Which region has <nation>?"), ("t2", 2, "(region → [in_region] → nation → [lives_in] → customer)", "Who lives in <region>, say in <nation>?"),
+        ("t3", 2, "(nation → [lives_in] → customer → [in_segment] → segment)", "Segments of <nation> and <unknown>"),
+    ]
+    jsonl.write(spark.createDataFrame([(*r, metapath.parse(r[2])[0].types[:1]) for r in own], "id string, num_hops int, metapath string, query_template string, topic_entity_types array<string>"), path)
+    asked = jsonl.templates(spark, path)
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.map_from_arrays(F.array(F.lit("nation"), F.lit("region")), F.array("n_name", "r_name")).alias("slots"))
+    return named.crossJoin(F.broadcast(asked.select("id", "num_hops", "query_template", "topic_entity_types"))).select("n_nationkey", "id", "num_hops", metapath.filled("query_template", "slots").alias("question"), joined("topic_entity_types").alias("topic_types"))
+
+
 @query
 def keyed_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.last_of_each(_results(spark, sf_dir), "data_id").select("data_id", "results")
@@ -668,8 +804,6 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     jsonl.write(_records(spark, sf_dir), path)
     spark.createDataFrame([("{broken",), ("",), ("[1]",)], "value string").coalesce(1).write.mode("append").text(path)
@@ -687,6 +821,30 @@ def generated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("node", F.size("names").alias("suppliers"), F.array_join(F.transform(generate.entity_shares(F.col("response"), F.col("dense")), lambda x: F.format_string("%.3f", x)), " ").alias("shares"))
 
 
+@query
+def guided_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of guided inference with stand-ins for encoder and model: questions on regions against a bank of the commerce graph's patterns."""
+    g = Graph(spark, sf_dir)
+    asked = g.queries.select(F.col("query").cast("string").alias("question"), "text", F.col("query").alias("topic"), F.lit("region").alias("topic_type"))
+    tests = generate.encode(asked, generate.letter_encoder)
+    known = [("a", "which customers live in a region", "region", "customer"), ("b", "which orders do suppliers of a region ship", "region", "order"), ("c", "parts of a nation", "nation", "part")]
+    trains = generate.encode(spark.createDataFrame([(f"q{i}", i, *x) for i, *x in known], "train string, data_id string, text string, topic_type string, train_answer_type string"), generate.letter_encoder, vector="train_vector")
+    bank = [("a", 2, ["region", "nation", "customer"], ["in_region", "lives_in"]), ("b", 3, ["region", "nation", "supplier", "order"], ["in_region", "based_in", "shipped_by"]), ("a", 1, ["region", "part"], ["has_brand"])]
+    bank = spark.createDataFrame(bank, "data_id string, hop int, types array<string>, relations array<string>")
+    out = inference.run(tests, trains, bank, g.nodes, g.steps, generate.echo_generator, config=inference.Config(subqueries=True))
+    return out.select("question", "results", "cot_fallback_used", "chosen_hop", "paths_used", "paths_success", "fallback", "evidence", F.to_json("paths_by_hop").alias("paths_by_hop"), "triplets_before_dedup", "triplets_after_dedup")
+
+
+@query
+def bm25_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of each benchmark item from an index that was written and read again."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25.index(docs, "doc_id", "text").write(path)
+    scored = bm25.scores(bm25.Index.read(spark, path), bm25.query_terms(items, "item_id", "text")).withColumn("bm25", rounded("bm25"))
+    return bm25.top(scored, 5).select("query", "rank", "doc", "bm25")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -26,18 +26,28 @@ class Config:
     width: int = 3
     depth: int = 3
     seed: int = 42
+    #: Free exploration ends where a model finds the triples sufficient; paths get a sub-question for each hop.
+    sufficiency: bool = True
+    subqueries: bool = False
+    #: What a prompt says of a candidate besides its name: none, chunk or full. The latter need nodes with a description.
+    description: str = "none"
 
 
-def run(tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame, steps: DataFrame, factory: generate.Factory, score: beam.Scorer, relation_score: beam.Scorer, config: Config = Config()) -> DataFrame:
-    """question, results, results_original, cot_fallback_used, answer_type, chosen_hop, paths_used, paths_success, fallback and evidence of every test question.
+def run(tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame, steps: DataFrame, factory: generate.Factory, score: beam.Scorer | None = None, relation_score: beam.Scorer | None = None, config: Config = Config()) -> DataFrame:
+    """question, results, results_original, cot_fallback_used, answer_type, chosen_hop, paths_used, paths_success, fallback, evidence, paths_by_hop,
+    triplets_before_dedup and triplets_after_dedup of every test question.
 
-    tests: question, text, topic, topic_type, vector. trains: train, data_id, text, topic_type, train_vector. bank: data_id, hop, types, relations.
+    tests: question, text, topic, topic_type, vector. trains: train, data_id, text, topic_type, train_vector and, if known, train_answer_type.
+    bank: data_id, hop, types, relations. score, relation_score: scorers of entities and relations; without them the model scores.
     """
     typed = generate.generate(tests.withColumn("prompt", generate.type_prompt(F.col("text"))), factory, response="said").withColumn("answer_type", T.answer_type("said")).drop("prompt", "said")
     typed = durable(typed, "typed")
     ix = bm25.index(trains, "train", "text")
     scores = bm25.scores(ix, bm25.query_terms(typed, "question", "text"))
-    pool = match.pool(typed.select(F.col("question").alias("test"), "topic_type", "vector"), trains.drop("text"), scores, dot("vector", "train_vector"))
+    pool = match.pool(typed.select(F.col("question").alias("test"), "topic_type", "vector", "answer_type"), trains.drop("text"), scores, dot("vector", "train_vector"))
+    if "train_answer_type" in trains.columns:
+        pool = match.fitting(pool)
+    pool = pool.drop("answer_type")
     top = match.top_trains(match.hybrid(pool), config.matched)
     patterns = match.patterns_of(top.join(typed.select(F.col("question").alias("test"), "answer_type"), "test"), bank, config.hops)
 
@@ -57,22 +67,41 @@ def run(tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame,
 
     number = F.dense_rank().over(_per_test())
     chosen = durable(capped.join(hops, ["test", "hop"]).withColumn("path", number).join(topics, "test").select(F.col("test").cast("string").alias("question"), "path", "topic", "types", "relations"), "chosen")
-    guided = durable(beam.run_pattern(chosen, steps, steps.select("node", "relation").distinct(), score, config.width, config.depth), "guided")
+    every = durable(typed.select(F.col("question").cast("string").alias("question"), "topic", "text", "answer_type"), "every")
+    on_path = F.concat_ws("#", "question", "path").alias("question")
+    paths = chosen.join(every.select("question", "text"), "question").select(on_path, "text", F.size("relations").alias("hops"))
+    texts = durable(every.select("question", "text").unionByName(paths.select("question", "text")), "texts")
+    score = score or generate.entity_scorer(texts, nodes, factory, config.description, config.seed)
+    relation_score = relation_score or generate.relation_scorer(texts, factory)
+    ask = generate.subquestions(durable(paths, "paths"), nodes, factory) if config.subqueries else None
+    guided = durable(beam.run_pattern(chosen, steps, steps.select("node", "relation").distinct(), score, config.width, config.depth, relation_score, ask), "guided")
     won = durable(beam.succeeded(guided, chosen), "won")
     counts = won.groupBy("question").agg(F.count("*").alias("paths_used"), F.count_if("success").alias("paths_success"))
 
     # questions without a path that succeeded explore freely
-    every = typed.select(F.col("question").cast("string").alias("question"), "topic", "text", "answer_type")
+    enough = generate.sufficiency(texts, nodes, factory) if config.sufficiency else None
     lost = every.join(counts.where("paths_success > 0"), "question", "left_anti").select("question", "topic")
     kept = guided.join(won.where("success"), ["question", "path"], "left_semi").drop("path")
-    triples = kept.unionByName(beam.explore(lost, steps, relation_score, score, config.width, config.depth))
-    named = beam.distinct_triples(triples).join(nodes.select(F.col("node_id").alias("source"), F.col("name").alias("s")), "source").join(nodes.select(F.col("node_id").alias("entity"), F.col("name").alias("t")), "entity")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("depth", F.col("s").alias("source"), "relation", F.col("t").alias("target")))), lambda x: F.struct(x["source"].alias("source"), x["relation"].alias("relation"), x["target"].alias("target")))
-    evidence = named.groupBy("question").agg(ordered.alias("triples")).select("question", beam.numbered("triples").alias("evidence"))
+    triples = durable(kept.unionByName(beam.explore(lost, steps, relation_score, score, config.width, config.depth, enough)), "triples")
+    evidence = beam.evidence(triples, nodes)
+    found = triples.groupBy("question").agg(F.count("*").alias("triplets_before_dedup"))
+    distinct = beam.distinct_triples(triples).groupBy("question").agg(F.count("*").alias("triplets_after_dedup"))
+    by_hop = capped.groupBy("test", "hop").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("test").cast("string").alias("question")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("hop").cast("string"), "n")))).alias("paths_by_hop"))
     ready = every.join(evidence, "question", "left").fillna("", ["evidence"]).join(counts, "question", "left").fillna(0, ["paths_used", "paths_success"])
     ready = ready.join(hops.select(F.col("test").cast("string").alias("question"), F.col("hop").alias("chosen_hop")), "question", "left").withColumn("fallback", F.col("paths_success") == 0)
+    ready = ready.join(by_hop, "question", "left").join(found, "question", "left").join(distinct, "question", "left").fillna(0, ["triplets_before_dedup", "triplets_after_dedup"])
     answered = generate.answer_with_fallback(ready, factory, "text", "evidence")
-    return answered.select("question", "results", "results_original", "cot_fallback_used", "answer_type", "chosen_hop", "paths_used", "paths_success", "fallback", "evidence")
+    return answered.select("question", "results", "results_original", "cot_fallback_used", "answer_type", "chosen_hop", "paths_used", "paths_success", "fallback", "evidence", "paths_by_hop", "triplets_before_dedup", "triplets_after_dedup")
+
+
+def records(answers: DataFrame, tests: DataFrame) -> DataFrame:
+    """What run() returns as records of schemas.RESULT that a result file holds. tests: question and text."""
+    named = answers.join(tests.select(F.col("question").cast("string").alias("question"), F.col("text").alias("_text")), "question", "left")
+    return named.select(
+        F.col("question").alias("data_id"), F.col("_text").alias("question"), "results", F.col("chosen_hop").alias("pathbank_chosen_hop"), F.col("paths_by_hop").alias("pathbank_paths_by_hop"), F.col("paths_used").cast("int").alias("pathbank_paths_used"),
+        F.col("paths_success").cast("int").alias("pathbank_paths_success"), F.col("fallback").alias("pathbank_fallback"), F.col("triplets_before_dedup").cast("int").alias("triplets_before_dedup"), F.col("triplets_after_dedup").cast("int").alias("triplets_after_dedup"),
+        F.col("answer_type").alias("predicted_answer_type"), "results_original", "cot_fallback_used",
+    )
 
 
 def _per_test():  # noqa: ANN202

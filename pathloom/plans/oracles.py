@@ -108,11 +108,11 @@ def bm25(docs: str, queries: str, name: str = "", b: float = 0.0, tokens: str =
     """CTEs words, p (postings), lex, terms and scores, with a suffix."""
     x = name
     return f"""
-docs{x} AS (SELECT doc, {tokens.format("coalesce(text, '')")} AS w FROM ({docs})),
-tot{x} AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM docs{x}),
-p{x} AS (SELECT doc, len, term, count(*) AS tf FROM (SELECT doc, len(w) AS len, unnest(w) AS term FROM docs{x}) GROUP BY ALL),
-raw_lex{x} AS (SELECT term, count(*) AS df, ln((SELECT n FROM tot{x}) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p{x} GROUP BY term),
-lex{x} AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_lex{x}) ELSE raw END AS idf FROM raw_lex{x}),
+docs{x} AS MATERIALIZED (SELECT doc, {tokens.format("coalesce(text, '')")} AS w FROM ({docs})),
+tot{x} AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM docs{x}),
+p{x} AS MATERIALIZED (SELECT doc, len, term, count(*) AS tf FROM (SELECT doc, len(w) AS len, unnest(w) AS term FROM docs{x}) GROUP BY ALL),
+raw_lex{x} AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM tot{x}) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p{x} GROUP BY term),
+lex{x} AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_lex{x}) ELSE raw END AS idf FROM raw_lex{x}),
 terms{x} AS (SELECT query, term, count(*) AS qf FROM (SELECT query, unnest({tokens.format("coalesce(text, '')")}) AS term FROM ({queries})) GROUP BY ALL),
 scores{x} AS MATERIALIZED (
   SELECT query, doc, sum(qf * idf * tf * 2.5 / (tf + 1.5 * ({1 - b} + {b} * len / (SELECT avg_len FROM tot{x})))) AS bm25
@@ -126,6 +126,7 @@ TOP5 = "SELECT query, rank, doc, bm25 FROM (SELECT *, CAST(row_number() OVER (PA
 ORACLES["bm25_lexicon"] = f"WITH {BM25_DOCUMENTS} SELECT term, df, round(idf, 6) AS idf FROM lex"
 ORACLES["bm25_scores"] = f"WITH {BM25_DOCUMENTS} SELECT query, doc, round(bm25, 6) AS bm25 FROM scores"
 ORACLES["bm25_topk"] = f"WITH {BM25_DOCUMENTS} {TOP5}"
+ORACLES["bm25_store"] = ORACLES["bm25_topk"]
 ORACLES["bm25_default_b"] = f"WITH {bm25(DOCUMENTS, ITEMS, b=0.75, tokens=SPACED)} {TOP5}"
 
 
@@ -133,7 +134,7 @@ def similar(name: str) -> str:
     """sims: BM25 of every doc and query, min-max normalised over all docs."""
     x = name
     return f"""
-ends{x} AS (
+ends{x} AS MATERIALIZED (
   SELECT query, CASE WHEN count(*) < (SELECT count(*) FROM docs{x}) THEN least(min(bm25), 0) ELSE min(bm25) END AS low,
     CASE WHEN count(*) < (SELECT count(*) FROM docs{x}) THEN greatest(max(bm25), 0) ELSE max(bm25) END AS high FROM scores{x} GROUP BY query
 ),
@@ -150,14 +151,14 @@ ORACLES["bm25_relation_similarity"] = graph("SELECT query, doc AS rel_id, round(
 
 SENTENCES = r"list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '. '), '. '), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10)"
 ORACLES["best_chunk"] = rf"""
-WITH s AS (SELECT doc_id AS doc, doc_id % 40 AS item, unnest(list) AS piece, CAST(generate_subscripts(list, 1) - 1 AS BIGINT) AS pos FROM (SELECT doc_id, {SENTENCES} AS list FROM documents)),
+WITH s AS (SELECT doc_id AS doc, doc_id % (SELECT count(*) FROM benchmark) AS item, unnest(list) AS piece, CAST(generate_subscripts(list, 1) - 1 AS BIGINT) AS pos FROM (SELECT doc_id, {SENTENCES} AS list FROM documents)),
 w AS (SELECT *, list_filter(regexp_split_to_array(lower(piece), '\s+'), lambda x: x <> '') AS w FROM s),
 t AS (SELECT doc, count(*) AS n, avg(len(w)) AS avg_len FROM w GROUP BY doc),
 p AS (SELECT doc, pos, len, term, count(*) AS tf FROM (SELECT doc, pos, len(w) AS len, unnest(w) AS term FROM w) GROUP BY ALL),
 l AS (SELECT doc, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p JOIN t USING (doc) GROUP BY doc, term),
 i AS (SELECT doc, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY doc) ELSE raw END AS idf FROM l),
 q AS (SELECT item_id AS item, term, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
-c AS (SELECT doc, pos, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM p JOIN t USING (doc) JOIN i USING (doc, term) JOIN q ON q.item = doc % 40 AND q.term = p.term GROUP BY doc, pos)
+c AS (SELECT doc, pos, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM p JOIN t USING (doc) JOIN i USING (doc, term) JOIN q ON q.item = doc % (SELECT count(*) FROM benchmark) AND q.term = p.term GROUP BY doc, pos)
 SELECT doc, pos, piece, round(score, 6) AS score FROM (
   SELECT doc, pos, piece, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY doc ORDER BY coalesce(score, 0.0) DESC, pos) AS k FROM s LEFT JOIN c USING (doc, pos)) WHERE k = 1
 """
@@ -194,6 +195,19 @@ ORACLES["hash_sample_cap"] = f"""WITH {BANK} SELECT test, hop, types, relations
   (SELECT *, row_number() OVER (PARTITION BY test, hop ORDER BY md5('42|' || types || '|' || relations)) AS k FROM patterns) WHERE k <= [2, 4, 8][hop]"""
 ORACLES["commonest_hop"] = f"WITH {BANK}, c AS (SELECT test, hop, count(*) AS n FROM patterns GROUP BY ALL) SELECT test, first(hop ORDER BY n DESC, hop) AS hop, max(n) AS n FROM c GROUP BY test"
 
+ORACLES["match_typed_patterns"] = f"""WITH {BANK} SELECT test, hop, types, relations, count(*) AS n FROM top_trains JOIN bank USING (data_id)
+  WHERE test % 3 = 2 OR list_last(string_split(types, '>')) = CASE test % 3 WHEN 0 THEN 'F' ELSE 'SMALL' END GROUP BY ALL"""
+ORACLES["match_fallback"] = f"""WITH {POOL},
+fit AS (SELECT * EXCLUDE (own, hit) FROM (SELECT *, hop = test % 4 + 1 AS own, bool_or(hop = test % 4 + 1) OVER (PARTITION BY test) AS hit FROM pool) WHERE own OR NOT hit),
+h AS (SELECT *, round(0.5 * (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-8) + 0.5 * (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w + 1e-8), 6) AS hybrid FROM fit WINDOW w AS (PARTITION BY test))
+SELECT test, hop, train, hybrid FROM (SELECT *, row_number() OVER (PARTITION BY test, hop ORDER BY hybrid DESC, train) AS n FROM h) WHERE n = 1"""
+_vector = lambda text: "[" + ", ".join(f"CAST(length(lower({text})) - length(replace(lower({text}), '{c}', '')) AS DOUBLE)" for c in "aeinorst") + "]"
+_unit = "list_transform({0}, lambda x: CASE WHEN list_dot_product({0}, {0}) > 0 THEN x / sqrt(list_dot_product({0}, {0})) ELSE 0.0 END)"
+ORACLES["dense_encode_topk"] = f"""
+WITH i AS (SELECT item_id, {_vector("coalesce(text, '')")} AS v FROM benchmark), d AS (SELECT doc_id, {_vector("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT item_id AS test, doc_id AS train, round(list_dot_product(a, b), 6) AS dense FROM (SELECT item_id, {_unit.format("v")} AS a FROM i) JOIN (SELECT doc_id, {_unit.format("w")} AS b FROM d) ON item_id % 5 = doc_id % 5)
+SELECT test, rank, train, dense FROM (SELECT *, CAST(row_number() OVER (PARTITION BY test ORDER BY dense DESC, train) AS INTEGER) AS rank FROM s) WHERE rank <= 3"""
+
 # ---- Weights, ranks, corridors, paths --------------------------------------------------------------------------------
 
 WEIGHTS = f"""{ASKED},{bm25("SELECT node_id AS doc, name AS text FROM nodes", "SELECT query, text FROM asked", "_n")},{similar("_n")},{RELATION_SIMS},
@@ -311,6 +325,14 @@ ORACLES["ksp_dedup_first_type"] = graph(
 ORACLES["ksp_fallback"] = graph(
     SHOWN.format("SELECT *, row_number() OVER (PARTITION BY pair ORDER BY cost, nodes) AS rank FROM found"), WEIGHTS, PAIRS, simple_paths(f"SELECT query AS pair, u, v, rel_id, {_cost['edge_weight']} AS cost FROM best", "pairs", 3)
 )
+ORACLES["path_bank"] = graph(
+    """SELECT CAST(pair AS VARCHAR) AS data_id, topic, answer, width, false AS fallback, best, hop, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes,
+  array_to_string(list_transform(rels, lambda r: replace(['in_region', 'lives_in', 'based_in', 'in_segment', 'placed', 'contains', 'shipped_by', 'supplied_by', 'has_brand'][r + 1], '_', ' ')), '>') AS relations, round(cost, 6) AS cost
+FROM (SELECT 'overall' AS best, *, row_number() OVER (PARTITION BY pair ORDER BY cost, nodes) AS rank FROM found UNION ALL SELECT 'hop', *, row_number() OVER (PARTITION BY pair, hop ORDER BY cost, nodes) FROM found) JOIN widths USING (pair) WHERE rank <= 5""",
+    CORRIDOR,
+    _found("ppr_mix"),
+    recursive=True,
+)
 ORACLES["path_display"] = """SELECT 3000000000 + s_suppkey AS n2, r_name || ' →[in_region]→ ' || n_name || ' →[based_in]→ ' || s_name AS shown FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 # ---- Beam search -----------------------------------------------------------------------------------------------------
@@ -395,6 +417,24 @@ ORACLES["beam_relation_choice"] = graph(
     f"some_relations AS (SELECT CAST(node AS VARCHAR) AS question, relation, CAST((length(relation) * 37 + node % 1000 * 11) % 10 AS DOUBLE) / 10 AS raw FROM have WHERE node // {STRIDE} IN (3, 5))",
 )
 ORACLES["beam_down_sample"] = graph("SELECT q AS question, relation, entity FROM (SELECT *, count(*) OVER (PARTITION BY q, relation) AS n, row_number() OVER (PARTITION BY q, relation ORDER BY raw DESC, entity) AS k FROM around) WHERE n < 20 OR k <= 10", NATIONS)
+ORACLES["beam_random_sample"] = graph(
+    "SELECT q AS question, relation, entity FROM (SELECT *, count(*) OVER (PARTITION BY q, relation) AS n, row_number() OVER (PARTITION BY q, relation ORDER BY md5('42|' || q || '|' || relation || '|' || entity), entity) AS k FROM around) WHERE n < 20 OR k <= 10", NATIONS
+)
+ORACLES["beam_by_name"] = graph("SELECT q AS question, relation, entity, name, CAST(row_number() OVER (PARTITION BY q, relation ORDER BY name, entity) AS INTEGER) AS ord FROM around JOIN nodes ON node_id = entity", NATIONS)
+ORACLES["beam_dense_scores"] = graph(
+    "SELECT q AS question, relation, entity, round(0.5 * CASE WHEN sum(r) OVER w > 0 THEN r / sum(r) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END, 6) AS score FROM (SELECT *, greatest(raw - 0.25, 0.0) AS r FROM around) WINDOW w AS (PARTITION BY q, relation)", NATIONS
+)
+ORACLES["beam_cascade"] = graph(
+    "SELECT a.q AS question, a.relation AS source, a.entity, round(a.raw * s.share, 6) AS score FROM around a JOIN (SELECT q, relation, k / sum(k) OVER (PARTITION BY q) AS share FROM (SELECT DISTINCT q, relation, CAST(length(relation) AS DOUBLE) / 10.0 AS k FROM around)) s ON s.q = a.q AND s.relation = a.relation",
+    NATIONS,
+)
+ORACLES["beam_leading_relations"] = graph(
+    f"SELECT CAST(node AS VARCHAR) AS question, relation FROM (SELECT node, relation, leads, bool_or(leads) OVER (PARTITION BY node) AS hit FROM (SELECT node, relation, bool_or(other_type = 'order') AS leads FROM steps WHERE node // {STRIDE} IN (0, 2) GROUP BY ALL)) WHERE leads OR NOT hit"
+)
+ORACLES["beam_stop_half"] = graph("SELECT question, path, depth, source, relation, entity FROM triples WHERE depth <= 2", GUIDED)
+ORACLES["beam_free_until_enough"] = graph(
+    "SELECT q AS question, depth, parent AS source, relation, entity, round(score, 6) AS score FROM (SELECT *, 1 AS depth FROM block1 UNION ALL SELECT *, 2 FROM block2 WHERE CAST(q AS BIGINT) % 2 = 1)", _free(1), _free(2)
+)
 ORACLES["beam_first_source"] = graph("SELECT 'all' AS question, other AS entity, min(node) AS source FROM steps WHERE relation = 'shipped_by' AND other_type = 'supplier' GROUP BY other")
 ORACLES["beam_advance_hops"] = """
 SELECT CAST(c_nationkey AS VARCHAR) AS question, c_custkey AS origin, CAST(least(c_custkey % 3 + CASE WHEN o_custkey IS NULL THEN 0 ELSE 1 END, 2) AS INTEGER) AS current_hop, 2 AS total_hops
@@ -439,6 +479,18 @@ SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'drug' WHEN 'ECONOMY' THEN 'path
 ORACLES["tokenizers"] = rf"""SELECT doc_id, md5(array_to_string({UNICODE.format("text")}, '|')) AS "unicode", md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '|')) AS ascii,
   md5(array_to_string(string_split(text, ' '), '|')) AS space, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), '|')) AS white, md5(array_to_string({SENTENCES}, '|')) AS sentence FROM documents"""
 
+_strip = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_last = "strpos(reverse(substr(s, 1, 150)), ' ,')"
+ORACLES["clause_chunks"] = rf"""
+WITH RECURSIVE clauses AS (SELECT doc_id, generate_subscripts(l, 1) AS c, unnest(l) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip.format("x")}), lambda x: x <> '') AS l FROM documents)),
+cut(doc_id, c, i, piece, s) AS (
+  SELECT doc_id, c, 0, '', s FROM clauses
+  UNION ALL SELECT doc_id, c, i + 1, CASE WHEN length(s) <= 150 THEN s ELSE {_strip.format("substr(s, 1, b)")} END, CASE WHEN length(s) <= 150 THEN '' ELSE trim(substr(s, b + 1), ', ') END
+  FROM (SELECT *, CASE WHEN {_last} = 0 OR 149 - {_last} < 50 THEN 150 ELSE 149 - {_last} END AS b FROM cut WHERE s <> '')
+)
+SELECT d.doc_id, CAST(count(c) AS INTEGER) AS chunks, CAST(coalesce(max(length(piece)), 0) AS INTEGER) AS longest, md5(coalesce(string_agg(piece, '|' ORDER BY c, i), '')) AS text
+FROM documents d LEFT JOIN (SELECT * FROM cut WHERE i > 0) USING (doc_id) GROUP BY d.doc_id"""
+
 # ---- Linking and records ---------------------------------------------------------------------------------------------
 
 MENTIONS = """mentions AS (
@@ -469,6 +521,13 @@ ORACLES["record_pairs"] = f"""WITH {RECORDS} SELECT CAST(o_orderkey AS VARCHAR)
   CASE WHEN o_orderstatus = 'P' THEN c_name ELSE 'given ' || o_custkey END AS topic_name, 'customer' AS topic_type, 'chain' AS role FROM records JOIN customer ON o_custkey = c_custkey WHERE answer IS NOT NULL"""
 ORACLES["record_chains"] = f"""WITH {RECORDS} SELECT CAST(o_orderkey AS VARCHAR) AS data_id, 'chain' AS role, 'placed>?' AS relations FROM records WHERE first IS NOT NULL
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'direct', '?' FROM records WHERE first IS NOT NULL AND o_orderstatus = 'P'"""
+ORACLES["records_with_triples"] = """SELECT CAST(o_orderkey AS VARCHAR) AS data_id, CASE WHEN o_orderstatus = 'F' THEN 'own|' || o_orderpriority || '|x' ELSE t END AS triple
+FROM orders LEFT JOIN (SELECT l_orderkey, first(l_partkey || '|in|' || l_linestatus ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_linestatus DESC) AS t FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+ORACLES["jsonl_first_lines"] = "SELECT CAST(o_orderkey AS VARCHAR) AS data_id, o_orderpriority AS query FROM orders ORDER BY o_orderkey LIMIT 1000"
+ORACLES["path_bank_loader"] = """SELECT CAST(o_orderkey AS VARCHAR) AS data_id, CAST(o_custkey AS VARCHAR) AS topic_id, CAST(pos + 1 AS INTEGER) AS hop, CAST(pos AS INTEGER) AS pos,
+  CASE pos WHEN 0 THEN 'customer>order' ELSE 'customer>' || o_orderstatus || '>part' END AS types, CASE pos WHEN 0 THEN 'placed' ELSE 'placed>' || o_orderpriority END AS relations FROM orders CROSS JOIN (VALUES (0), (1)) p(pos)"""
+ORACLES["templates_filled"] = """SELECT n_nationkey, id, hops AS num_hops, replace(replace(t, '<nation>', n_name), '<region>', r_name) AS question, own AS topic_types FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN
+  (VALUES ('t1', 1, 'Which region has <nation>?', 'nation'), ('t2', 2, 'Who lives in <region>, say in <nation>?', 'region'), ('t3', 2, 'Segments of <nation> and <unknown>', 'nation')) v(id, hops, t, own)"""
 ORACLES["keyed_last_wins"] = "SELECT CAST(user_id AS VARCHAR) AS data_id, arg_max(event_type, event_id) AS results FROM events GROUP BY user_id"
 ORACLES["resume_anti_join"] = """SELECT CAST(c_custkey AS VARCHAR) AS data_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type <> 'error')
   AND NOT (c_nationkey = 3 AND c_custkey IN (SELECT user_id FROM events WHERE event_type = 'error'))"""

@@ -88,9 +88,10 @@ class Graph:
         cost = weights.cost(mode, F.col("weight"), (F.col("p_u") + F.col("p_v")) / 2)
         return widths, inside, edges.select("pair", "u", "v", "rel_id", cost.alias("cost"))
 
-    def corridor_paths(self, mode: str = "ppr_mix") -> DataFrame:
+    def corridor_paths(self, mode: str = "ppr_mix", dedup: str = "none") -> DataFrame:
+        """Typed paths through the corridor, those among which by_hop() with this dedup (and cheapest()) choose."""
         widths, _, edges = self.corridors(mode)
-        return paths.with_types(paths.enumerate_paths(widths.where("width is not null"), edges), self.nodes)
+        return paths.with_types(paths.candidates(widths.where("width is not null"), edges, self.nodes, dedup=dedup), self.nodes)
 
 
 def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
