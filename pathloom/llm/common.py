@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import gc
 import uuid
@@ -16,14 +17,26 @@ from ..sources.durable import shared_dir
 
 #: Bytes of text that a Python worker turns into one output batch.
 SLICE_BYTES = 2 << 20
-#: Files of an intermediate table for each core, at most.
-FILES_PER_CORE = 2
+#: An intermediate table of a compact operator has a file for so many bytes of the operator's input at most, or so many for each core.
+FILE_BYTES, FILES_PER_CORE = 24 << 20, 2
 #: Bytes that a writer of such a file gathers before it writes a row group.
 ROW_GROUP = 8 << 20
-#: Bytes that a Python worker is sent at once.
-BATCH_BYTES = 4 << 20
-#: Intermediate tables of the compact operators that are running, the innermost last.
-_made: list[list[DataFrame]] = []
+#: Bytes that a Python worker is sent at once, and the setting for it.
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+class Workspace:
+    """What a running compact operator has made (tables in the shared folder), and into how many files a table goes at most."""
+
+    def __init__(self, spark: SparkSession, inputs: list[DataFrame]):
+        # Catalyst's estimate; of a join it is far too high, which leaves the files to the adaptive coalescing of partitions
+        size = max((int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in inputs), default=0)
+        self.files = min(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 30)
+        self.made: list[DataFrame] = []
+
+
+#: Of this thread's innermost compact operator.
+_workspace: contextvars.ContextVar[Workspace | None] = contextvars.ContextVar("workspace", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,34 +48,42 @@ def materialise(df: DataFrame, label: str, scanned: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and what follows sees plain columns with statistics. The schema is kept as it is.
-    scanned: df comes from a scan whose tasks are large; else tasks are joined to FILES_PER_CORE
-    files for each core, so that many shuffle partitions don't become as many small files.
+    scanned: df comes from a scan whose tasks are large; else, in a compact operator, tasks are joined so
+    that many shuffle partitions don't become as many small files. How many grows with the input.
     """
-    spark = df.sparkSession
-    if not scanned:
-        df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    spark, own = df.sparkSession, _workspace.get()
+    if own and not scanned:
+        df = df.coalesce(own.files)
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{label}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    if _made:
-        _made[-1].append(out)
+    if own:
+        release(spark)
+        own.made.append(out)
     return out
 
 
 def compact(operator: Callable) -> Callable:
-    """An operator whose result (a DataFrame, or a named tuple of them) is a table, and whose intermediate tables are removed once it is."""
+    """An operator whose result (a DataFrame, or a named tuple of them) is a table, and whose intermediate tables are removed once it is, or once it fails."""
 
     @functools.wraps(operator)
     def run(*args, **options):  # noqa: ANN002, ANN003, ANN202
-        _made.append([])
+        inputs = [x for x in (*args, *options.values()) if isinstance(x, DataFrame)]
+        spark, outer = inputs[0].sparkSession, _workspace.get()
+        batch = spark.conf.get(BATCH_KEY)
+        own = Workspace(spark, inputs)
+        token = _workspace.set(own)
         try:
             out = operator(*args, **options)
+            parts = [materialise(df, "result") for df in ([out] if isinstance(out, DataFrame) else out)]
+            del own.made[-len(parts) :]
         finally:
-            made = _made.pop()
-        parts = [materialise(df, "result") for df in ([out] if isinstance(out, DataFrame) else out)]
-        discard(*made)
+            _workspace.reset(token)
+            discard(*own.made)
+            spark.conf.set(BATCH_KEY, batch)
+        if outer:
+            outer.made += parts
         return parts[0] if isinstance(out, DataFrame) else type(out)(*parts)
 
     return run
@@ -121,7 +142,7 @@ def slices(batches: Iterator[pa.RecordBatch], of: str, most: int = SLICE_BYTES)
 
 def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> None:
     """Have the session send Python workers batches of at most `most` bytes (a longer row alone), whatever the rows' size; a smaller setting stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf, key = df.sparkSession.conf, BATCH_KEY
     held = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
     if held <= 0 or held > most:
         conf.set(key, f"{most}b")

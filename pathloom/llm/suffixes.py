@@ -176,7 +176,7 @@ def cells(names: Names, first: np.ndarray, end: np.ndarray, bucket: np.ndarray,
     for span in np.unique(spans):
         at = spans == span
         hull[at] = _keys(b[at], 1, start[at] - p[at], last[at] - p[at], names.one(start[at], length + int(span)))
-    return {"start": start, "last": last, "bucket": _signed(b), "place": p, "core": core, "hull": hull}
+    return {"start": start, "last": last, "core": core, "hull": hull}
 
 
 def _grouped_rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
@@ -221,7 +221,8 @@ def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_i
     once = filed_rows.where(f"size >= {length}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in RUNS])
     once = materialise(once.withColumn("id", F.monotonically_increasing_id()), "texts")
     flat = once.select("id", F.explode(F.arrays_zip(*RUNS)).alias("r")).select("id", "r.*").toDF("id", "first", "end", "bucket", "place")
-    shared = flat.groupBy("bucket").count().where("count > 1").select("bucket")
+    # names that repeat are tables, so that a join with them is one of two plain shuffles, whose hot keys Spark splits
+    shared = materialise(flat.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
     runs = flat.join(shared, "bucket", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "end", "bucket", "place"))).alias("runs"))
     wanted = once.select("id", F.col("key").alias("k"), "rep", "copies").join(runs, "id")
     wanted = wanted.select("id", "k", "rep", "copies", F.col("runs.first").alias("firsts"), F.col("runs.end").alias("ends"), F.col("runs.bucket").alias("buckets"), F.col("runs.place").alias("places"))
@@ -239,31 +240,30 @@ def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_i
             yield pa.RecordBatch.from_arrays([_repeat(ids, [len(x["start"]) for x in found]), *columns], ["id", *CELLS])
 
     cut_up = materialise(candidates.select("id", *RUNS, "t").mapInArrow(cut, ", ".join(f"{k} long" for k in ("id", *CELLS))), "cells")
-    cores = cut_up.groupBy("core").count().where("count > 1").select("core")
-    hulls = cut_up.groupBy("hull").count().where("count > 1").select("hull", F.lit(True).alias("whole"))
+    cores = materialise(cut_up.groupBy("core").count().where("count > 1").select("core"), "cores")
+    hulls = materialise(cut_up.groupBy("hull").count().where("count > 1").select("hull", F.lit(True).alias("whole")), "hulls")
     settled = cut_up.join(cores, "core", "left_semi").join(hulls, "hull", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     settled = materialise(settled, "settled")
     discard(cut_up)
     # a run may begin or end within a cell that is settled elsewhere: of each such hull one cell is refined along with the open cells
     open_cores = settled.where("not whole").select("core").distinct()
-    one_each = settled.where("whole").join(open_cores, "core", "left_semi").groupBy("hull").agg(F.min(F.struct("id", "start", "last", "bucket", "place")).alias("c")).select("c.*")
-    refine = settled.where("not whole").select("id", "start", "last", "bucket", "place").unionByName(one_each)
+    one_each = settled.where("whole").join(open_cores, "core", "left_semi").groupBy("hull").agg(F.min(F.struct("id", "start", "last")).alias("c")).select("c.*")
+    refine = settled.where("not whole").select("id", "start", "last").unionByName(one_each)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1 << 20):
             found: list[tuple] = []
-            for t, i, todo in _grouped_rows(batch, "id", "todo"):
+            for t, i, todo, firsts, buckets, places in _grouped_rows(batch, "id", "todo", "firsts", "buckets", "places"):
                 start = np.concatenate([np.arange(x["start"], x["last"] + 1) for x in todo])
-                counts = [x["last"] + 1 - x["start"] for x in todo]
-                bucket = np.repeat(np.array([x["bucket"] for x in todo], np.int64), counts).view(np.uint64)
-                delta = start - np.repeat(np.array([x["place"] for x in todo], np.int64), counts)
+                run = np.searchsorted(np.array(firsts, np.int64), start, side="right") - 1
+                bucket, delta = np.array(buckets, np.int64).view(np.uint64)[run], start - np.array(places, np.int64)[run]
                 own = Names(symbols(t, unit)).one(start, length)
                 found.append((np.full(len(start), i), start, _keys(bucket, 2, delta, delta, own), _signed(own)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["id", "start", "one", "two"])
 
-    todo = refine.groupBy("id").agg(F.collect_list(F.struct("start", "last", "bucket", "place")).alias("todo"))
-    windows = materialise(candidates.select("id", "t").join(todo, "id").mapInArrow(single, "id long, start long, one long, two long"), "single")
-    again = windows.groupBy("one", "two").count().where("count > 1").select("one", "two")
+    todo = refine.groupBy("id").agg(F.collect_list(F.struct("start", "last")).alias("todo"))
+    windows = materialise(candidates.select("id", *RUNS, "t").join(todo, "id").mapInArrow(single, "id long, start long, one long, two long"), "single")
+    again = materialise(windows.groupBy("one", "two").count().where("count > 1").select("one", "two"), "again")
     repeated = windows.join(again, ["one", "two"], "left_semi").select("id", "start", F.col("start").alias("last"))
     repeated = repeated.unionByName(settled.where("whole").select("id", "start", "last"))
     spans = repeated.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "last"))).alias("found"))
@@ -293,7 +293,7 @@ def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_i
 
 
 RUNS = ("firsts", "ends", "buckets", "places")
-CELLS = ("start", "last", "bucket", "place", "core", "hull")
+CELLS = ("start", "last", "core", "hull")
 
 
 def lost() -> list[Column]:

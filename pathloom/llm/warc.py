@@ -12,7 +12,8 @@ the record that they continue, ordered by segment number and checked against the
 total length; then the chunked framing is decoded and length and digest are taken from
 the payload, and compared with the header.
 
-Null and empty html are empty payloads. Repeated rows are records of their own; of
+An identifier of any type is written as text and read back as read() is told to.
+Null and empty html are empty payloads; payloads of any length are written whole. Repeated rows are records of their own; of
 equal payloads every row with the largest page_id is a response. A null page_id is
 smaller than any other. An empty table gives an empty table; other columns are not read.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,8 +109,9 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     body = F.coalesce(F.col(html), F.lit(""))
     pages = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("t"), sha1_of(body).alias("digest"))
     # which page answers for a payload: digests only, so that the html is dealt out once, for the join
-    firsts = pages.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    source = pages.join(firsts, "digest", "left").select("page_id", "url", "t", "digest", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("first"))
+    # (a table, so that the join is of two plain shuffles, whose hot keys Spark splits)
+    firsts = materialise(pages.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first"), "firsts")
+    source = pages.join(firsts, "digest", "left").select(F.col("page_id").cast("string"), "url", "t", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first").cast("string")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,12 +121,12 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
             for page, at, payload, digest, first in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist(), batch.column("digest").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 identifier = f"<urn:page:{task}:{n}>"
                 n += 1
-                headers = {"WARC-Target-URI": None if at is None else "".join(at.split()), "X-Page-ID": page, "WARC-Payload-Digest": f"sha1:{base64.b32encode(digest).decode()}", "Content-Type": "application/http; msgtype=response"}
+                headers = {"WARC-Target-URI": None if at is None else "".join(at.split()), "X-Page-ID": None if page is None else quote(page), "WARC-Payload-Digest": f"sha1:{base64.b32encode(digest).decode()}", "Content-Type": "application/http; msgtype=response"}
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 if first is None:
                     out = segmented("response", identifier, headers, http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload))
                 else:
-                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": first}
+                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": quote(first)}
                     out = segmented("revisit", identifier, headers, http + b"Content-Length: %d\r\n\r\n" % len(payload))
                 for x in out:
                     held.append(x)
@@ -137,7 +140,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     return materialise(source.mapInArrow(run, "blob binary"), "archives")
 
 
-READ = {"origin": "string", "segment": "long", "total": "long", "record_type": "string", "page_id": "long", "refers_to": "long", "header_digest": "string", "payload_bytes": "long", "payload_digest": "string", "block": "binary"}
+READ = {"origin": "string", "segment": "long", "total": "long", "record_type": "string", "page_id": "string", "refers_to": "string", "header_digest": "string", "payload_bytes": "long", "payload_digest": "string", "block": "binary"}
 
 
 def _decoded(block: bytes) -> tuple[int, str]:
@@ -145,8 +148,8 @@ def _decoded(block: bytes) -> tuple[int, str]:
     return len(payload), base32_sha1(payload)
 
 
-def read(archives: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the archives.
+def read(archives: DataFrame, kind: str = "long") -> DataFrame:
+    """page_id (of type `kind`), payload_bytes, payload_digest, record_type and refers_to of every record of the archives.
 
     Only segments of long records carry their block through the shuffle.
     """
@@ -162,8 +165,9 @@ def read(archives: DataFrame) -> DataFrame:
                         n, digest = int(payload_of(block)[0]["content-length"]), h["warc-payload-digest"].removeprefix("sha1:")
                     elif whole:
                         n, digest = _decoded(block)
+                    text = lambda k, h=h: unquote(h[k]) if k in h else None
                     number = lambda k, h=h: int(h[k]) if k in h else None
-                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), h["warc-type"], number("x-page-id"), number("x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), n, digest, None if whole else block))
+                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), h["warc-type"], text("x-page-id"), text("x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), n, digest, None if whole else block))
                 yield pa.RecordBatch.from_arrays([pa.array(c, TYPES[t]) for c, t in zip(zip(*rows, strict=True), READ.values(), strict=True)], list(READ))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +179,15 @@ def read(archives: DataFrame) -> DataFrame:
                     raise ValueError(f"segments of {row['origin']} are missing")
                 n, digest = _decoded(block)
                 first = parts[0]
-                yield pa.RecordBatch.from_arrays([pa.array([x], TYPES[t]) for x, t in ((first["page_id"], "long"), (first["refers_to"], "long"), (first["header_digest"], "string"), (n, "long"), (digest, "string"))], ["page_id", "refers_to", "header_digest", "payload_bytes", "payload_digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], TYPES[t]) for x, t in ((first["page_id"], "string"), (first["refers_to"], "string"), (first["header_digest"], "string"), (n, "long"), (digest, "string"))], ["page_id", "refers_to", "header_digest", "payload_bytes", "payload_digest"])
 
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "header_digest"]
     parsed = materialise(archives.mapInArrow(parse, ", ".join(f"{k} {t}" for k, t in READ.items())), "records")
     whole = parsed.where("segment is null").select(*columns)
     grouped = parsed.where("segment is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "total", "page_id", "refers_to", "header_digest", "block"))).alias("parts"))
-    long = grouped.mapInArrow(assemble, "page_id long, refers_to long, header_digest string, payload_bytes long, payload_digest string").withColumn("record_type", F.lit("response")).select(*columns)
+    long = grouped.mapInArrow(assemble, "page_id string, refers_to string, header_digest string, payload_bytes long, payload_digest string").withColumn("record_type", F.lit("response")).select(*columns)
     out = whole.unionByName(long)
-    return out.select(*columns[:2], F.when(F.col("payload_digest") == F.col("header_digest"), F.col("payload_digest")).alias("payload_digest"), *columns[3:5])
+    return out.select(F.col("page_id").cast(kind), "payload_bytes", F.when(F.col("payload_digest") == F.col("header_digest"), F.col("payload_digest")).alias("payload_digest"), "record_type", F.col("refers_to").cast(kind))
 
 
 TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}

@@ -639,4 +639,6 @@ def test_warc_round_trip(spark, monkeypatch):
         same = last[h or ""] == i
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if same else "revisit", -1 if same else last[h or ""]))
     assert got == sorted(want)
+    named = spark.createDataFrame([("a b\n%é", "u", "x"), ("z", "u", "x"), (None, "u", "x")], "page_id string, url string, html string")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.read(warc.write(named), "string").collect()} == {("z", "response", None), ("a b\n%é", "revisit", "z"), (None, "revisit", "z")}
     assert warc.read(warc.write(df.limit(0))).count() == 0
