@@ -66,6 +66,8 @@ def refined(names: np.ndarray, later: int) -> np.ndarray:
 
 #: Bytes that part words.
 _space = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Names of bytes of words; white space has none.
+_letters = np.where(_space, np.uint64(0), _bytes)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,6 +75,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> _s29)) * _m1
 
 
+def places(n: int) -> np.ndarray:
+    """Numbers for the first n places of a word."""
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * _m2)
+
+
+_places = places(256)
+
+
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text start and end."""
     inside = np.concatenate([[False], ~_space[np.frombuffer(text, np.uint8)], [False]])
@@ -89,8 +99,9 @@ def symbols(text: bytes, unit: Unit) -> np.ndarray:
     if not len(start):
         return np.empty(0, np.uint64)
     own, begin = own[start[0] :], start - start[0]
-    place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
-    parts = np.where(_space[own], np.uint64(0), _bytes[own] * mixed((place + 1).astype(np.uint64) * _m2))
+    lengths = np.diff(begin, append=len(own))
+    numbers = _places if (longest := int(lengths.max())) <= len(_places) else places(longest)
+    parts = _letters[own] * numbers[np.arange(len(own)) - np.repeat(begin, lengths)]
     return mixed(np.add.reduceat(parts, begin) + (end - start).astype(np.uint64) * _m2)
 
 
@@ -246,7 +257,7 @@ def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_i
     settled = materialise(settled, "settled")
     discard(cut_up)
     # a run may begin or end within a cell that is settled elsewhere: of each such hull one cell is refined along with the open cells
-    open_cores = settled.where("not whole").select("core").distinct()
+    open_cores = materialise(settled.where("not whole").select("core").distinct(), "open")
     one_each = settled.where("whole").join(open_cores, "core", "left_semi").groupBy("hull").agg(F.min(F.struct("id", "start", "last")).alias("c")).select("c.*")
     refine = settled.where("not whole").select("id", "start", "last").unionByName(one_each)
 
