@@ -71,6 +71,8 @@ _disguised = re.compile(r"(?<![\w@$!|*])(?=\S{0,24}?[0-9@$!|*€])[^\W\d_][\w@$!
 _spaced = re.compile(r"(?<![^\W_])[^\W\d_](?:([.\-_* ])[^\W\d_])(?:\1[^\W\d_]){1,12}(?![^\W_])")
 _stretched = re.compile(r"\b\w*?([^\W\d_])\1{2,}\w*").finditer
 _runs = re.compile(r"(.)\1+")
+#: What a text with disguised or stretched words must hold.
+_sign, _triple = re.compile(r"[0-9@$!|*€]").search, re.compile(r"(\w)\1\1").search
 _starred = [(w, re.compile("^" + "".join(c if i == 0 else f"[{re.escape(c)}*]" for i, c in enumerate(w)) + "$")) for w in _groups if len(w) > 3]
 _starred_by: dict[tuple[str, int], list] = {}
 for _w, _p in _starred:
@@ -94,16 +96,17 @@ def beginnings(word: str) -> list[str]:
 
 
 class Weights(dict):
-    """Of each word looked up: the weight that was learned for it and the greatest of its beginnings'; half a million words are remembered."""
+    """Of each word looked up: the weight that was learned for it and the greatest of its beginnings', None without either; half a million words are remembered."""
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
         self.learned = learned
 
-    def __missing__(self, word: str) -> tuple[float, float]:
+    def __missing__(self, word: str) -> tuple[float, float] | None:
         if len(self) > 500_000:
             self.clear()
-        self[word] = found = (self.learned.get(word, 0.0), max((self.learned.get(b, 0.0) for b in beginnings(word)), default=0.0))
+        found = self.learned.get(word, 0.0), max((self.learned.get(b, 0.0) for b in beginnings(word)), default=0.0)
+        self[word] = found = found if any(found) else None
         return found
 
 
@@ -119,8 +122,8 @@ def features(text: str | None, weights: Weights | None = None) -> list[float]:
         groups[_groups[words[i]]] += 1
     pronouns = sum(map(SECOND_PERSON.__contains__, words))
     near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in at) if pronouns else 0
-    disguised = [w for w in _disguised(lower) if not w.isdigit()]
-    stretched = [m[0] for m in _stretched(lower)]
+    disguised = [w for w in _disguised(lower) if not w.isdigit()] if _sign(lower) else []
+    stretched = [m[0] for m in _stretched(lower)] if _triple(lower) else []
     found = [*map(_undone, disguised), *(_groups.get("".join(c for c in m[0] if c not in ".-_* ")) for m in _spaced.finditer(lower))]
     found += [_groups.get(_runs.sub(r"\1", w), _groups.get(_runs.sub(r"\1\1", w))) for w in stretched if w not in _groups]
     obfuscated = 0
@@ -133,7 +136,7 @@ def features(text: str | None, weights: Weights | None = None) -> list[float]:
     shouted = sum(len(w) > 2 and w.isupper() for w in _words(text)) if upper > len(words) else 0
     signs = {c: text.count(c) for c in "!?.,;:#$%&*"}
     hits = sum(groups)
-    found = [weights[w] for w in words] if weights is not None and weights.learned else []
+    found = [x for x in map(weights.__getitem__, words) if x] if weights is not None and weights.learned else []
     marks: list[float] = []
     for own in ([a for a, _ in found if a], [b for _, b in found if b]):
         weight = math.fsum(own)
