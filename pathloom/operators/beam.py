@@ -133,6 +133,8 @@ def run_pattern(questions: DataFrame, steps: DataFrame, relations: DataFrame, sc
         scored = grouped_scores(score(once if ask is None else once.join(ask(out, i + 1), "question", "left")).withColumn("relation_score", F.lit(1.0)))
         kept = prune(scored.withColumn("ord", F.col("entity")), width)
         block = kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score")
+        if free is not None or ask is not None:  # what is read several times, and what a model was asked, is made once
+            block = durable(block, "kept")
         out = block if out is None else out.unionByName(block)
         frontier = block.select(F.col("question").alias("q"), F.col("entity").alias("node"), F.col("score").alias("parent_score"))
     split = F.split("question", "#")
