@@ -52,7 +52,7 @@ ROUNDS = 4
 LOWER = bytes(b | 0x20 if 65 <= b <= 90 else b for b in range(256))
 
 _a, _b, _c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_s30, _s27, _s31, _s57, _s8 = (np.uint64(x) for x in (30, 27, 31, 57, 8))
+_s30, _s27, _s31, _s57, _s56, _s7, _s8 = (np.uint64(x) for x in (30, 27, 31, 57, 56, 7, 8))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,30 +87,25 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-_first = np.ones(1, bool)
 _seeds = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * _a)
+#: Hashes that are drawn at once: of a small set those of several rounds.
+DRAWN = 1024
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """T coordinates; the round is in a value's top byte, so that earlier rounds always win."""
-    out = np.full(T, np.iinfo(np.uint64).max, np.uint64)
-    filled = np.zeros(T, bool)
-    for i in range(2 * T):
-        h = mix(elements ^ _seeds[i])
-        if i < T:
-            order = np.sort(h)  # the coordinate is in the top 7 bits, the value in those below
-            top = order >> _s57
-            first = np.flatnonzero(np.concatenate([_first, top[1:] != top[:-1]]))
-            at = top[first].astype(np.intp)
-            values = (order[first] << np.uint64(7) >> _s8) | np.uint64(i << 56)
-            empty = ~filled[at]
-            out[at[empty]] = values[empty]
-            filled[at] = True
-        elif not filled[i - T]:
-            out[i - T] = (h.min() >> _s8) | np.uint64(i << 56)
-            filled[i - T] = True
-        if filled.all():
-            break
+    """T coordinates; the round is in a value's top byte, so that earlier rounds always win, in whatever order they are drawn."""
+    none = np.iinfo(np.uint64).max
+    out = np.full(T, none, np.uint64)
+    at_once = max(1, DRAWN // len(elements))
+    for i in range(0, T, at_once):
+        rounds = np.arange(i, min(T, i + at_once), dtype=np.uint64)[:, None]
+        h = mix(elements ^ _seeds[i : i + len(rounds), None])
+        # the coordinate is in the top 7 bits, the value in those below
+        np.minimum.at(out, (h >> _s57).astype(np.intp), (h << _s7 >> _s8) | rounds << _s56)
+        if out.max() < none:
+            return out
+    for j in np.flatnonzero(out == none).tolist():
+        out[j] = (mix(elements ^ _seeds[T + j]).min() >> _s8) | np.uint64(T + j << 56)
     return out
 
 
