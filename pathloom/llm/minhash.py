@@ -44,6 +44,8 @@ BITS = 2048
 ALIKE = 80
 #: Members of a bucket that one task compares (about; larger buckets are dealt as blocks of half as many); members that one task compares with a smallest member.
 BUCKET, STAR = 2000, 2000
+#: Pairs that a task compares at once.
+PAIRS = 16_384
 #: What a member is in a task: compared with others, compared to, outside its bucket's largest component.
 FIRST, SECOND, MINOR = 1, 2, 4
 #: Times that a bucket's components are joined by their most alike members before all pairs across them are sought.
@@ -217,54 +219,94 @@ def across(members: DataFrame, percent: int, forest: bool) -> DataFrame:
 
     forest: of each part of a bucket only the pairs that join its roots by the most alike sketches, fewer than it has members.
     Else all of them, each named only in the bucket of its first common band, so at most once.
+    A task reads the parts one after another, so it holds a batch and the part that the batch leaves open.
     """
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("c")
-        band = group.column("band")[0].as_py()
-        c, root, n, role = (group.column(k).to_numpy() for k in ("c", "root", "n", "role"))
-        second, minor = (role & SECOND) > 0, (role & MINOR) > 0
-        whole = bool((role == FIRST | SECOND | MINOR).all())
-        own = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(len(c), T)
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(c), BITS // 64)
-        found: list[tuple[int, int]] = []
-        alike: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(role & FIRST).tolist():
-            start = i + 1 if whole else 0
-            rest = slice(start, None)
-            ok = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i]))
-            if not whole:  # two minor members meet in two parts and are compared in one
-                ok &= second & ((c > c[i]) | ~minor)
-            at = np.flatnonzero(ok) + start
-            same = (small[at] == small[i]).sum(1)
+    columns = ["bucket", "part", "c", "root", "role", "n", "small", "bits", *([] if forest else ["band", "bands"])]
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        start, end, group = parts_of(rows)
+        c, root, n, role = (rows.column(k).to_numpy() for k in ("c", "root", "n", "role"))
+        second, minor, whole = (role & SECOND) > 0, (role & MINOR) > 0, role == FIRST | SECOND | MINOR
+        small = np.frombuffer(b"".join(rows.column("small").to_pylist()), np.uint64).reshape(len(c), T // 8)
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(c), BITS // 64)
+        # a member's partners: in a part that is a whole bucket those after it, else all of the part
+        low = np.where(whole, np.arange(1, len(c) + 1), start)
+        held = np.where((role & FIRST) > 0, end - low, 0)
+        found = []
+        for own in chunks(held, PAIRS):
+            lengths = held[own]
+            i = np.repeat(np.arange(own.start, own.stop), lengths)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(lengths) - lengths - low[own], lengths)
+            # two minor members meet in two parts and are compared in one
+            ok = (root[i] != root[j]) & (whole[i] | second[j] & ((c[j] > c[i]) | ~minor[j]))
+            ok &= np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            same = (small[i].view(np.uint8) == small[j].view(np.uint8)).sum(1)
             ok = same >= ALIKE
-            ok[ok] = may_link(bits[at[ok]], bits[i], n[at[ok]], n[i], percent)
-            at, same = at[ok], same[ok]
-            if forest:
-                alike.append((np.full(len(at), i), at, same))
-            else:
-                for j in at:
-                    if np.argmax(own[i] == own[j]) == band:
-                        found.append((c[i], c[j]))
-        if forest and alike:
-            i, j, same = (np.concatenate(x) for x in zip(*alike, strict=True))
-            order = np.argsort(-same, kind="stable")
-            above = {r: r for r in root.tolist()}
-
-            def top(r: int) -> int:
-                while above[r] != r:
-                    above[r] = r = above[above[r]]
-                return r
-
-            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                p, q = top(int(root[x])), top(int(root[y]))
-                if p != q:
-                    above[q] = p
-                    found.append((c[x], c[y]))
-        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return members.groupBy("bucket", "part").applyInArrow(run, "a long, b long")
+            ok[ok] = may_link(bits[i[ok]], bits[j[ok]], n[i[ok]], n[j[ok]], percent)
+            found.append((i[ok], j[ok], same[ok]))
+        i, j, same = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3))
+        if forest:
+            chosen = np.array(joining(i, j, group[i], root, np.lexsort((np.arange(len(i)), -same, group[i]))), np.int64)
+        else:
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            chosen = np.flatnonzero((bands[i] == bands[j]).argmax(1) == rows.column("band").to_numpy()[i]) if len(i) else i
+        return pa.RecordBatch.from_arrays([pa.array(c[x[chosen]], pa.int64()) for x in (i, j)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(parts_of(pa.Table.from_batches([batch]))[0][-1])
+            if last or held and any(batch.column(k)[0] != held[0].column(k)[0] for k in ("bucket", "part")):
+                yield compared(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    dealt = members.select(*columns).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "c")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def parts_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the part of each row starts and ends, and its number, in rows sorted by bucket and part."""
+    keys = [rows.column(k).to_numpy() for k in ("bucket", "part")]
+    new = np.concatenate([[True], np.logical_or(*(k[1:] != k[:-1] for k in keys))])
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    return first[group], np.append(first[1:], len(new))[group], group
+
+
+def chunks(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows whose counts come to about `most` together, one row at least."""
+    total, at = np.cumsum(counts), 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def joining(i: np.ndarray, j: np.ndarray, group: np.ndarray, root: np.ndarray, order: np.ndarray) -> list[int]:
+    """Of the pairs (i, j), taken in this order, those that join two trees of roots of their part."""
+    chosen: list[int] = []
+    above: dict[int, int] = {}
+    part = -1
+
+    def top(r: int) -> int:
+        while (up := above.get(r, r)) != r:
+            above[r] = r = above.get(up, up)
+        return r
+
+    for k, g, p, q in zip(order.tolist(), group[order].tolist(), root[i[order]].tolist(), root[j[order]].tolist(), strict=True):
+        if g != part:
+            part = g
+            above.clear()
+        p, q = top(p), top(q)
+        if p != q:
+            above[q] = p
+            chosen.append(k)
+    return chosen
 
 
 @compact
