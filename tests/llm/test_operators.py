@@ -56,6 +56,38 @@ def test_topk_equals_brute_force(spark, shard_rows):
     assert sorted(map(tuple, found)) == brute_topk([r for r in rows if r[0] != 304], lambda q: q % 10 == 0, 5)
 
 
+def test_topk_of_clusters_searches_few_cells(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 40, (8, 6))
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(0, 0.1, 6)]) for i in range(400)] + [(400 + i, [float(x) for x in centres[0]]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = [(i, [float(np.floor(x * 256)) for x in v]) for i, v in rows]
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 10 == 0, 5, shard_rows=32, block_queries=16).collect()))
+    want = []
+    points = np.array([v for _, v in own], dtype=np.int64)
+    for q in range(0, 500, 10):
+        scores = points @ points[q]
+        want += [(q, r + 1, int(i), int(scores[i])) for r, i in enumerate(sorted((i for i in range(500) if i != q), key=lambda i: (-scores[i], i))[:5])]
+    assert got == sorted(want)
+
+
+def test_cells_split_a_sample_and_bound_their_rows(spark):
+    rng = np.random.default_rng(4)
+    sample = np.concatenate([rng.integers(-1000, 1000, (600, 4)), np.full((300, 4), 7)])
+    splits = topk.Splits(sample, 8)
+    cell = splits.of(sample)
+    assert splits.cells == 8 and set(cell) == set(range(8))
+    assert len(set(cell[600:])) == 1  # equal vectors fall into one cell
+    assert topk.Splits(np.full((50, 4), 3), 8).cells == 1
+    df = spark.createDataFrame([(i, v.tolist(), False, i, int(c)) for i, (v, c) in enumerate(zip(sample, cell, strict=True))], "vec_id long, vector array<long>, asks boolean, salt long, cell int")
+    cells, lows, highs = topk._boxes(df)
+    for c, low, high in zip(cells, lows, highs, strict=True):
+        assert (sample[cell == c].min(0) == low).all() and (sample[cell == c].max(0) == high).all()
+    plan = topk._plan(df.withColumn("asks", F.lit(True)), 100, 50)
+    assert sum(p[2] for p in plan) >= 9 and [p[1] for p in plan] == np.cumsum([0, *(p[2] for p in plan[:-1])]).tolist()
+    assert all(b[3] >= a[3] + a[4] for a, b in zip(plan, plan[1:], strict=False))  # cells of over 50 queries share no block
+
+
 def test_topk_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.search(spark.createDataFrame([], schema), F.col("vec_id") % 2 == 0).count() == 0
