@@ -68,15 +68,27 @@ def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
     return scored.withColumn("rank", best(group("query"), F.desc(score), F.col("doc"))).where(F.col("rank") <= k)
 
 
-def similarities(ix: Index, terms: DataFrame, queries: DataFrame, docs: DataFrame, b: float = 0.0, epsilon: float = 1e-8) -> DataFrame:
-    """query, doc and sim of every doc for every one of the stated queries: BM25 min-max normalised over all docs, those without a hit too. A query without terms has 0 everywhere."""
+def sparse_similarities(ix: Index, terms: DataFrame, docs: DataFrame, b: float = 0.0, epsilon: float = 1e-8) -> DataFrame:
+    """query, doc and sim, where it isn't 0, of BM25 min-max normalised over all docs, those without a hit too.
+
+    Docs without a hit have a similarity only for the queries whose lowest score is below theirs (of a negative idf);
+    docs meet these queries alone, so that what is made grows with the hits.
+    """
     scored = scores(ix, terms, b)
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
     ends = scored.groupBy("query").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count("*").alias("hits")).crossJoin(F.broadcast(n))
-    zero = F.lit(0.0)
-    ends = ends.select("query", F.when(F.col("hits") < F.col("n"), F.least("low", zero)).otherwise(F.col("low")).alias("low"), F.when(F.col("hits") < F.col("n"), F.greatest("high", zero)).otherwise(F.col("high")).alias("high"))
-    every = docs.select("doc").crossJoin(F.broadcast(queries.select("query"))).join(scored, ["query", "doc"], "left").join(F.broadcast(ends), "query", "left")
-    return every.select("query", "doc", F.coalesce((F.coalesce("bm25", zero) - F.col("low")) / (F.col("high") - F.col("low") + epsilon), zero).alias("sim"))
+    zero, others = F.lit(0.0), F.col("hits") < F.col("n")
+    ends = ends.select("query", F.when(others, F.least("low", zero)).otherwise(F.col("low")).alias("low"), F.when(others, F.greatest("high", zero)).otherwise(F.col("high")).alias("high"), others.alias("others"))
+    sim = (F.col("bm25") - F.col("low")) / (F.col("high") - F.col("low") + epsilon)
+    hits = scored.join(ends, "query")
+    below = docs.select("doc").crossJoin(ends.where("others and low < 0")).join(scored.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("bm25", zero)
+    return hits.select("query", "doc", sim.alias("sim")).unionByName(below.select("query", "doc", sim.alias("sim"))).where("sim <> 0")
+
+
+def similarities(ix: Index, terms: DataFrame, queries: DataFrame, docs: DataFrame, b: float = 0.0, epsilon: float = 1e-8) -> DataFrame:
+    """As sparse_similarities(), with the zeros: every doc for every one of the stated queries. A query without terms has 0 everywhere."""
+    every = docs.select("doc").crossJoin(queries.select("query")).join(sparse_similarities(ix, terms, docs, b, epsilon), ["query", "doc"], "left")
+    return every.select("query", "doc", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def best_piece(pieces: DataFrame, queries: DataFrame, tokens: Callable[[Column | str], Column], b: float = 0.75, k1: float = K1, negative: float = NEGATIVE) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import best, group
 from ..functions.text import space_tokens, strip
+from ..sources.durable import durable
 from . import bm25
 
 
@@ -15,18 +19,18 @@ def exact(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return mentions.join(nodes.select("node_id", F.lower(strip("name")).alias("key")), F.lower(strip("mention")) == F.col("key")).select("mention", "node_id")
 
 
-def contained(mentions: DataFrame, nodes: DataFrame, k: int = 3, most_mentions: int = 10_000) -> DataFrame:
+def contained(mentions: DataFrame, nodes: DataFrame, k: int = 3, part_mentions: int = 10_000) -> DataFrame:
     """mention, node_id and place of the k names nearest in length among the first 2k (by id) that contain a mention or stand in it.
 
-    A containment join has no key, so mentions are the broadcast side and their number is checked: they are
-    what a user typed, not a corpus.
+    A containment join has no key, so mentions meet all names. They are counted first: parts of about
+    part_mentions mentions are broadcast one after the other, however many there are.
     """
-    few = mentions.select("mention").distinct()
-    if few.limit(most_mentions + 1).count() > most_mentions:
-        raise ValueError(f"more than {most_mentions} mentions; link them in parts")
-    own = few.withColumn("m", F.lower(strip("mention")))
-    hit = (F.col("m") != "") & (F.col("n") != "") & (F.contains("n", "m") | F.contains("m", "n"))
-    found = nodes.select("node_id", F.lower("name").alias("n")).join(F.broadcast(own), hit)
+    own = durable(mentions.select("mention").distinct().withColumn("m", F.lower(strip("mention"))).where("m <> ''"), "mentions")
+    parts = max(1, math.ceil(own.count() / part_mentions))
+    names = nodes.select("node_id", F.lower("name").alias("n")).where("n <> ''")
+    hit = F.contains("n", "m") | F.contains("m", "n")
+    each = [own.where(F.pmod(F.xxhash64("mention"), F.lit(parts)) == i) for i in range(parts)]
+    found = functools.reduce(DataFrame.unionByName, [names.join(F.broadcast(part), hit) for part in each])
     first = found.withColumn("_id", best(group("mention"), F.col("node_id"))).where(F.col("_id") <= 2 * k)
     near = F.abs(F.length("n") - F.length("m"))
     return first.withColumn("place", best(group("mention"), near, F.col("node_id"))).where(F.col("place") <= k).select("mention", "node_id", "place")
@@ -41,11 +45,14 @@ def by_bm25(mentions: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
 
 
 def link(mentions: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
-    """mention, node_id, stage and place from the first stage that finds anything: 1 exact, 2 containment, 3 BM25."""
+    """mention, node_id, stage and place from the first stage that finds anything: 1 exact, 2 containment, 3 BM25. A stage sees the mentions that those before left."""
+    own = durable(mentions.select("mention").distinct(), "mentions")
+    equal = durable(exact(own, nodes), "exact")
+    left = durable(own.join(equal, "mention", "left_anti"), "mentions")
+    within = durable(contained(left, nodes, k), "contained")
     stages = [
-        exact(mentions, nodes).select("mention", "node_id", F.lit(1).alias("stage"), F.lit(1).alias("place")),
-        contained(mentions, nodes, k).select("mention", "node_id", F.lit(2).alias("stage"), "place"),
-        by_bm25(mentions, nodes, k).select("mention", "node_id", F.lit(3).alias("stage"), F.col("rank").alias("place")),
+        equal.select("mention", "node_id", F.lit(1).alias("stage"), F.lit(1).alias("place")),
+        within.select("mention", "node_id", F.lit(2).alias("stage"), "place"),
+        by_bm25(left.join(within, "mention", "left_anti"), nodes, k).select("mention", "node_id", F.lit(3).alias("stage"), F.col("rank").alias("place")),
     ]
-    every = stages[0].unionByName(stages[1]).unionByName(stages[2])
-    return every.withColumn("_first", F.min("stage").over(group("mention"))).where("stage = _first").drop("_first")
+    return functools.reduce(DataFrame.unionByName, stages)

@@ -19,7 +19,7 @@ def edge_weights(edges: DataFrame, queries: DataFrame, node_sim: DataFrame, rel_
     node_sim(query, node, sim) and rel_sim(query, rel_id, sim) hold the similarities that aren't 0. Edges are
     matched with a query's similarities on (query, end); relations are a table of a few rows for each query.
     """
-    asked = edges.crossJoin(F.broadcast(queries.select("query")))  # the stated queries against all edges
+    asked = edges.crossJoin(queries.select("query"))  # the stated queries against all edges; Spark broadcasts them if they are small
     u, v = (node_sim.toDF("query", end, f"s_{end}") for end in ("u", "v"))
     joined = asked.join(rel_sim.toDF("query", "rel_id", "s_r"), ["query", "rel_id"], "left").join(u, ["query", "u"], "left").join(v, ["query", "v"], "left")
     zero = F.lit(0.0)

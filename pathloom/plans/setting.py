@@ -56,9 +56,9 @@ class Graph:
         """query, u, v, rel_id, weight of every edge for every question."""
         terms = bm25.query_terms(self.queries, "query", "text")
         node_docs = self.nodes.select(F.col("node_id").alias("doc"), "name")
-        node_sim = bm25.similarities(bm25.index(node_docs, "doc", "name"), terms, self.queries, node_docs)
+        node_sim = bm25.sparse_similarities(bm25.index(node_docs, "doc", "name"), terms, node_docs)
         rel_docs = self.relations.select(F.col("rel_id").alias("doc"), F.concat_ws(" ", F.replace("relation", F.lit("_"), F.lit(" ")), "description").alias("text"))
-        rel_sim = bm25.similarities(bm25.index(rel_docs, "doc", "text"), terms, self.queries, rel_docs)
+        rel_sim = bm25.sparse_similarities(bm25.index(rel_docs, "doc", "text"), terms, rel_docs)
         return weights.edge_weights(self.edges, self.queries, node_sim, rel_sim)
 
     def ranks(self, weighted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import beam, bm25, corridor, evaluate, match, metapath, pairs, paths, ppr, weights
+from pathloom.operators import beam, bm25, corridor, evaluate, linking, match, metapath, pairs, paths, ppr, weights
 from pathloom.plans import inference, pathbank
 from pathloom.sources import jsonl, kg, schemas
 from pathloom.streaming import results as streaming
@@ -130,6 +130,40 @@ def test_bm25_by_hand(spark):
         assert {r.doc: r.bm25 for r in bm25.scores(ix, terms, b).collect()} == pytest.approx(want, abs=1e-5)
     sims = {(r.query, r.doc): r.sim for r in bm25.similarities(ix, terms, asked, docs).collect()}
     assert sims["q", 2] == 0 and sims["q", 3] == pytest.approx(1, abs=1e-6) and sims["none", 1] == 0 and len(sims) == 8
+    sparse = {(r.query, r.doc): r.sim for r in bm25.sparse_similarities(ix, terms, docs).collect()}
+    assert sparse == {pair: sim for pair, sim in sims.items() if sim}
+
+
+def test_similarities_of_negative_scores(spark):
+    """A term in nearly all docs has a negative idf here, so docs without a hit lie above those with one."""
+    docs = spark.createDataFrame([(i, "common" if i < 3 else "other") for i in range(4)], "doc long, text string")
+    asked = spark.createDataFrame([("q", "common")], "query string, text string")
+    ix, terms = bm25.index(docs, "doc", "text", negative=-1.0), bm25.query_terms(asked, "query", "text")
+    by_hand = {r.doc: r.bm25 for r in bm25.scores(ix, terms).collect()}
+    low, high = min([*by_hand.values(), 0.0]), max([*by_hand.values(), 0.0])
+    want = {i: (by_hand.get(i, 0.0) - low) / (high - low + 1e-8) for i in range(4)}
+    got = {r.doc: r.sim for r in bm25.similarities(ix, terms, asked, docs).collect()}
+    assert got == pytest.approx(want)
+    assert {r.doc: r.sim for r in bm25.sparse_similarities(ix, terms, docs).collect()} == pytest.approx({i: x for i, x in want.items() if x})
+
+
+def test_linking_in_parts(spark):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "delta", "al", "ta", "mm", "lph"]
+    nodes = [(i, " ".join(rng.choice(words, 2))) for i in range(60)] + [(60, None), (61, "")]
+    mentions = [(w,) for w in [*words, "ALPHA beta", "  gamma ", "zzz", "delta zzz", "", None, "alpha", "alpha"]]
+    n, m = spark.createDataFrame(nodes, "node_id long, name string"), spark.createDataFrame(mentions, "mention string")
+    want = set()
+    for (mention,) in set(mentions):
+        key = (mention or "").strip().lower()
+        hits = sorted((i, name.lower()) for i, name in nodes if name and key and (key in name.lower() or name.lower() in key))[:6]
+        want |= {(mention, i, r + 1) for r, (i, _) in enumerate(sorted(hits, key=lambda h: (abs(len(h[1]) - len(key)), h[0]))[:3])}
+    for part in (3, 10_000):
+        assert set(map(tuple, linking.contained(m, n, part_mentions=part).collect())) == want
+    stages = {(r.mention, r.node_id): r.stage for r in linking.link(m, n).collect()}
+    assert len({(mention, s) for (mention, _), s in stages.items()}) == len({mention for mention, _ in stages})  # one stage for each mention
+    equal = {(mention, i) for (mention,) in mentions for i, name in nodes if mention is not None and name is not None and mention.strip().lower() == name.strip().lower()}
+    assert {pair for pair, s in stages.items() if s == 1} == equal
 
 
 def test_weights_and_edges(spark):
