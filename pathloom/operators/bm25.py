@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unicode_tokens
+from ..sources.durable import durable
 
 K1, NEGATIVE = 1.5, 0.25
 
@@ -74,15 +75,16 @@ def sparse_similarities(ix: Index, terms: DataFrame, docs: DataFrame, b: float =
     Docs without a hit have a similarity only for the queries whose lowest score is below theirs (of a negative idf);
     docs meet these queries alone, so that what is made grows with the hits.
     """
-    scored = scores(ix, terms, b)
+    scored = durable(scores(ix, terms, b), "scores")
     n = docs.agg(F.count("*").alias("n"))  # one row
     ends = scored.groupBy("query").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count("*").alias("hits")).crossJoin(F.broadcast(n))
     zero, others = F.lit(0.0), F.col("hits") < F.col("n")
     ends = ends.select("query", F.when(others, F.least("low", zero)).otherwise(F.col("low")).alias("low"), F.when(others, F.greatest("high", zero)).otherwise(F.col("high")).alias("high"), others.alias("others"))
-    sim = (F.col("bm25") - F.col("low")) / (F.col("high") - F.col("low") + epsilon)
-    hits = scored.join(ends, "query")
-    below = docs.select("doc").crossJoin(ends.where("others and low < 0")).join(scored.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("bm25", zero)
-    return hits.select("query", "doc", sim.alias("sim")).unionByName(below.select("query", "doc", sim.alias("sim"))).where("sim <> 0")
+    found = scored.join(ends, "query")
+    if not scored.where("bm25 < 0").isEmpty():
+        missed = docs.select("doc").crossJoin(ends.where("others and low < 0")).join(scored.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("bm25", zero)
+        found = found.unionByName(missed)
+    return found.select("query", "doc", ((F.col("bm25") - F.col("low")) / (F.col("high") - F.col("low") + epsilon)).alias("sim")).where("sim <> 0")
 
 
 def similarities(ix: Index, terms: DataFrame, queries: DataFrame, docs: DataFrame, b: float = 0.0, epsilon: float = 1e-8) -> DataFrame:

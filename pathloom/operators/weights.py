@@ -16,14 +16,17 @@ def weight(s_r: Column, s_u: Column, s_v: Column, beta: float = BETA, least: flo
 def edge_weights(edges: DataFrame, queries: DataFrame, node_sim: DataFrame, rel_sim: DataFrame, beta: float = BETA, least: float = LEAST) -> DataFrame:
     """query, u, v, rel_id and weight of every edge for every query.
 
-    node_sim(query, node, sim) and rel_sim(query, rel_id, sim) hold the similarities that aren't 0. Edges are
-    matched with a query's similarities on (query, end); relations are a table of a few rows for each query.
+    node_sim(query, node, sim) and rel_sim(query, rel_id, sim) hold the similarities that aren't 0. A query carries
+    those of its relations (as many as a schema has) as a map, since (query, relation) would be a hot key; edges are matched
+    with its similarities of nodes on (query, end).
     """
-    asked = edges.crossJoin(queries.select("query"))  # the stated queries against all edges; Spark broadcasts them if they are small
+    of_relations = rel_sim.toDF("query", "rel_id", "sim").groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("rel_id", "sim"))).alias("_rels"))
+    asked = edges.crossJoin(queries.select("query").join(of_relations, "query", "left"))  # the stated queries against all edges
     u, v = (node_sim.toDF("query", end, f"s_{end}") for end in ("u", "v"))
-    joined = asked.join(rel_sim.toDF("query", "rel_id", "s_r"), ["query", "rel_id"], "left").join(u, ["query", "u"], "left").join(v, ["query", "v"], "left")
     zero = F.lit(0.0)
-    return joined.select("query", "u", "v", "rel_id", weight(F.coalesce("s_r", zero), F.coalesce("s_u", zero), F.coalesce("s_v", zero), beta, least).alias("weight"))
+    each = asked.select("query", "u", "v", "rel_id", F.coalesce(F.try_element_at("_rels", F.col("rel_id")), zero).alias("s_r"))
+    joined = each.join(u, ["query", "u"], "left").join(v, ["query", "v"], "left")
+    return joined.select("query", "u", "v", "rel_id", weight(F.col("s_r"), F.coalesce("s_u", zero), F.coalesce("s_v", zero), beta, least).alias("weight"))
 
 
 def best_edges(edges: DataFrame, *keys: str) -> DataFrame:
