@@ -34,7 +34,7 @@ from .common import bounded_batches, materialise
 
 #: Rows of a shard, queries of a block, rows of a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 4096, 128
-#: Vectors from which the splits of space are taken, and cells, at most: both are held by the driver.
+#: Vectors from which the splits of space are taken (twice as many at most, as a hash draws them), and cells, at most: both are held by the driver.
 SAMPLE_ROWS, CELLS = 16_384, 1024
 #: Scores beyond this are given as this.
 LARGEST = 2**63 - 1
@@ -238,7 +238,7 @@ def search(vectors: DataFrame, query_filter: Column, k: int = 5, vec_id: str = "
 
 
 def _splits(rows: DataFrame, n: int, cells: int, dimension: int) -> Splits:
-    """Splits by a sample of about 32 rows a cell, SAMPLE_ROWS at most, chosen by hash."""
+    """Splits by a sample of about 32 rows a cell or SAMPLE_ROWS, whichever is less, chosen by hash; never more than twice as many."""
     most = min(SAMPLE_ROWS, 32 * cells)
     if cells == 1:
         return Splits(np.zeros((0, dimension), np.int64), 1)
