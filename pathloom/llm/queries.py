@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, minhash, sharding, suffixes, topk, toxicity, warc
+from . import bpe, chat, decontaminate, divergence, html_text, minhash, prefix_trie, sharding, suffixes, topk, toxicity, url_filter, warc
 from .common import held_out, table
 from .sql import ORACLES
 
@@ -65,6 +65,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_shards, op3_chat, op4_repeats, op5_toxicity, op6_near_duplicates, op7_main_text, op8_decontaminate, op9_bpe, op10_warc, pipeline)
+    own = (op1_topk, op2_shards, op3_chat, op4_repeats, op5_toxicity, op6_near_duplicates, op7_main_text, op8_decontaminate, op9_bpe, op10_warc, op11_prefix_trie, op12_divergence, op13_url_filter, pipeline)
     return {f.__name__: f for f in own}
 
 

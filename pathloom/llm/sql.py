@@ -77,3 +77,58 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM r
 """
+
+# crc32 bit by bit: a list of each byte of the decimal id followed by seven zeros
+ORACLES["op11_prefix_trie"] = """
+WITH ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(ascii(s[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, b: xor(xor(crc, b) >> 1, (xor(crc, b) & 1) * 3988292384))) % 9 AS h FROM ids
+), k AS (
+  SELECT conv_id, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+), t AS (SELECT conv_id, list({'key': key, 'bytes': bytes} ORDER BY turn NULLS FIRST, key) AS turns FROM k GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1 : c.h], t.turns[c.h + 1 :]) AS turns
+  FROM c JOIN t USING (conv_id) LEFT JOIN t b ON b.conv_id = c.base
+), p AS (
+  SELECT conv_id, len(turns) AS length, d, array_to_string(list_transform(turns[1 : d], lambda x: x.key), '') AS path, array_to_string(list_transform(turns[1 : d - 1], lambda x: x.key), '') AS up,
+    CASE WHEN d = 0 THEN 0 ELSE turns[d].bytes END AS bytes
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)
+), n AS (
+  SELECT d, path, any_value(CASE WHEN d > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = d), '')) AS ends_sha256 FROM p GROUP BY d, path
+), k2 AS (SELECT up AS path, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS (SELECT n.*, coalesce(k2.n_children, 0) AS n_children FROM n LEFT JOIN k2 USING (path)),
+s AS (
+  SELECT substr(path, 1, 64 * e) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY 1
+)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n u ON u.path = m.up
+"""
+
+ORACLES["op12_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+x AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(x.total, 0) + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (kept.n + 5)) // (v.total + 5 * v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN x ON x.lang = g.lang AND x.source = g.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pairs.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 50
+"""
