@@ -8,7 +8,7 @@ edges out of each node, which stay dealt by node, and one sum. Only nodes that a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import best, group
@@ -34,8 +34,10 @@ def rank(seeds: DataFrame, steps: DataFrame, keys: tuple[str, ...] = (), damping
     A seed without edges keeps all of its mass.
     """
     on = [*keys, "node"]
-    slot = best(group(*keys) if keys else Window.partitionBy(F.lit(0)), F.col("run")) - 1
-    runs = durable(seeds.select("run", *keys).distinct().withColumn("_slot", slot), "runs").select("run", *keys, (F.col("_slot") / SLOTS).cast("long").alias("_block"), (F.col("_slot") % SLOTS).alias("_slot"))
+    blocks = max(1, -(-seeds.select("run").distinct().count() // SLOTS))
+    dealt = seeds.select("run", *keys).distinct().withColumn("_deal", F.pmod(F.xxhash64("run"), F.lit(blocks)))
+    runs = durable(dealt.withColumn("_n", best(group(*keys, "_deal"), F.col("run")) - 1), "runs")
+    runs = runs.select("run", *keys, F.concat_ws(".", "_deal", F.floor(F.col("_n") / SLOTS)).alias("_block"), (F.col("_n") % SLOTS).alias("_slot"))
     width = (runs.agg(F.max("_slot")).first()[0] or 0) + 1
     shares = [f"_p{i}" for i in range(width)]
     state = ["_block", *on]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,47 @@ def edge_weights(edges: DataFrame, queries: DataFrame, node_sim: DataFrame, rel_
     return joined.select("query", "u", "v", "rel_id", weight(F.col("s_r"), F.coalesce("s_u", zero), F.coalesce("s_v", zero), beta, least).alias("weight"))
 
 
+class Weighting(NamedTuple):
+    """What the weights of all questions are made of: node_sim(query, node, sim) and rel_sim(query, rel_id, sim), where they aren't 0."""
+
+    node_sim: DataFrame
+    rel_sim: DataFrame
+    beta: float = BETA
+    least: float = LEAST
+
+    def of(self, s_r: Column, s_u: Column, s_v: Column) -> Column:
+        return weight(s_r, s_u, s_v, self.beta, self.least)
+
+
+def weigh(edges: DataFrame, by: Weighting) -> DataFrame:
+    """edges (query, u, v, rel_id and others) of some questions, those of a corridor say, with `weight`."""
+    zero = F.lit(0.0)
+    u, v = (by.node_sim.toDF("query", end, f"_s_{end}") for end in ("u", "v"))
+    joined = edges.join(by.rel_sim.toDF("query", "rel_id", "_s_r"), ["query", "rel_id"], "left").join(u, ["query", "u"], "left").join(v, ["query", "v"], "left")
+    return joined.select(*edges.columns, by.of(F.coalesce("_s_r", zero), F.coalesce("_s_u", zero), F.coalesce("_s_v", zero)).alias("weight"))
+
+
+def histogram(edges: DataFrame, queries: DataFrame, by: Weighting, digits: int = 6) -> DataFrame:
+    """query, rel_id, weight (rounded) and edges: how many edges of a relation weigh how much for each question.
+
+    Edges meet only the questions to which one of their ends is similar; the rest of a relation's edges is a
+    difference of counts, so no edge is written for each question.
+    """
+    zero = F.lit(0.0)
+    sims = by.node_sim.toDF("query", "node", "sim").where("sim <> 0")
+    u, v = (sims.toDF("query", end, f"s_{end}") for end in ("u", "v"))
+    from_u = edges.select("u", "v", "rel_id").join(u, "u").join(v, ["query", "v"], "left")
+    only_v = edges.select("u", "v", "rel_id").join(v, "v").join(u, ["query", "u"], "left_anti").withColumn("s_u", zero)
+    both = from_u.select("query", "rel_id", F.col("s_u") + F.coalesce("s_v", zero)).union(only_v.select("query", "rel_id", F.col("s_u") + F.col("s_v"))).toDF("query", "rel_id", "ends")
+    touched = both.groupBy("query", "rel_id", "ends").agg(F.count("*").alias("edges"))
+    every = queries.select("query").join(edges.groupBy("rel_id").agg(F.count("*").alias("all")))  # questions by a schema's relations
+    rest = every.join(touched.groupBy("query", "rel_id").agg(F.sum("edges").alias("_n")), ["query", "rel_id"], "left")
+    rest = rest.select("query", "rel_id", zero.alias("ends"), (F.col("all") - F.coalesce("_n", F.lit(0))).alias("edges")).where("edges > 0")
+    rel = by.rel_sim.toDF("query", "rel_id", "s_r")
+    weighed = touched.unionByName(rest).join(rel, ["query", "rel_id"], "left")
+    return weighed.groupBy("query", "rel_id", F.round(by.of(F.coalesce("s_r", zero), F.col("ends"), zero), digits).alias("weight")).agg(F.sum("edges").alias("edges"))
+
+
 def best_edges(edges: DataFrame, *keys: str) -> DataFrame:
     """One edge for each (keys, u, v): the heaviest, ties to the smallest rel_id."""
     return edges.groupBy(*keys, "u", "v").agg(F.max_by(F.struct("rel_id", "weight"), F.struct("weight", -F.col("rel_id"))).alias("e")).select(*keys, "u", "v", "e.rel_id", "e.weight")

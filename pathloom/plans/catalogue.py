@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators import beam, bm25, corridor, evaluate, generate, linking, match, metapath, pairs, paths, ppr, weights
+from ..operators import beam, bm25, corridor, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, weights
 from ..sources import jsonl, kg, schemas
 from ..sources.durable import durable, shared_dir
 from . import inference, pathbank
@@ -298,7 +298,8 @@ def dense_encode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph(spark, sf_dir).weighted().groupBy("query", "rel_id", rounded("weight").alias("weight")).agg(F.count("*").alias("edges"))
+    g = Graph(spark, sf_dir)
+    return weights.histogram(g.edges, g.queries, g.weighting())
 
 
 @query
@@ -314,7 +315,7 @@ def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame, DataFrame]:
     g = Graph(spark, sf_dir)
-    runs, ranks = g.ranks(durable(weights.best_edges(g.weighted(), "query"), "weights"))
+    runs, ranks = g.ranks(g.weighting())
     return g, runs, ranks
 
 
@@ -338,14 +339,12 @@ def ppr_rank_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ppr_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    weighted = durable(weights.best_edges(g.weighted(), "query"), "weights")
-    steps = durable(ppr.transitions(kg.both_ways(weighted, "query", "weight").select("query", "node", "other", "weight"), "query"), "steps")
     degree = durable(kg.degrees(g.edges), "degree")
     seeds = None
     for name in ("uniform", "degree_inv", "degree_proportional"):
         own = ppr.multi_seed(g.pairs, degree, name).select(F.concat(F.lit(f"{name}-"), F.col("run")).alias("run"), F.col("run").alias("query"), "node", "reset")
         seeds = own if seeds is None else seeds.unionByName(own)
-    return ppr.rank(seeds, steps, ("query",)).select("run", "node", rounded(F.log("pi")).alias("log_pi"))
+    return push.rank(seeds, push.adjacency(g.edges), g.weighting()).select("run", "node", rounded(F.log("pi")).alias("log_pi"))
 
 
 @query

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import dot
-from ..operators import bm25, corridor, metapath, paths, ppr, weights
+from ..functions.scoring import dot, group, max_norm
+from ..operators import bm25, corridor, metapath, paths, ppr, push, weights
 from ..sources import kg
+from ..sources.durable import durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,35 +53,36 @@ class Graph:
         key = F.col("r_regionkey").cast("long")
         return self.regions.select(key.alias("pair"), key.alias("topic"), (F.lit(kg.TYPES.index("segment") * kg.STRIDE).cast("long") + key).alias("answer"))
 
-    def weighted(self) -> DataFrame:
-        """query, u, v, rel_id, weight of every edge for every question."""
+    def weighting(self) -> weights.Weighting:
+        """What the weights of all edges for every question are made of."""
         terms = bm25.query_terms(self.queries, "query", "text")
         node_docs = self.nodes.select(F.col("node_id").alias("doc"), "name")
         node_sim = bm25.sparse_similarities(bm25.index(node_docs, "doc", "name"), terms, node_docs)
         rel_docs = self.relations.select(F.col("rel_id").alias("doc"), F.concat_ws(" ", F.replace("relation", F.lit("_"), F.lit(" ")), "description").alias("text"))
         rel_sim = bm25.sparse_similarities(bm25.index(rel_docs, "doc", "text"), terms, rel_docs)
-        return weights.edge_weights(self.edges, self.queries, node_sim, rel_sim)
+        return weights.Weighting(durable(node_sim, "node_sim"), durable(rel_sim, "rel_sim"))
+
+    def weighted(self) -> DataFrame:
+        """query, u, v, rel_id, weight of every edge for every question, for what shows or searches all of them."""
+        by = self.weighting()
+        return weights.edge_weights(self.edges, self.queries, by.node_sim, by.rel_sim)
 
-    def ranks(self, weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def ranks(self, by: weights.Weighting) -> tuple[DataFrame, DataFrame]:
         """pairs with topic_run and answer_run, and the ranks of these runs."""
-        directed = kg.both_ways(weighted, "query", "weight")
-        steps = ppr.transitions(directed.select("query", "node", "other", "weight"), "query")
         runs = self.pairs.select("pair", "topic", "answer", F.concat(F.lit("t"), F.col("pair")).alias("topic_run"), F.concat(F.lit("a"), F.col("pair")).alias("answer_run"))
         one = F.lit(1.0).alias("reset")
         seeds = runs.select(F.col("topic_run").alias("run"), F.col("pair").alias("query"), F.col("topic").alias("node"), one).unionByName(runs.select(F.col("answer_run").alias("run"), F.col("pair").alias("query"), F.col("answer").alias("node"), one))
-        return runs, ppr.rank(seeds, steps, ("query",))
+        return runs, push.rank(seeds, push.adjacency(self.edges), by)
 
     def corridors(self, mode: str = "ppr_mix") -> tuple[DataFrame, DataFrame, DataFrame]:
         """pairs with the width of their corridor; its nodes; its edges (pair, u, v, rel_id, cost)."""
-        from ..functions.scoring import group, max_norm
-        from ..sources.durable import durable
-
-        weighted = durable(weights.best_edges(self.weighted(), "query"), "weights")
-        runs, ranks = self.ranks(weighted)
+        by = self.weighting()
+        runs, ranks = self.ranks(by)
         scores = durable(ppr.product(runs, ranks), "scores")
         nodes = durable(corridor.ladder_nodes(scores, self.pairs), "ladder")
-        every = corridor.induced(weighted.withColumnRenamed("query", "q"), nodes, "q", "rel_id", "weight").where("pair = q")
-        widths = corridor.connected_width(self.pairs, every)
+        inner = corridor.induced(self.edges, nodes, "rel_id").withColumn("query", F.col("pair"))
+        every = durable(weights.best_edges(weights.weigh(inner, by), "pair", "width"), "inner")
+        widths = durable(corridor.connected_width(self.pairs, every), "widths")
         held = widths.select("pair", F.col("width").alias("_w"))
         inside = nodes.join(held, "pair").where("width <= _w").select("pair", "node", max_norm(F.col("score"), group("pair")).alias("p"))
         u, v = inside.toDF("pair", "u", "p_u"), inside.toDF("pair", "v", "p_v")

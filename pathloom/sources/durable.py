@@ -24,3 +24,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pathloom-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by `by` into as many buckets as shuffles have partitions and sorted within; the planner knows, so a join on `by` doesn't shuffle it."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"pathloom_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{label}"
+    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return spark.table(name)
