@@ -130,10 +130,9 @@ def cheapest(paths: DataFrame, k: int, *by: str) -> DataFrame:
 
 def with_types(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """paths with `types`, the types of their nodes in order."""
-    keyed = paths.withColumn("_path", F.xxhash64("pair", "nodes"))
-    flat = keyed.select("_path", "pair", F.posexplode("nodes").alias("pos", "node_id")).join(nodes.select("node_id", "type"), "node_id")
-    types = flat.groupBy("_path", "pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]).alias("types"))
-    return keyed.join(types, ["_path", "pair"]).drop("_path")
+    flat = paths.select("pair", "nodes", F.posexplode("nodes").alias("pos", "node_id")).distinct().join(nodes.select("node_id", "type"), "node_id")
+    types = flat.groupBy("pair", "nodes").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]).alias("types"))
+    return paths.join(types, ["pair", "nodes"])
 
 
 def by_hop(paths: DataFrame, k: int = 5, dedup: str = "none") -> DataFrame:

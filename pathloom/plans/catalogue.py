@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators import beam, bm25, corridor, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, weights
+from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, weights
 from ..sources import jsonl, kg, schemas
 from ..sources.durable import durable, shared_dir
 from . import inference, pathbank
@@ -384,6 +384,24 @@ def ksp_dedup_first_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(paths.by_hop(Graph(spark, sf_dir).corridor_paths("ppr_only", "first_type"), 5, "first_type"))
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw paths through the corridors: the cheapest of any number of hops, of which long ones go only after."""
+    widths, _, edges = Graph(spark, sf_dir).corridors()
+    return durable(deviations.raw_paths(widths.where("width is not null"), edges).where(F.col("hop") <= paths.MAX_HOPS), "raw")
+
+
+@query
+def ksp_raw_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of the fifteen cheapest paths, if they have few enough hops."""
+    return _shown(paths.cheapest(_raw(spark, sf_dir).where(F.col("raw") <= 5 * deviations.RAW_TIMES), 5))
+
+
+@query
+def ksp_raw_by_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five by hop of the five hundred cheapest paths."""
+    return _shown(paths.by_hop(_raw(spark, sf_dir), 5))
+
+
 @query
 def ksp_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best paths over the whole graph, as for pairs whose corridor never connects; three hops (see README)."""

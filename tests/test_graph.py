@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import beam, bm25, corridor, evaluate, linking, match, metapath, pairs, paths, ppr, weights
+from pathloom.operators import beam, bm25, corridor, deviations, evaluate, linking, match, metapath, pairs, paths, ppr, push, weights
 from pathloom.plans import inference, pathbank
 from pathloom.sources import jsonl, kg, schemas
 from pathloom.streaming import results as streaming
@@ -301,3 +301,139 @@ def test_record_pairs(spark):
     assert sorted((r.role, r.subpath) for r in chains.collect()) == [("chain", [1, 2]), ("direct", [3, 9])]
     triples = spark.createDataFrame([("a", 1, 2, "late", 1), ("a", 0, 2, "first", 1)], "data_id string, pos int, source long, relation string, target long")
     assert {r.role: r.relations for r in pairs.subpath_relations(chains, triples).collect()} == {"chain": ["first"], "direct": ["?"]}
+
+
+def weighed(rng, spark, n=40, m=90, tiny=False):
+    """A random graph with parallel edges and a loop, sparse similarities of two questions, and its edges by question and weight."""
+    edges = {(min(u, v), max(u, v), r) for u, v, r in zip(*(map(int, rng.integers(0, k, m)) for k in (n, n, 3)), strict=True)} | {(3, 3, 1)}
+    sims = {(q, u): 0.05 + float(rng.random()) for q in (1, 2) for u in range(n) if rng.random() < 0.3}
+    if tiny:
+        sims |= {(q, u): 1e-7 * (u + 1) for q in (1, 2) for u in range(0, n, 4)}
+    rels = {(1, 0): 0.8, (2, 0): 0.1, (2, 2): 1e-7}
+    by = weights.Weighting(spark.createDataFrame([(q, u, s) for (q, u), s in sims.items()], "query long, node long, sim double"), spark.createDataFrame([(q, r, s) for (q, r), s in rels.items()], "query long, rel_id int, sim double"))
+    weight = {q: {} for q in (1, 2)}
+    for q in (1, 2):
+        for u, v, r in edges:
+            w = max(1e-6, 0.3 * rels.get((q, r), 0) + 0.7 * (sims.get((q, u), 0) + sims.get((q, v), 0)) / 2)
+            weight[q][u, v] = max(w, weight[q].get((u, v), 0))
+    return spark.createDataFrame(sorted(edges), "u long, v long, rel_id int"), by, weight
+
+
+@pytest.mark.parametrize("tiny", [False, True])
+def test_push_equals_the_linear_system(spark, tiny):
+    rng = np.random.default_rng(5)
+    edges, by, weight = weighed(rng, spark, tiny=tiny)
+    linked = sorted({x for e in weight[1] for x in e})
+    seeds = [(f"{q}-{s}", q, s, 1.0) for q in (1, 2) for s in linked[:6]] + [("both", 1, linked[0], 0.25), ("both", 1, linked[1], 0.75), ("lonely", 2, 999, 1.0)]
+    run = push.Push(spark.createDataFrame(seeds, "run string, query long, node long, reset double"), push.adjacency(edges), by)
+    got = {(r.run, r.node): r.pi for r in run.ranks().collect()}
+    assert run.exact == tiny and got["lonely", 999] == 1.0
+    at = {x: i for i, x in enumerate(linked)}
+    for q in (1, 2):
+        w = np.zeros((len(at), len(at)))
+        for (u, v), x in weight[q].items():
+            w[at[u], at[v]] = w[at[v], at[u]] = x
+        p = w / w.sum(1, keepdims=True)
+        for name in {s[0] for s in seeds if s[1] == q} - {"lonely"}:
+            reset = np.zeros(len(at))
+            for r, _, node, x in seeds:
+                if r == name:
+                    reset[at[node]] += x
+            exact = np.linalg.solve(np.eye(len(at)) - 0.15 * p.T, 0.85 * reset)
+            assert [got.get((name, x), 0.0) for x in linked] == pytest.approx(exact.tolist(), abs=1e-9)
+            assert sum(v for (r, _), v in got.items() if r == name) == pytest.approx(1, abs=1e-12)
+
+
+def test_push_reads_only_edges_near_its_seeds(spark):
+    """A chain of 600: few of its edges are read, and a floor keeps a run near its seed without losing mass."""
+    edges = spark.createDataFrame([(i, i + 1, 0) for i in range(600)], "u long, v long, rel_id int")
+    by = weights.Weighting(spark.createDataFrame([(1, 5, 1.0)], "query long, node long, sim double"), spark.createDataFrame([(1, 0, 1.0)], "query long, rel_id int, sim double"))
+    seeds = spark.createDataFrame([("x", 1, 300, 1.0)], "run string, query long, node long, reset double")
+    steps = push.adjacency(edges)
+    full, near = push.Push(seeds, steps, by), push.Push(seeds, steps, by, floor=1e-4)
+    exact, rough = ({r.node: r.pi for r in p.ranks().collect()} for p in (full, near))
+    assert sum(e for e, _ in full.read) < 1200 and len(exact) == 25
+    assert sum(e for e, _ in near.read) < sum(e for e, _ in full.read) and sum(rough.values()) == pytest.approx(1, abs=1e-12)
+    assert all(abs(exact[n] - rough.get(n, 0)) < 1e-3 for n in exact)
+    plan = full._move(full.start.select("*", *(F.lit(1.0).alias(f"{c}0") for c in "sw")))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_weight_histogram_equals_weights(spark):
+    edges, by, _ = weighed(np.random.default_rng(7), spark)
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query long")
+    every = weights.edge_weights(edges, queries, by.node_sim, by.rel_sim)
+    want = {(r.query, r.rel_id, r.w): r.n for r in every.groupBy("query", "rel_id", F.round("weight", 6).alias("w")).agg(F.count("*").alias("n")).collect()}
+    got = {(r.query, r.rel_id, r.weight): r.edges for r in weights.histogram(edges, queries, by).collect()}
+    assert got == want and sum(want.values()) == 3 * edges.count()
+    some = edges.withColumn("query", F.lit(1).cast("long")).where("u % 2 = 0")
+    assert sorted(map(tuple, weights.weigh(some, by).select("query", "u", "v", "rel_id", "weight").collect())) == sorted(map(tuple, every.where("query = 1 and u % 2 = 0").collect()))
+
+
+def test_raw_paths_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows, pairs_, want = [], [], []
+    for pair in range(6):
+        edges = {}
+        for u, v in itertools.combinations(range(7), 2):
+            if rng.random() < 0.6:
+                edges[u, v] = float(rng.integers(0, 5)) / 4
+        rows += [(pair, u, v, u + v, c) for (u, v), c in edges.items()]
+        pairs_.append((pair, 0, 6))
+        found = sorted((c, p) for p, c in brute_paths([(u, v, c) for (u, v), c in edges.items()], 0, 6, 7).items())
+        want += [(pair, k + 1, len(p) - 1, list(p), [a + b for a, b in zip(p, p[1:], strict=False)], c) for k, (c, p) in enumerate(found[:12])]
+    e = spark.createDataFrame(rows, "pair long, u long, v long, rel_id int, cost double")
+    p = spark.createDataFrame([*pairs_, (90, 1, 1), (91, 1, 2)], "pair long, topic long, answer long")
+    got = deviations.raw_paths(p, e, 12).select("pair", "raw", "hop", "nodes", "rels", "cost").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 30
+
+
+def test_raw_order_loses_short_dear_paths(spark):
+    """Twenty long cheap paths and a short dear one: the raw order has only long ones, the order by hops finds the short one."""
+    near = [(0, 1, 100.0)]
+    for k in range(20):
+        chain = [0, *range(100 * k + 10, 100 * k + 16), 1]
+        near += [(min(a, b), max(a, b), 1.0 + k / 100) for a, b in zip(chain, chain[1:], strict=False)]
+    e = spark.createDataFrame([("p", u, v, 0, c) for u, v, c in near], "pair string, u long, v long, rel_id int, cost double")
+    p = spark.createDataFrame([("p", 0, 1)], "pair string, topic long, answer long")
+    assert deviations.raw_paths(p, e, 15).where("hop <= 5").count() == 0
+    assert [r.raw for r in deviations.raw_paths(p, e).where("hop <= 5").collect()] == [21]
+    nodes = spark.createDataFrame([(int(n), "t") for n in {x for u, v, _ in near for x in (u, v)}], "node_id long, type string")
+    assert [r.nodes for r in paths.cheapest(paths.candidates(p, e, nodes), 5).collect()] == [[0, 1]]
+
+
+def test_bottleneck_forest(spark):
+    """Rungs against a search for each threshold; a long chain takes few rounds; the forest spans and keeps bottlenecks."""
+    rng = np.random.default_rng(2)
+    rows = [(pair, int(u), int(v), int(w)) for pair in range(5) for u, v, w in zip(rng.integers(0, 30, 40), rng.integers(0, 30, 40), rng.choice([3, 5, 9], 40), strict=True)]
+    pairs_ = [(pair, 0, t) for pair, t in zip(range(5), (7, 8, 0, 12, 99), strict=True)]
+
+    def reached(pair, most):
+        seen, todo = {0}, [0]
+        while todo:
+            x = todo.pop()
+            new = {b for p, u, v, w in rows for a, b in ((u, v), (v, u)) if p == pair and w <= most and a == x} - seen
+            seen |= new
+            todo += new
+        return seen
+
+    want = {p: 0 if t == 0 else min((w for w in (3, 5, 9) if t in reached(p, w)), default=None) for p, _, t in pairs_}
+    got = corridor.bottleneck_forest(spark.createDataFrame(pairs_, "pair long, topic long, answer long"), spark.createDataFrame(rows, "pair long, u long, v long, width int"))
+    assert {r.pair: r.width for r in got.widths.collect()} == want
+    forest = got.edges.where("pair = 4").collect()  # never connected, so built to its end
+    nodes = {x for p, u, v, _ in rows if p == 4 and u != v for x in (u, v)}
+    assert len(forest) == len(nodes) - len({frozenset(y for y in nodes if y in part) for part in _parts([(r.u, r.v) for r in forest], nodes)})
+
+    order = list(map(int, rng.permutation(10_000)))
+    chain = spark.createDataFrame([("c", a, b, 3) for a, b in zip(order, order[1:], strict=False)], "pair string, u long, v long, width int")
+    long_ = corridor.bottleneck_forest(spark.createDataFrame([("c", order[0], order[-1])], "pair string, topic long, answer long"), chain)
+    assert [r.width for r in long_.widths.collect()] == [3] and long_.edges.count() == 9_999 and long_.rounds <= 40
+
+
+def _parts(edges, nodes):
+    parts = {n: frozenset([n]) for n in nodes}
+    for u, v in edges:
+        both = parts[u] | parts[v]
+        for n in both:
+            parts[n] = both
+    return set(parts.values())
