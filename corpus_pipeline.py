@@ -1,7 +1,10 @@
 """A corpus from raw documents to token ids, in five stages; part of the llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, whatever further
+columns there are and whatever they are called. A null doc_id is an id like others and a null text is empty; empty texts
+are neither toxic nor contaminated, are copies of nothing and have no tokens; texts of any length are read whole. Of equal documents the
+one with the smallest doc_id stays, a row that repeats it is its copy; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import bpe, decontaminate, minhash, suffixes, toxicity
-from pathloom.llm.common import materialise, table, text_key
+from pathloom.llm.common import materialise, table, text_key, whole_row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles agree to 0.8: the one with the smallest doc_id."""
     found = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of")).distinct()
-    with_key = docs.withColumn("_key", text_key(F.col("text")))
+    with_key = docs.select(whole_row(docs), text_key(F.col("text")).alias("_key"))
     # a row that repeats a kept one is its copy
-    return with_key.join(found, F.expr("doc_id <=> _id and _key = _of")).dropDuplicates(["_id", "_of"]).select(*docs.columns)
+    return with_key.join(found, F.expr("_row.doc_id <=> _id and _key = _of")).dropDuplicates(["_id", "_of"]).select("_row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

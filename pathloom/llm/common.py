@@ -113,6 +113,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, `_row`, so that others can stand beside them under any name."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 1 by 3. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1, F.lit(False))

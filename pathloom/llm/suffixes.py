@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, compact, discard, materialise, raw, slices, text_key, utf8_bytes
+from .common import bounded_batches, compact, discard, materialise, raw, slices, text_key, utf8_bytes, whole_row
 
 
 
@@ -332,5 +332,6 @@ def rewrite(documents: DataFrame, removal: Removal, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([x.decode(errors="ignore") for x in batch.column("_kept").to_pylist()], pa.string())], ["_key", "_new"])
 
     new = removal.texts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept")).mapInArrow(repair, "_key binary, _new string")
-    out = documents.withColumn("_k", text_key(F.col(text))).join(new, F.col("_k") == F.col("_key"), "left")
-    return out.withColumn(text, F.coalesce("_new", text)).drop("_k", "_key", "_new")
+    rows = documents.select(whole_row(documents), text_key(F.col(text)).alias("_k"))  # whatever its columns are called
+    found = rows.join(new, F.col("_k") == F.col("_key"), "left")
+    return found.select(*(F.coalesce("_new", F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`") for c in documents.columns))

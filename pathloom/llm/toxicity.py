@@ -315,8 +315,8 @@ def score(documents: DataFrame, model: Model, keep: list[str], text: str = "text
             yield out if below is None else out.filter(pa.array(found < below))
 
     out = source.mapInArrow(run, ", ".join([*[f"{i} {types[i]}" for i in inner], "toxic_score double"]))
-    out = out.withColumnsRenamed(dict(zip(inner, keep, strict=True)))
-    return out if below is None else out.drop("toxic_score")
+    out = out if below is None else out.select(*inner)
+    return out.withColumnsRenamed(dict(zip(inner, keep, strict=True)))
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pathloom.llm import bpe, queries
@@ -67,3 +68,18 @@ def test_stages_take_odd_rows(spark, folder):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, path)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() in (0, 4)
+
+
+def test_stages_take_columns_of_any_name(spark, folder):
+    """Columns that are called like those of the stages' own stay as they are."""
+    path, texts, passage = folder
+    names = ["_id", "_of", "_key", "_k", "_new", "_row", "_kept", "t", "n", "row", "key", "kept", "spans", "toxic_score", "text_key", "id", "words"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({n: F.lit(f"own {n}") for n in names})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert sorted(docs.columns) == sorted(columns), name
+    rows = docs.collect()
+    assert {r.doc_id for r in rows} == {*range(40), 200, 201, *range(2000, 2120)}
+    assert all(r[n] == f"own {n}" for r in rows for n in names) and all(passage not in r.text for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == len(rows)
