@@ -4,7 +4,8 @@ Rules decide the pages that they fit and label them. All pages, with their label
 for each segment of the path, built from the top for all hosts at once. At a node a segment that at least SUPPORT
 pages and one in MOST of the node's pages have stays as it is; all others become a wildcard of their kind, so
 that a node has at most MOST and a few branches. Branches that are statistically alike are merged: what follows them is
-distributed alike, and so are their labels, by Hoeffding's bound; a branch without labels only joins others without.
+distributed alike, and so are their labels, by Hoeffding's bound, and most labels say the same (few labels differ by no bound);
+a branch without labels only joins others without.
 What a page's path generalises to is its template.
 
 The share of rejected pages among a template's labelled ones, smoothed towards its parent's share, is its purity; a host's is
@@ -84,7 +85,7 @@ KINDS = ("end", "empty", "digits", "letters", "file", "other")
 def kind(segment: Column) -> Column:
     """Position in KINDS; null is no segment."""
     out = F.lit(5)
-    for i, pattern in ((4, r"^[0-9]+\.[A-Za-z]+$"), (3, r"^\p{L}+$"), (2, "^[0-9]+$"), (1, "^$")):
+    for i, pattern in ((4, r"^[0-9]+\.[A-Za-z]+\z"), (3, r"^\p{L}+\z"), (2, r"^[0-9]+\z"), (1, r"^\z")):
         out = F.when(segment.rlike(pattern), F.lit(i)).otherwise(out)
     return F.when(segment.isNull(), F.lit(0)).otherwise(out)
 
@@ -98,7 +99,8 @@ def alike(a: Column, b: Column) -> Column:
 
     followers = F.forall(F.zip_with(a["follows"], b["follows"], lambda x, y: near(x, a["n"], y, b["n"])), lambda ok: ok)
     of_a, of_b = a["good"] + a["bad"], b["good"] + b["bad"]
-    labels = F.when((of_a == 0) | (of_b == 0), of_a == of_b).otherwise(near(a["bad"], of_a, b["bad"], of_b))
+    lean = (2 * a["bad"] >= of_a) == (2 * b["bad"] >= of_b)
+    labels = F.when((of_a == 0) | (of_b == 0), of_a == of_b).otherwise(lean & near(a["bad"], of_a, b["bad"], of_b))
     return followers & labels
 
 
