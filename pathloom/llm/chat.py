@@ -12,7 +12,8 @@ group is never made of it. With `lookback`, for a template whose output for a tu
 on no more earlier turns, only these are held; without it, all turns before are.
 
 Null texts and roles are empty; a null conv_id is a conversation of its own; repeated
-rows are turns of their own; an empty table gives an empty table; other columns are not read.
+rows are turns of their own, rows of one turn are ordered by role and text; a text of any length is rendered whole;
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -158,32 +159,35 @@ FIELDS = ("n", "piece", "start", "end", "loss_start", "loss_end", "rewrote")
 
 
 def read_back(formatted: DataFrame, read: Callable[[str], Iterator[Turn]] = read_turns, unescaped: Callable[[str], str] = unescape) -> DataFrame:
-    """Digests of each conversation, taken from the formatted pieces alone. formatted is what format_conversations()
-    returned, unshuffled: a conversation's pieces follow one another and are hashed as they stream by."""
+    """Digests of each conversation, taken from the formatted pieces alone, and whether its template rewrote history. formatted is what
+    format_conversations() returned, unshuffled: a conversation's pieces follow one another and are hashed as they stream by.
+    From where history is rewritten on, pieces no longer make up the conversation, and the digests stop."""
     kind = dict(formatted.dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: object = run
         turns = loss = hashlib.sha256()
         n = masked = chars = 0
+        rewrote = False
         done: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            types = [pa_kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, zip(*done, strict=True), types)), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            types = [pa_kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, zip(*done, strict=True), types)), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrote"])
 
         pa_kind = None
         for batch in batches:
             pa_kind = batch.column("conv_id").type
-            for c, piece, start, end, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "piece", "start", "end", "loss_start", "loss_end")), strict=True):
+            for c, piece, start, end, a, b, changed in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "piece", "start", "end", "loss_start", "loss_end", "rewrote")), strict=True):
                 if held is run or c != held:
                     if held is not run:
-                        done.append((held, n, turns.hexdigest(), masked, loss.hexdigest(), chars))
-                    held, turns, loss, n, masked, chars = c, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                for r, t in read(piece):
+                        done.append((held, n, turns.hexdigest(), masked, loss.hexdigest(), chars, rewrote))
+                    held, turns, loss, n, masked, chars, rewrote = c, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, False
+                rewrote |= changed
+                for r, t in () if rewrote else read(piece):
                     turns.update(f"{r}\n{t}\n".encode())
                     n += 1
-                if a is not None:
+                if a is not None and not rewrote:
                     own = unescaped(piece[a - start : b - start])
                     loss.update(own.encode())
                     masked += len(own)
@@ -192,7 +196,7 @@ def read_back(formatted: DataFrame, read: Callable[[str], Iterator[Turn]] = read
                 yield out()
                 done = []
         if held is not run:
-            done = [(held, n, turns.hexdigest(), masked, loss.hexdigest(), chars)]
+            done = [(held, n, turns.hexdigest(), masked, loss.hexdigest(), chars, rewrote)]
             yield out()
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrote boolean")

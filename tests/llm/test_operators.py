@@ -187,6 +187,19 @@ def test_chat_equals_brute_force(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_finds_a_template_that_rewrites_after_ten_turns(spark):
+    """Whole prefixes are rendered, so a change of the first turn shows however late it comes."""
+
+    def template(turns):
+        return chat.turn_template([("user", "summed up"), *turns[1:]] if len(turns) > 10 else turns)
+
+    rows = [(c, i, ["user", "assistant"][i % 2], f"turn {i}") for c, n in ((1, 10), (2, 14)) for i in range(n)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    assert [(r.conv_id, r.n) for r in got.where("rewrote").collect()] == [(2, 10)]
+    told = {r.conv_id: (r.rewrote, r.n_turns) for r in chat.read_back(got).collect()}
+    assert told == {1: (False, 10), 2: (True, 10)}
+
+
 def test_chat_template_that_depends_on_far_turns(spark):
     def template(turns):
         return "".join(f"<{len(turns) - len(turns[i:])}|{turns[0][1]}|{r}>{t}" for i, (r, t) in enumerate(turns)) + ("" if len(turns) < 7 else "!")
