@@ -251,9 +251,9 @@ PRODUCT = RANKS + ",\nscore AS MATERIALIZED (SELECT pair, t.node, t.pi * a.pi AS
 ORACLES["ppr_topic"] = graph("SELECT run, node, round(ln(pi), 6) AS log_pi FROM rank", RANKS)
 ORACLES["ppr_bidirectional"] = graph("SELECT pair, node, round(ln(score), 6) AS log_score FROM score", PRODUCT)
 ORACLES["ppr_rank_product"] = graph(
-    "SELECT pair, t.node, round(ln(t.r * a.r), 6) AS log_score FROM pairs JOIN placed t ON t.run = 't' || pair JOIN placed a ON a.run = 'a' || pair AND a.node = t.node",
+    "SELECT t.pair, t.node, round(ln(t.r * a.r), 6) AS log_score FROM (SELECT * FROM placed WHERE side = 't') t JOIN (SELECT * FROM placed WHERE side = 'a') a ON a.pair = t.pair AND a.node = t.node",
     RANKS,
-    "placed AS (SELECT run, node, 1.0::DOUBLE / row_number() OVER (PARTITION BY run ORDER BY round(ln(pi), 9) DESC, node) AS r FROM rank)",
+    "placed AS MATERIALIZED (SELECT run[1] AS side, CAST(run[2:] AS BIGINT) AS pair, node, 1.0::DOUBLE / row_number() OVER (PARTITION BY run ORDER BY round(ln(pi), 9) DESC, node) AS r FROM rank)",
 )
 _multi = """SELECT kind || '-' || pair AS run, pair AS query, node, CAST(reset AS DOUBLE) AS reset FROM (
   SELECT kind, pair, topic AS node, CASE kind WHEN 'uniform' THEN 0.5 WHEN 'degree_inv' THEN da / (dt + da) ELSE dt / (dt + da) END AS reset FROM ends
@@ -322,9 +322,6 @@ ORACLES["ksp_dedup_first_type"] = graph(
     TYPED,
     recursive=True,
 )
-ORACLES["ksp_fallback"] = graph(
-    SHOWN.format("SELECT *, row_number() OVER (PARTITION BY pair ORDER BY cost, nodes) AS rank FROM found"), WEIGHTS, PAIRS, simple_paths(f"SELECT query AS pair, u, v, rel_id, {_cost['edge_weight']} AS cost FROM best", "pairs", 3)
-)
 ORACLES["path_bank"] = graph(
     """SELECT CAST(pair AS VARCHAR) AS data_id, topic, answer, width, false AS fallback, best, hop, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes,
   array_to_string(list_transform(rels, lambda r: replace(['in_region', 'lives_in', 'based_in', 'in_segment', 'placed', 'contains', 'shipped_by', 'supplied_by', 'has_brand'][r + 1], '_', ' ')), '>') AS relations, round(cost, 6) AS cost
@@ -397,7 +394,7 @@ once{i} AS (SELECT a.q, a.relation, c.rs, a.other AS entity, min(a.node) AS pare
 
 
 ORACLES["beam_free"] = graph(
-    "SELECT q AS question, depth, parent AS source, relation, entity, round(score, 6) AS score FROM (SELECT *, 1 AS depth FROM block1 UNION ALL SELECT *, 2 FROM block2)", _free(1), _free(2)
+    "SELECT q AS question, depth, parent AS source, relation, entity, round(score, 6) AS score FROM (SELECT *, 1 AS depth FROM block1 UNION ALL SELECT *, 2 FROM block2 UNION ALL SELECT *, 3 FROM block3)", *map(_free, (1, 2, 3))
 )
 NATIONS = f"around AS MATERIALIZED (SELECT CAST(node % {STRIDE} AS VARCHAR) AS q, relation, node AS parent, other AS entity, other_type, {RAW.format(entity='other', number=f'(node % {STRIDE})', relation='relation')} AS raw FROM steps WHERE node BETWEEN {STRIDE} AND {2 * STRIDE - 1})"
 ORACLES["beam_keep_if_any"] = graph("SELECT q AS question, other_type, count(*) AS n FROM (SELECT *, bool_or(other_type = 'supplier') OVER (PARTITION BY q) AS hit FROM around) WHERE other_type = 'supplier' OR NOT hit GROUP BY ALL", NATIONS)
@@ -433,7 +430,7 @@ ORACLES["beam_leading_relations"] = graph(
 )
 ORACLES["beam_stop_half"] = graph("SELECT question, path, depth, source, relation, entity FROM triples WHERE depth <= 2", GUIDED)
 ORACLES["beam_free_until_enough"] = graph(
-    "SELECT q AS question, depth, parent AS source, relation, entity, round(score, 6) AS score FROM (SELECT *, 1 AS depth FROM block1 UNION ALL SELECT *, 2 FROM block2 WHERE CAST(q AS BIGINT) % 2 = 1)", _free(1), _free(2)
+    "SELECT q AS question, depth, parent AS source, relation, entity, round(score, 6) AS score FROM (SELECT *, 1 AS depth FROM block1 UNION ALL SELECT *, 2 FROM block2 WHERE CAST(q AS BIGINT) % 2 = 1 UNION ALL SELECT *, 3 FROM block3 WHERE CAST(q AS BIGINT) % 2 = 1)", *map(_free, (1, 2, 3))
 )
 ORACLES["beam_first_source"] = graph("SELECT 'all' AS question, other AS entity, min(node) AS source FROM steps WHERE relation = 'shipped_by' AND other_type = 'supplier' GROUP BY other")
 ORACLES["beam_advance_hops"] = """
@@ -505,13 +502,13 @@ near AS (
 )"""
 ORACLES["name_link"] = graph("SELECT mention, node_id FROM exact", MENTIONS)
 ORACLES["substring_link"] = graph("SELECT mention, node_id, place FROM near WHERE place <= 3", MENTIONS)
-LOWER_WORDS = "list_filter(string_split(lower({0}), ' '), lambda w: w <> '')"
+LOWER_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> '')"
 ORACLES["entity_link"] = graph(
     "SELECT mention, node_id, stage, place FROM (SELECT *, min(stage) OVER (PARTITION BY mention) AS least FROM every) WHERE stage = least",
     MENTIONS,
     bm25("SELECT node_id AS doc, name AS text FROM nodes", "SELECT mention AS query, mention AS text FROM mentions", b=0.75, tokens=LOWER_WORDS),
     """every AS (
-  SELECT mention, node_id, 1 AS stage, 1 AS place FROM exact UNION ALL SELECT mention, node_id, 2, place FROM near WHERE place <= 3
+  SELECT mention, node_id, 1 AS stage, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY mention ORDER BY node_id) AS INTEGER) AS place FROM exact) WHERE place <= 3 UNION ALL SELECT mention, node_id, 2, place FROM near WHERE place <= 3
   UNION ALL SELECT query, doc, 3, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, doc) AS INTEGER) AS k FROM scores WHERE bm25 > 0) WHERE k <= 3
 )""",
 )

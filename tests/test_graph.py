@@ -147,7 +147,7 @@ def test_similarities_of_negative_scores(spark):
     assert {r.doc: r.sim for r in bm25.sparse_similarities(ix, terms, docs).collect()} == pytest.approx({i: x for i, x in want.items() if x})
 
 
-def test_linking_in_parts(spark):
+def test_linking(spark):
     rng = np.random.default_rng(5)
     words = ["alpha", "beta", "gamma", "delta", "al", "ta", "mm", "lph"]
     nodes = [(i, " ".join(rng.choice(words, 2))) for i in range(60)] + [(60, None), (61, "")]
@@ -158,12 +158,23 @@ def test_linking_in_parts(spark):
         key = (mention or "").strip().lower()
         hits = sorted((i, name.lower()) for i, name in nodes if name and key and (key in name.lower() or name.lower() in key))[:6]
         want |= {(mention, i, r + 1) for r, (i, _) in enumerate(sorted(hits, key=lambda h: (abs(len(h[1]) - len(key)), h[0]))[:3])}
-    for part in (3, 10_000):
-        assert set(map(tuple, linking.contained(m, n, part_mentions=part).collect())) == want
+    got = linking.contained(m, n)
+    assert set(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     stages = {(r.mention, r.node_id): r.stage for r in linking.link(m, n).collect()}
     assert len({(mention, s) for (mention, _), s in stages.items()}) == len({mention for mention, _ in stages})  # one stage for each mention
     equal = {(mention, i) for (mention,) in mentions for i, name in nodes if mention is not None and name is not None and mention.strip().lower() == name.strip().lower()}
-    assert {pair for pair, s in stages.items() if s == 1} == equal
+    assert {pair for pair, s in stages.items() if s == 1} == {(x, i) for x, i in equal if sorted(j for y, j in equal if y == x).index(i) < 3}
+
+
+def test_containment_by_rarest_grams(spark):
+    """Both texts of any length from one character on, with characters outside of the first plane, against all pairs."""
+    rng = np.random.default_rng(8)
+    text = lambda most: "".join(rng.choice(list("abé\U0001f600 "), int(rng.integers(1, most))))
+    inner, outer = [(i, text(6)) for i in range(80)], [(i, text(14)) for i in range(80)]
+    got = linking.containing(spark.createDataFrame(inner, "inner long, s string"), spark.createDataFrame(outer, "outer long, t string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, o) for i, s in inner for o, t in outer if s in t)
 
 
 def test_weights_and_edges(spark):
