@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions.scoring import unit
 from ..sources.durable import durable
 from . import beam, bm25
+from .memo import Remembered
 
 Generator = Callable[[list[str]], list[str]]
 Factory = Callable[[], Generator]
@@ -54,14 +55,17 @@ def letter_encoder() -> Encoder:
     return lambda texts: [[float(t.lower().count(c)) for c in "aeinorst"] for t in texts]
 
 
-def generate(df: DataFrame, factory: Factory, prompt: str = "prompt", response: str = "response", name: str | None = None, batch: int = 64) -> DataFrame:
+def generate(df: DataFrame, factory: Factory | Remembered, prompt: str = "prompt", response: str = "response", name: str | None = None, batch: int = 64, error: str | None = None) -> DataFrame:
     """df with the response to each prompt; '' where every try failed or the prompt is null.
 
-    name: generators of one name are made once in a worker process.
+    name: generators of one name are made once in a worker process. error: a column for what the last try failed with, null where one
+    succeeded. A Remembered factory is asked only for prompts that its memo does not have.
     """
+    if isinstance(factory, Remembered):
+        return factory.memo.answer(df, lambda rows: generate(rows, factory.factory, "prompt", "response", name, batch, "error"), prompt, response)
     columns = df.columns
     key = name or f"{factory.__module__}.{getattr(factory, '__qualname__', 'factory')}"
-    fields = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{response}` string"])
+    fields = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{response}` string", *([f"`{error}` string"] if error else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:
@@ -71,15 +75,17 @@ def generate(df: DataFrame, factory: Factory, prompt: str = "prompt", response:
             for start in range(0, rows.num_rows, batch):
                 part = rows.slice(start, batch)
                 prompts = [p or "" for p in part.column(prompt).to_pylist()]
-                out = [""] * len(prompts)
+                out, why = [""] * len(prompts), None
                 for n in range(TRIES):
                     try:
-                        out = call(prompts)
+                        out, why = call(prompts), None
                         break
-                    except Exception:  # noqa: BLE001  a model server may fail in any way
+                    except Exception as e:  # noqa: BLE001  a model server may fail in any way
+                        why = f"{type(e).__name__}: {e}"
                         if n + 1 < TRIES:
                             time.sleep(PAUSE)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*columns, response])
+                more = [pa.array([why] * len(prompts), pa.string())] if error else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string()), *more], [*columns, response, *([error] if error else [])])
 
     return df.mapInArrow(run, fields)
 

@@ -16,7 +16,9 @@ from ..functions import scoring
 from ..functions import text as T
 from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, weights
 from ..sources import jsonl, kg, schemas
+from ..operators.memo import Memo, Remembered
 from ..sources.durable import durable, shared_dir
+from ..sources.result_log import ResultLog
 from . import inference, pathbank
 from .oracles import ORACLES
 from .setting import Graph, matching, rounded, table
@@ -838,6 +840,30 @@ def generated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("node", F.size("names").alias("suppliers"), F.array_join(F.transform(generate.entity_shares(F.col("response"), F.col("dense")), lambda x: F.format_string("%.3f", x)), " ").alias("shares"))
 
 
+@query
+def result_log_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all customers in batches, of which one is tried without being committed and all are added twice."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("data_id"), F.col("c_mktsegment").alias("results"))
+    log = ResultLog(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", "data_id string, results string")
+    log.write(own, "0-of-3")
+    for _ in range(2):
+        log.run(own, lambda df: df, "data_id", 3)
+    return log.read()
+
+
+@query
+def prompt_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers ask a stand-in for a model about their segments, twice; each prompt is answered from one call."""
+    items = ["AUTOMOBILE", "BUILDING"]
+    prompt = generate.score_prompt(F.col("c_mktsegment"), F.lit("in_segment"), F.array(*map(F.lit, items)))
+    memo = Memo(spark, f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}", "echo")
+    asked = table(spark, sf_dir, "customer").select("c_mktsegment", prompt.alias("prompt"))
+    for _ in range(2):
+        said = generate.generate(asked, Remembered(generate.echo_generator, memo))
+    calls = memo.responses.read().groupBy("prompt").agg(F.count("*").alias("calls"))
+    return said.groupBy("c_mktsegment", "prompt", "response").agg(F.count("*").alias("customers")).join(calls, "prompt").select("c_mktsegment", "response", "customers", "calls")
+
+
 @query
 def guided_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of guided inference with stand-ins for encoder and model: questions on regions against a bank of the commerce graph's patterns."""

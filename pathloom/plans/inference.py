@@ -6,6 +6,7 @@ over all questions at once. Gold answers and paths are no inputs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import dot
-from ..operators import beam, bm25, generate, match, metapath
+from ..operators import beam, bm25, generate, match, metapath, pairs
+from ..sources import kg
 from ..sources.durable import durable
+from ..sources.result_log import ResultLog
 
 
 @dataclass(frozen=True)
@@ -104,6 +107,23 @@ def records(answers: DataFrame, tests: DataFrame) -> DataFrame:
     )
 
 
+def asked(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """data_id, text, topic and topic_type of every question that has a node as its topic: the one with the smallest id. answer_type is that of its answer, if known."""
+    topics = records.select("data_id", pairs.query_text().alias("text"), F.col("answer_entity.type").alias("answer_type"), F.explode(F.map_keys("topic_entities")).alias("key")).withColumn("topic", F.col("key").try_cast("bigint"))
+    known = topics.join(nodes.select(F.col("node_id").alias("topic"), F.col("type").alias("topic_type")), "topic")
+    return known.groupBy("data_id", "text", "answer_type").agg(F.min(F.struct("topic", "topic_type")).alias("t")).select("data_id", "text", "t.topic", "t.topic_type", "answer_type")
+
+
+def logged(log: ResultLog, tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame, store: kg.Store, factory: generate.Factory, encoder: Callable[[], generate.Encoder], batches: int = 1, config: Config = Config()) -> int:
+    """Answers to the questions of tests, added to the log in batches; how many were run, those that the log has left out. tests, trains: records of questions; bank: what jsonl.path_bank() returns."""
+    steps = metapath.typed_steps(kg.both_ways(store.read("edges")), nodes, store.read("relations"))
+    questions = durable(generate.encode(asked(tests, nodes).withColumnRenamed("data_id", "question").drop("answer_type"), encoder), "questions")
+    known = asked(trains, nodes).select(F.col("data_id").alias("train"), "data_id", "text", "topic_type", F.col("answer_type").alias("train_answer_type"))
+    known = durable(generate.encode(known, encoder, vector="train_vector"), "trains")
+    patterns = durable(bank.select("data_id", "hop", "types", "relations"), "bank")
+    return log.run(questions, lambda part: records(run(part, known, patterns, nodes, steps, factory, config=config), part), "question", batches)
+
+
 def _per_test():  # noqa: ANN202
     from pyspark.sql import Window
 

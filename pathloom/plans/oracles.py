@@ -537,3 +537,6 @@ WITH s AS (SELECT {STRIDE} + s_nationkey AS node, s_name, len(list_intersect(['w
 t AS (SELECT node, s_name, format('{{:.4f}}', k / sum(k) OVER (PARTITION BY node)) AS said, count(*) OVER (PARTITION BY node) AS n FROM s),
 u AS (SELECT node, s_name, n, CAST(said AS DOUBLE) AS x, bool_and(abs(CAST(said AS DOUBLE) - 1.0 / n) < 1e-6) OVER (PARTITION BY node) AS uniform, sum(CAST(said AS DOUBLE)) OVER (PARTITION BY node) AS total FROM t)
 SELECT CAST(node AS BIGINT) AS node, CAST(n AS INTEGER) AS suppliers, string_agg(format('{{:.3f}}', CASE WHEN uniform THEN 1.0::DOUBLE / n ELSE x / total END), ' ' ORDER BY s_name) AS shares FROM u GROUP BY node, n"""
+ORACLES["result_log_once"] = "SELECT CAST(c_custkey AS VARCHAR) AS data_id, c_mktsegment AS results FROM customer"
+ORACLES["prompt_memo"] = """SELECT c_mktsegment, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '1.0000, 0.0000' WHEN 'BUILDING' THEN '0.0000, 1.0000' ELSE '0.5000, 0.5000' END AS response, count(*) AS customers, 1::BIGINT AS calls
+FROM customer GROUP BY ALL"""
