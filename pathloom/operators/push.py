@@ -121,10 +121,9 @@ class Push:
             if not closed:
                 new = state.select("block", "node")
                 new = new if about is None else new.join(about.select("block", "node"), ["block", "node"], "left_anti")
-                closed = about is not None and new.isEmpty()
-                if not closed:
-                    learned = durable(self._learn(new), "learned")
-                    about = learned if about is None else about.unionByName(learned)
+                learned = durable(self._learn(new), "learned")
+                closed = about is not None and learned.isEmpty()  # whatever is reached is known, and so are all neighbours
+                about = learned if about is None else about if closed else about.unionByName(learned)
             known = state.join(about, ["block", "node"])
             pushed = [F.when(F.col(c) > self.floor, F.col(c)).otherwise(0.0).alias(c) for c in r]
             going = known.where(F.greatest(F.lit(self.floor), *r) > self.floor)

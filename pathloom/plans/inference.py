@@ -116,7 +116,7 @@ def asked(records: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def logged(log: ResultLog, tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame, store: kg.Store, factory: generate.Factory, encoder: Callable[[], generate.Encoder], batches: int = 1, config: Config = Config()) -> int:
     """Answers to the questions of tests, added to the log in batches; how many were run, those that the log has left out. tests, trains: records of questions; bank: what jsonl.path_bank() returns."""
-    steps = metapath.typed_steps(kg.both_ways(store.read("edges")), nodes, store.read("relations"))
+    steps = store.neighbours().select("node", "relation", "other", "other_type")
     questions = durable(generate.encode(asked(tests, nodes).withColumnRenamed("data_id", "question").drop("answer_type"), encoder), "questions")
     known = asked(trains, nodes).select(F.col("data_id").alias("train"), "data_id", "text", "topic_type", F.col("answer_type").alias("train_answer_type"))
     known = durable(generate.encode(known, encoder, vector="train_vector"), "trains")

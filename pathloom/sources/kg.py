@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -136,12 +137,17 @@ def node_text(name: Column | str, description: Column) -> Column:
 
 @dataclass
 class Store:
-    """Nodes, edges (canonical), relations and node texts of a graph, kept as Parquet under one folder."""
+    """Nodes, edges (canonical), relations, node texts and, from either end, the neighbours of a graph, kept as Parquet under one folder.
+
+    Neighbours are bucketed and sorted by node. neighbours() tells the planner so, so a frontier meets them without moving them.
+    """
 
     spark: SparkSession
     folder: str
 
-    TABLES = ("nodes", "edges", "relations")
+    TABLES = ("nodes", "edges", "relations", "neighbours")
+    #: Buckets of a store's neighbours.
+    BUCKETS = 32
 
     def complete(self, table: str) -> bool:
         """Whether a table was written to its end, asked of the store's own file system."""
@@ -159,8 +165,24 @@ class Store:
         for table, df in made.items():
             if not self.complete(table):
                 df.write.mode("overwrite").parquet(f"{self.folder}/{table}")
+        if not self.complete("neighbours"):
+            both = both_ways(self.read("edges")).join(self.read("nodes").select(F.col("node_id").alias("other"), F.col("type").alias("other_type")), "other")
+            both = both.join(F.broadcast(self.read("relations").select("rel_id", "relation")), "rel_id")  # a schema's relations
+            out = both.select("node", "other", "rel_id", "relation", "other_type").repartition(self.BUCKETS, "node")
+            out.write.mode("overwrite").format("parquet").bucketBy(self.BUCKETS, "node").sortBy("node").option("path", f"{self.folder}/neighbours").saveAsTable(self._table())
         return self
 
+    def _table(self) -> str:
+        """The session's name for this store's neighbours."""
+        return "pathloom_neighbours_" + hashlib.md5(self.folder.encode(), usedforsecurity=False).hexdigest()
+
+    def neighbours(self) -> DataFrame:
+        """node, other, rel_id, relation and other_type of every edge from either end, with its layout known."""
+        if not self.spark.catalog.tableExists(self._table()):
+            columns = ", ".join(f"`{c}` {t}" for c, t in self.read("neighbours").dtypes)
+            self.spark.sql(f"CREATE TABLE {self._table()} ({columns}) USING parquet CLUSTERED BY (node) SORTED BY (node) INTO {self.BUCKETS} BUCKETS LOCATION '{self.folder}/neighbours'")
+        return self.spark.table(self._table())
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}")
 

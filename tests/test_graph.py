@@ -361,11 +361,11 @@ def test_push_reads_only_edges_near_its_seeds(spark):
     by = weights.Weighting(spark.createDataFrame([(1, 5, 1.0)], "query long, node long, sim double"), spark.createDataFrame([(1, 0, 1.0)], "query long, rel_id int, sim double"))
     seeds = spark.createDataFrame([("x", 1, 300, 1.0)], "run string, query long, node long, reset double")
     steps = push.adjacency(edges)
-    full, near = push.Push(seeds, steps, by), push.Push(seeds, steps, by, floor=1e-4)
+    full, near = push.Push(seeds, steps, by, residual=1e-4), push.Push(seeds, steps, by, residual=1e-4, floor=1e-2)
     exact, rough = ({r.node: r.pi for r in p.ranks().collect()} for p in (full, near))
-    assert sum(e for e, _ in full.read) < 1200 and len(exact) == 25
+    assert sum(e for e, _ in full.read) < 100 and len(exact) == 11
     assert sum(e for e, _ in near.read) < sum(e for e, _ in full.read) and sum(rough.values()) == pytest.approx(1, abs=1e-12)
-    assert all(abs(exact[n] - rough.get(n, 0)) < 1e-3 for n in exact)
+    assert all(abs(exact[n] - rough.get(n, 0)) < 5e-2 for n in exact)
     plan = full._move(full.start.select("*", *(F.lit(1.0).alias(f"{c}0") for c in "sw")))._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
@@ -448,3 +448,27 @@ def _parts(edges, nodes):
         for n in both:
             parts[n] = both
     return set(parts.values())
+
+
+def test_store_knows_how_its_neighbours_lie(spark, tmp_path):
+    """A frontier meets the neighbours without moving them, in the session that wrote them and in one that didn't."""
+    nodes = spark.createDataFrame([(i, f"n{i}", "even" if i % 2 == 0 else "odd", None) for i in range(200)], schemas.NODES)
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 200, k % 2) for i in range(200) for k in range(3)] + [(5, 5, 0)], schemas.EDGES)
+    relations = kg.relations(spark, [("near", "a"), ("far", "b")])
+    store = kg.Store(spark, f"file://{tmp_path}/store").ensure(nodes, edges, relations)
+    want = sorted((r.node, r.other, r.relation, r.other_type) for r in metapath.typed_steps(kg.both_ways(store.read("edges")), nodes, relations).collect())
+    frontier = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "node long")
+    for _ in range(2):
+        near = store.neighbours()
+        assert sorted(map(tuple, near.select("node", "other", "relation", "other_type").collect())) == want
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.shuffle.partitions", store.BUCKETS)
+        try:
+            joined = frontier.join(near, "node")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == sum(n % 3 == 0 for n, *_ in want)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.sql(f"DROP TABLE {store._table()}")  # as a session that has not written it
+    assert store.complete("neighbours")
