@@ -93,11 +93,8 @@ def similarities(ix: Index, terms: DataFrame, queries: DataFrame, docs: DataFram
     return every.select("query", "doc", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def best_piece(pieces: DataFrame, queries: DataFrame, tokens: Callable[[Column | str], Column], b: float = 0.75, k1: float = K1, negative: float = NEGATIVE) -> DataFrame:
-    """doc, pos, piece and score of the piece of each doc that scores best against the doc's query; each doc's pieces are a corpus of their own.
-
-    pieces: doc, pos, piece. queries: doc, text. The first among equals wins, so a query without hits gets the first piece.
-    """
+def own_scores(pieces: DataFrame, queries: DataFrame, tokens: Callable[[Column | str], Column], b: float = 0.75, k1: float = K1, negative: float = NEGATIVE) -> DataFrame:
+    """doc, pos and score of the pieces of each doc that share a word with the doc's query; each doc's pieces are a corpus of their own. pieces: doc, pos, piece. queries: doc, text."""
     words = pieces.select("doc", "pos", tokens("piece").alias("words"))
     totals = words.groupBy("doc").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
     postings = words.select("doc", "pos", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("doc", "pos", "len", "term").agg(F.count("*").alias("tf"))
@@ -106,6 +103,10 @@ def best_piece(pieces: DataFrame, queries: DataFrame, tokens: Callable[[Column |
     idf = raw.join(mean, "doc").select("doc", "term", "avg_len", F.when(F.col("raw") < 0, F.lit(negative) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("doc", F.explode(tokens("text")).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("qf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.col("avg_len")))
-    scored = postings.join(idf, ["doc", "term"]).join(asked, ["doc", "term"]).groupBy("doc", "pos").agg(F.round(F.sum(part), 9).alias("score"))
-    every = pieces.join(scored, ["doc", "pos"], "left").fillna(0.0, ["score"])
+    return postings.join(idf, ["doc", "term"]).join(asked, ["doc", "term"]).groupBy("doc", "pos").agg(F.round(F.sum(part), 9).alias("score"))
+
+
+def best_piece(pieces: DataFrame, queries: DataFrame, tokens: Callable[[Column | str], Column], b: float = 0.75, k1: float = K1, negative: float = NEGATIVE) -> DataFrame:
+    """doc, pos, piece and score of the piece of each doc that scores best against the doc's query, as own_scores() does. The first among equals wins, so a query without hits gets the first piece."""
+    every = pieces.join(own_scores(pieces, queries, tokens, b, k1, negative), ["doc", "pos"], "left").fillna(0.0, ["score"])
     return every.groupBy("doc").agg(F.max_by(F.struct("pos", "piece", "score"), F.struct("score", -F.col("pos"))).alias("b")).select("doc", "b.*")

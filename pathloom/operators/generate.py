@@ -147,7 +147,7 @@ def direct_prompt(question: Column) -> Column:
 
 
 def effective_query(query: Column, sub: Column) -> Column:
-    return F.when(sub.isNotNull() & (sub != ""), F.concat(query, F.lit("\nSub-question for this step: "), sub)).otherwise(query)
+    return F.when(sub.isNotNull() & (sub != ""), F.concat(query, F.lit("\nAt this step: "), sub)).otherwise(query)
 
 
 def entity_shares(response: Column, dense: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, weights
+from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, retrieval, weights
 from ..sources import jsonl, kg, schemas
 from ..operators.memo import Memo, Remembered
 from ..sources.durable import durable, shared_dir
@@ -537,6 +537,28 @@ def beam_down_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.down_sample(_raw_entity(_nation_candidates(spark, sf_dir))).select("question", "relation", "entity")
 
 
+def _nation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("string")
+    return table(spark, sf_dir, "nation").select(key.alias("question"), F.concat(F.lit("small ring based_in: Supplier#"), F.lpad(key, 9, "0"), F.lit(" lives nation. small")).alias("text"))
+
+
+@query
+def beam_bm25_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of each nation and relation by BM25 of their names."""
+    nodes = Graph(spark, sf_dir).nodes.select("node_id", F.col("name").alias("text"))
+    scored = retrieval.bm25_entities(_nation_texts(spark, sf_dir), nodes)(_nation_candidates(spark, sf_dir))
+    return beam.down_sample(scored).select("question", "relation", "entity", rounded("raw").alias("raw"))
+
+
+@query
+def beam_bm25_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best relations of each nation by BM25 of their names and descriptions."""
+    g = Graph(spark, sf_dir)
+    own = _nation_candidates(spark, sf_dir).select("question", "relation").distinct()
+    scored = retrieval.bm25_relations(_nation_texts(spark, sf_dir), g.relations)(own)
+    return beam.relation_choice(scored).select("question", "relation", rounded("score").alias("score"))
+
+
 @query
 def beam_random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.random_sample(_nation_candidates(spark, sf_dir)).select("question", "relation", "entity")

@@ -540,3 +540,30 @@ SELECT CAST(node AS BIGINT) AS node, CAST(n AS INTEGER) AS suppliers, string_agg
 ORACLES["result_log_once"] = "SELECT CAST(c_custkey AS VARCHAR) AS data_id, c_mktsegment AS results FROM customer"
 ORACLES["prompt_memo"] = """SELECT c_mktsegment, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '1.0000, 0.0000' WHEN 'BUILDING' THEN '0.0000, 1.0000' ELSE '0.5000, 0.5000' END AS response, count(*) AS customers, 1::BIGINT AS calls
 FROM customer GROUP BY ALL"""
+
+
+def own_bm25(items: str, by: str) -> str:
+    """s(by, item, score): BM25 of items(q, by, item, text) among those of their group, against texts(q, text)."""
+    return f"""texts AS (SELECT CAST(n_nationkey AS VARCHAR) AS q, 'small ring based_in: Supplier#' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0') || ' lives nation. small' AS text FROM nation),
+items AS MATERIALIZED ({items}),
+words AS (SELECT *, string_split(text, ' ') AS w FROM items),
+sizes AS (SELECT {by}, count(*) AS n, avg(len(w)) AS avg_len FROM words GROUP BY ALL),
+post AS (SELECT {by}, item, len, term, count(*) AS tf FROM (SELECT {by}, item, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL),
+lex AS (SELECT {by}, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post JOIN sizes USING ({by}) GROUP BY {by}, term),
+idf AS (SELECT {by}, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY {by}) ELSE raw END AS idf FROM lex),
+want AS (SELECT q, term, count(*) AS qf FROM (SELECT q, unnest(string_split(text, ' ')) AS term FROM texts) GROUP BY ALL),
+hit AS (SELECT {by}, item, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM post JOIN sizes USING ({by}) JOIN idf USING ({by}, term) JOIN want USING (q, term) GROUP BY {by}, item),
+s AS (SELECT {by}, item, coalesce(score, 0.0) AS score FROM items LEFT JOIN hit USING ({by}, item))"""
+
+
+ORACLES["beam_bm25_sample"] = graph(
+    "SELECT q AS question, relation, item AS entity, round(score, 6) AS raw FROM (SELECT *, count(*) OVER (PARTITION BY q, relation) AS n, row_number() OVER (PARTITION BY q, relation ORDER BY score DESC, item) AS k FROM s) WHERE n < 20 OR k <= 10",
+    NATIONS,
+    own_bm25("SELECT q, relation, entity AS item, name AS text FROM around JOIN nodes ON node_id = entity", "q, relation"),
+)
+ORACLES["beam_bm25_relations"] = graph(
+    """SELECT q AS question, item AS relation, round(CASE WHEN n <= 3 THEN 1.0 / n WHEN sum(score) OVER (PARTITION BY q) = 0 THEN 1.0 / count(*) OVER (PARTITION BY q) ELSE score END, 6) AS score
+FROM (SELECT *, count(*) OVER (PARTITION BY q) AS n, row_number() OVER (PARTITION BY q ORDER BY score DESC, item) AS k FROM s) WHERE k <= 3""",
+    NATIONS,
+    own_bm25("SELECT q, relation AS item, relation || ': ' || description AS text FROM (SELECT DISTINCT q, relation FROM around) JOIN rels USING (relation)", "q"),
+)
