@@ -8,7 +8,8 @@ lowest rank. Texts are cut by the vocabulary's pattern first and each pre-token
 encoded alone; a pre-token that is itself in the vocabulary is that one id. Decoding
 maps ids back to bytes by the inverse table.
 
-Null and empty texts have no ids and decode to no bytes. Repeated rows and null ids
+Null and empty texts have no ids and decode to no bytes; texts of any length are encoded whole; of
+equally ranked pairs the first in the text is merged; an empty table gives an empty table. Repeated rows and null ids
 pass through, one output row for each input row; other columns are not read.
 """
 

@@ -17,7 +17,7 @@ as blocks: the members outside its largest component, a block at a time, meet al
 between members of one component would change nothing and are not looked for.
 
 Null, empty and wordless texts have no shingles and are linked with nothing (their
-component is their own doc_id). Fewer words than a shingle are one shingle. Repeated
+component is their own doc_id). Texts of any length are read whole. Fewer words than a shingle are one shingle. Repeated
 rows fall into one class; null ids count as larger than any; an empty table gives an
 empty table; other columns are not read. With 32 bands of 4 rows a pair at the
 threshold 0.8 escapes all buckets with a probability of 5e-8.

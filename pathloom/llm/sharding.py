@@ -14,8 +14,8 @@ columns are written to the shared folder with the number of the input partition,
 slots are counted within (shard, input partition), so that no key, however common,
 gathers in one task.
 
-A null doc_id hashes as a key of its own; null text has size 16 and crc32 0; repeated
-rows share a shard and get slots of their own, in the order of doc_id, size and crc32;
+A null doc_id hashes as a key of its own; null text has size 16 and crc32 0; a text of any length is read
+once for its size and crc32; of equal draws the first child wins; repeated rows share a shard and get slots of their own, in the order of doc_id, size and crc32;
 an empty table gives an empty table; other columns are not read.
 """
 
