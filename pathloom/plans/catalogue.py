@@ -206,18 +206,17 @@ def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def norm_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = scoring.group("event_type")
-    return table(spark, sf_dir, "events").select("event_id", rounded(scoring.min_max(F.col("value"), own)).alias("x"))
+    return scoring.normalised(table(spark, sf_dir, "events"), "value", "min_max", "event_type").select("event_id", rounded("x").alias("x"))
 
 
 @query
 def norm_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", rounded(scoring.max_norm(F.col("value"), scoring.group("user_id"))).alias("x"))
+    return scoring.normalised(table(spark, sf_dir, "events"), "value", "max", "user_id").select("event_id", rounded("x").alias("x"))
 
 
 @query
 def norm_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", rounded(scoring.sum_norm(F.col("value"), scoring.group("user_id"))).alias("x"))
+    return scoring.normalised(table(spark, sf_dir, "events"), "value", "sum", "user_id").select("event_id", rounded("x").alias("x"))
 
 
 @query

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions import scoring
 from pathloom.operators import beam, retrieval
 
 
@@ -50,3 +51,14 @@ def test_scorers_in_free_exploration(spark):
     of_relations = spark.createDataFrame([("eats", [0.9, 0.0]), ("sees", [0.0, 5.0])], "relation string, vector array<double>")
     found = beam.explore(questions, steps, retrieval.dense_relations(asked, of_relations), retrieval.dense_entities(asked, of_nodes), width=3, depth=1).collect()
     assert {(r.relation, r.entity) for r in found} == {("eats", 12), ("eats", 13)}
+
+
+@pytest.mark.parametrize("how", ["min_max", "max", "sum"])
+def test_normalised_equals_the_window(spark, how):
+    """Also for null keys and values, groups of zeros and a column that is already called like the result."""
+    rows = [("a", 1.0), ("a", 3.0), ("a", None), (None, 5.0), (None, 7.0), ("z", 0.0), ("z", 0.0), ("one", -2.0)]
+    df = spark.createDataFrame([(k, v, i, 0.5) for i, (k, v) in enumerate(rows)], "k string, v double, i int, x double")
+    window = {"min_max": scoring.min_max, "max": scoring.max_norm, "sum": scoring.sum_norm}[how](F.col("v"), scoring.group("k"))
+    got = scoring.normalised(df, "v", how, "k")
+    assert sorted(got.columns) == sorted(df.columns)
+    assert {r.i: r.x for r in got.collect()} == {r.i: r.x for r in df.withColumn("x", window).collect()}
