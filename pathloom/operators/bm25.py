@@ -62,6 +62,17 @@ def scores(ix: Index, terms: DataFrame, b: float = 0.0, k1: float = K1) -> DataF
     return hits.groupBy("query", "doc").agg(F.sum(part).alias("bm25"))
 
 
+def query_weights(ix: Index, terms: DataFrame) -> DataFrame:
+    """query, term and weight: a query's side of each summand of its scores."""
+    return terms.join(ix.lexicon, "term").select("query", "term", (F.col("qf") * F.col("idf")).alias("weight"))
+
+
+def doc_weights(ix: Index, b: float = 0.0, k1: float = K1) -> DataFrame:
+    """doc, term and weight: a doc's side. A score is the product of both sides' vectors."""
+    length = F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.col("avg_len")
+    return ix.postings.crossJoin(F.broadcast(ix.totals.select("avg_len"))).select("doc", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)).alias("weight"))
+
+
 def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
     """The k best docs of each query, ties to the smaller doc."""
     from ..functions.scoring import best, group

@@ -1,47 +1,15 @@
-"""Matching of test questions with train questions, and the path patterns that come with them."""
+"""The path patterns that come with the train questions that a test question was matched with (pools.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import best, group, min_max
-from .beam import keep_if_any
+from ..functions.scoring import best, group
 
 CAPS = {1: 2, 2: 4, 3: 8}
 
 
-def hybrid(candidates: DataFrame, dense: str = "dense", bm25: str = "bm25", by: str = "test") -> DataFrame:
-    """candidates with `hybrid`: half the min-max normalised dense score and half the BM25 score's, over each test question's pool."""
-    pool = group(by)
-    return candidates.withColumn("hybrid", F.lit(0.5) * min_max(F.col(dense), pool) + F.lit(0.5) * min_max(F.col(bm25), pool))
-
-
-def pool(tests: DataFrame, trains: DataFrame, bm25: DataFrame, vector_product: Column) -> DataFrame:
-    """test, train, dense and bm25 of the train questions with a test question's topic type. bm25: query, doc, bm25; missing pairs score 0.
-
-    tests: test, topic_type, vector. trains: train, topic_type, train_vector. The join is on the type.
-    """
-    pairs = tests.join(trains, "topic_type").withColumn("dense", vector_product)
-    return pairs.join(bm25.toDF("test", "train", "bm25"), ["test", "train"], "left").fillna(0.0, ["bm25"])
-
-
-def fitting(candidates: DataFrame, answer_type: str = "answer_type", train_answer_type: str = "train_answer_type") -> DataFrame:
-    """A pool's candidates with the answer type that is predicted for the test question; all of a question of which none has it, or whose type is null."""
-    return keep_if_any(candidates, F.col(answer_type) == F.col(train_answer_type), "test")
-
-
-def top_trains(scored: DataFrame, k: int = 5, identity: str = "data_id") -> DataFrame:
-    """The k best distinct train questions of each test question, with rank; ties to the smaller id."""
-    each = scored.groupBy("test", identity).agg(F.max("hybrid").alias("hybrid"))
-    return each.withColumn("rank", best(group("test"), F.desc("hybrid"), F.col(identity))).where(F.col("rank") <= k)
-
-
-def best_per_hop(scored: DataFrame) -> DataFrame:
-    """The best train question of each test question and hop, the first among equals."""
-    return scored.withColumn("rank", best(group("test", "hop"), F.desc("hybrid"), F.col("train"))).where("rank = 1").drop("rank")
-
-
 def patterns_of(matched: DataFrame, bank: DataFrame, hops: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """test, hop, types, relations and n (how often) of the banked paths of the matched questions. matched: test, data_id, answer_type (null: any)."""
     paths = bank.where(F.col("hop").isin(*hops))

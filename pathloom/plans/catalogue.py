@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, ppr, push, retrieval, weights
+from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, pools, ppr, push, retrieval, weights
 from ..sources import jsonl, kg, schemas
 from ..operators.memo import Memo, Remembered
 from ..sources.durable import durable, shared_dir
@@ -221,20 +221,17 @@ def norm_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = matching(spark, sf_dir).withColumn("dense", rounded("dense"))
-    return ranked.withColumn("rank", scoring.best(scoring.group("test"), F.desc("dense"), F.col("train"))).where("rank <= 3").select("test", "rank", "train", "dense")
+    return pools.nearest(matching(spark, sf_dir, lexical=False), 3, 6).select("test", "rank", "train", "dense")
 
 
 @query
 def hybrid_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
-    return match.top_trains(scored).select("test", "rank", "data_id", "hybrid")
+    return pools.top_trains(matching(spark, sf_dir), digits=6).select("test", "rank", "data_id", "hybrid")
 
 
 @query
 def hybrid_match_per_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
-    return match.best_per_hop(scored).select("test", "hop", "train", "hybrid")
+    return pools.best_per_hop(matching(spark, sf_dir), 6).select("test", "hop", "train", "hybrid")
 
 
 def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +245,7 @@ def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
-    matched = match.top_trains(scored).select("test", "data_id", F.lit(None).cast("string").alias("answer_type"))
+    matched = pools.top_trains(matching(spark, sf_dir), digits=6).select("test", "data_id", F.lit(None).cast("string").alias("answer_type"))
     return match.patterns_of(matched, _bank(spark, sf_dir))
 
 
@@ -271,27 +267,23 @@ def commonest_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def match_typed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns that end in the type that is predicted for the answer; any, where none is predicted."""
-    scored = match.hybrid(matching(spark, sf_dir)).withColumn("hybrid", rounded("hybrid"))
     predicted = F.when(F.col("test") % 3 == 0, F.lit("F")).when(F.col("test") % 3 == 1, F.lit("SMALL"))
-    matched = match.top_trains(scored).select("test", "data_id", predicted.alias("answer_type"))
+    matched = pools.top_trains(matching(spark, sf_dir), digits=6).select("test", "data_id", predicted.alias("answer_type"))
     return match.patterns_of(matched, _bank(spark, sf_dir)).select("test", "hop", joined("types", ">").alias("types"), joined("relations", ">").alias("relations"), "n")
 
 
 @query
 def match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best train question of each hop among those with the predicted answer type (here: the hop's number), or among all where none has it."""
-    pool = matching(spark, sf_dir).withColumn("answer_type", (F.col("test") % 4 + 1).cast("string")).withColumn("train_answer_type", F.col("hop").cast("string"))
-    scored = match.hybrid(match.fitting(pool)).withColumn("hybrid", rounded("hybrid"))
-    return match.best_per_hop(scored).select("test", "hop", "train", "hybrid")
+    return pools.best_per_hop(matching(spark, sf_dir, typed=True), 6).select("test", "hop", "train", "hybrid")
 
 
 @query
 def dense_encode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through an encoder stage, and the three nearest documents of each benchmark item among those of its class."""
-    items = generate.encode(table(spark, sf_dir, "benchmark").select("item_id", "text"), generate.letter_encoder, vector="v").select(F.col("item_id").alias("test"), (F.col("item_id") % 5).alias("class"), "v")
-    docs = generate.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), generate.letter_encoder, vector="w").select(F.col("doc_id").alias("train"), (F.col("doc_id") % 5).alias("class"), "w")
-    scored = items.join(docs, "class").select("test", "train", rounded(scoring.dot("v", "w")).alias("dense"))
-    return scored.withColumn("rank", scoring.best(scoring.group("test"), F.desc("dense"), F.col("train"))).where("rank <= 3").select("test", "rank", "train", "dense")
+    items = generate.encode(table(spark, sf_dir, "benchmark").select("item_id", "text"), generate.letter_encoder, vector="v").select(F.col("item_id").alias("test"), (F.col("item_id") % 5).alias("topic_type"), F.col("v").alias("vector"))
+    docs = generate.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), generate.letter_encoder, vector="w").select(F.col("doc_id").alias("train"), (F.col("doc_id") % 5).alias("topic_type"), F.col("w").alias("train_vector"))
+    return pools.nearest(pools.pools(items, docs), 3, 6).select("test", "rank", "train", "dense")
 
 
 # ---- Weights, ranks, corridors, paths --------------------------------------------------------------------------------

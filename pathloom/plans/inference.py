@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scoring import dot
-from ..operators import beam, bm25, generate, match, metapath, pairs
+from ..operators import beam, bm25, generate, match, metapath, pairs, pools
 from ..sources import kg
 from ..sources.durable import durable
 from ..sources.result_log import ResultLog
@@ -46,12 +45,8 @@ def run(tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame,
     typed = generate.generate(tests.withColumn("prompt", generate.type_prompt(F.col("text"))), factory, response="said").withColumn("answer_type", T.answer_type("said")).drop("prompt", "said")
     typed = durable(typed, "typed")
     ix = bm25.index(trains, "train", "text")
-    scores = bm25.scores(ix, bm25.query_terms(typed, "question", "text"))
-    pool = match.pool(typed.select(F.col("question").alias("test"), "topic_type", "vector", "answer_type"), trains.drop("text"), scores, dot("vector", "train_vector"))
-    if "train_answer_type" in trains.columns:
-        pool = match.fitting(pool)
-    pool = pool.drop("answer_type")
-    top = match.top_trains(match.hybrid(pool), config.matched)
+    asked = typed.select(F.col("question").alias("test"), "topic_type", "vector", "answer_type")
+    top = pools.top_trains(pools.pools(asked, trains, ix._replace(postings=durable(ix.postings, "postings")), bm25.query_terms(typed, "question", "text")), config.matched)
     patterns = match.patterns_of(top.join(typed.select(F.col("question").alias("test"), "answer_type"), "test"), bank, config.hops)
 
     # patterns that the topic cannot follow go before the cap

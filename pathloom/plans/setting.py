@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import dot, group, max_norm
-from ..operators import bm25, corridor, metapath, paths, ppr, push, weights
+from ..functions.scoring import group, max_norm
+from ..operators import bm25, corridor, metapath, paths, pools, ppr, push, weights
 from ..sources import kg
 from ..sources.durable import durable
 
@@ -96,14 +96,21 @@ class Graph:
         return paths.with_types(paths.candidates(widths.where("width is not null"), edges, self.nodes, dedup=dedup), self.nodes)
 
 
-def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """test, train, data_id, hop, dense and bm25: benchmark items against the documents of their vector's label."""
+def matching(spark: SparkSession, sf_dir: str, lexical: bool = True, typed: bool = False) -> pools.Pools:
+    """Benchmark items (test) and documents (train, data_id, hop) in blocks by their vector's label. Documents without a vector of their id take no part.
+
+    typed: an item asks for documents of the hop that is its number modulo 4, plus 1.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("topic_type"), "embedding")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tests = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("test"), "topic_type", F.col("embedding").alias("v"))
-    trains = docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("train"), F.col("doc_id").alias("data_id"), (F.col("doc_id") % 3 + 1).cast("int").alias("hop"), "topic_type", F.col("embedding").alias("w"))
-    scored = bm25.scores(bm25.index(docs, "doc_id", "text"), bm25.query_terms(items, "item_id", "text"))
-    from ..operators import match
-
-    return match.pool(tests, trains, scored, dot("v", "w")).select("test", "train", "data_id", "hop", "dense", "bm25")
+    tests = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("test"), "topic_type", F.col("embedding").alias("vector"))
+    hop = (F.col("doc_id") % 3 + 1).cast("int")
+    trains = docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("train"), F.col("doc_id").alias("data_id"), hop.alias("hop"), "topic_type", F.col("embedding").alias("train_vector"))
+    if typed:
+        tests, trains = tests.withColumn("answer_type", (F.col("test") % 4 + 1).cast("string")), trains.withColumn("train_answer_type", F.col("hop").cast("string"))
+    if not lexical:
+        return pools.pools(tests, trains)
+    ix = bm25.index(docs, "doc_id", "text")
+    ix = ix._replace(postings=durable(ix.postings, "postings"))
+    return pools.pools(tests, trains, ix, bm25.query_terms(items, "item_id", "text"))
