@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.durable import durable
+
 
 @dataclass(frozen=True)
 class Step:
@@ -120,13 +125,84 @@ def exists(chain: Chain, topics: DataFrame, nodes: DataFrame, steps: DataFrame)
     return own if reached is None else own.join(reached, own.topic == reached.at, "left_semi")
 
 
-def compound(chains: list[Chain], nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """topic and answer of the pairs that every chain connects."""
-    out = None
-    for chain in chains:
-        own = answers(chain, nodes, steps).select("topic", "answer").distinct()
-        out = own if out is None else out.intersect(own)
-    return out
+def _semi(df: DataFrame, column: str, kept: DataFrame) -> DataFrame:
+    """The rows of df whose column is an `at` of kept."""
+    return df.join(kept.select(F.col("at").alias(column)), column, "left_semi").select(*df.columns)
+
+
+class Reduced(NamedTuple):
+    """What can take part in a pair of several chains: topics and ends (at), both tables, and for each chain that leads on from its topic the (node, other) of its steps to the answer."""
+
+    topics: DataFrame
+    ends: DataFrame | None
+    walks: list[list[DataFrame]]
+
+
+def reduce_chains(chains: list[Chain], nodes: DataFrame, steps: DataFrame, rounds: int = 1) -> Reduced:
+    """Semi-joins along all chains before any pair is formed: back from the ends, then `rounds` times on from the topics that all chains leave and back from the ends that all reach.
+
+    What a chain has behind its answer is a condition on the answer. More rounds can only take away more, since chains that meet at
+    both ends are a cycle; the pairs are the same. Each pass writes only steps that the last one left, so tables shrink.
+    """
+    used = {(s.relation, s.type) for c in chains for s in c.steps}
+    named = [(F.col("relation") == r) & (F.col("other_type") == t) for r, t in sorted(used)]
+    pool = durable(steps.where(functools.reduce(operator.or_, named, F.lit(False))), "steps")
+    kinds = functools.reduce(operator.and_, [F.col("type") == c.type for c in chains])
+    topics, ends = nodes.where(kinds).select(F.col("node_id").alias("at")), None
+    for c in chains:
+        if c.answer < len(c.steps):
+            rest = exists(Chain(c.types[c.answer], c.steps[c.answer :]), nodes.select(F.col("node_id").alias("topic")), nodes, pool).select(F.col("topic").alias("at"))
+            ends = rest if ends is None else _semi(ends, "at", rest)
+            topics = topics if c.answer else _semi(topics, "at", rest)
+    walks = [[pool.where((F.col("relation") == s.relation) & (F.col("other_type") == s.type)).select("node", "other") for s in c.steps[: c.answer]] for c in chains if c.answer]
+
+    def back() -> None:
+        nonlocal topics
+        for walk in walks:
+            at = ends
+            for i in reversed(range(len(walk))):
+                walk[i] = walk[i] if at is None else durable(_semi(walk[i], "other", at), "back")
+                at = walk[i].select(F.col("node").alias("at")).distinct()
+            topics = _semi(topics, "at", at)
+        topics = durable(topics, "topics")
+
+    ends = durable(ends, "ends") if ends is not None else None
+    back()
+    for _ in range(rounds):
+        for walk in walks:
+            at = topics
+            for i in range(len(walk)):
+                walk[i] = durable(_semi(walk[i], "node", at), "on")
+                at = walk[i].select(F.col("other").alias("at")).distinct()
+            ends = at if ends is None else _semi(ends, "at", at)
+        ends = durable(ends, "ends") if ends is not None else None
+        back()
+    return Reduced(topics, ends, walks)
+
+
+def compound(chains: list[Chain], nodes: DataFrame, steps: DataFrame, rounds: int = 1) -> DataFrame:
+    """topic and answer of the pairs that every chain connects.
+
+    The chains are reduced first (reduce_chains). The chain with the fewest steps left forms pairs, from whichever end has fewer nodes;
+    the others only confirm pairs, walking from those nodes that still have one.
+    """
+    left = reduce_chains(chains, nodes, steps, rounds)
+    if not left.walks:
+        return left.topics.select(F.col("at").alias("topic"), F.col("at").alias("answer"))
+    turned = left.ends.count() < left.topics.count()
+    start, end, a, b = ("other", "node", "answer", "topic") if turned else ("node", "other", "topic", "answer")
+    pairs = None
+    for walk in sorted(left.walks, key=lambda w: sum(step.count() for step in w)):
+        walk = walk[::-1] if turned else walk
+        first = walk[0].select(F.col(start).alias(a), F.col(end).alias("at")).distinct()
+        out = first if pairs is None else first.join(pairs.select(a).distinct(), a, "left_semi")
+        for step in walk[1:]:
+            out = out.join(step.select(F.col(start).alias("at"), F.col(end).alias("to")), "at").select(a, F.col("to").alias("at")).distinct()
+        out = out.withColumnRenamed("at", b)
+        pairs = durable(out if pairs is None else pairs.join(out, [a, b], "left_semi"), "pairs")
+    if len(left.walks) < len(chains):  # a chain that leads nowhere has its topic as the answer
+        pairs = pairs.where("topic = answer")
+    return pairs.select("topic", "answer")
 
 
 def traversable(topics: DataFrame, patterns: DataFrame, nodes: DataFrame, steps: DataFrame, longest: int = 3) -> DataFrame:
