@@ -54,8 +54,12 @@ def pools(tests: DataFrame, trains: DataFrame, ix: bm25.Index | None = None, ter
     fields = {"data_id": F.col("train"), "hop": F.lit(None).cast("int"), "train_answer_type": F.lit(None).cast("string")}
     own = [F.col(c) if c in trains.columns else other.alias(c) for c, other in fields.items()]
     right = _dealt(trains.select("train", "topic_type", *own, F.col("train_vector").cast("array<double>").alias("vector")).withColumn("train_answer_type", F.col("train_answer_type").cast("string")), "train", sizes[1])
-    left = _with_terms(left, "test", bm25.query_weights(ix, terms).withColumnRenamed("query", "test") if ix else None)
-    right = _with_terms(right, "train", bm25.doc_weights(ix).withColumnRenamed("doc", "train") if ix else None)
+    if ix:
+        asked = terms.select("term").distinct()  # no other term of a train counts
+        left = _with_terms(left, "test", bm25.query_weights(ix, terms).withColumnRenamed("query", "test"))
+        right = _with_terms(right, "train", bm25.doc_weights(ix).join(asked, "term", "left_semi").withColumnRenamed("doc", "train"))
+    else:
+        left, right = _with_terms(left, "test", None), _with_terms(right, "train", None)
     question = F.struct("train", "data_id", "hop", "train_answer_type", "vector", "terms")
     return Pools(durable(left, "pool_tests"), durable(right.groupBy("topic_type", "blocks", "block").agg(F.collect_list(question).alias("rows")), "pool_trains"))
 
@@ -71,7 +75,7 @@ def _with_terms(rows: DataFrame, key: str, weights: DataFrame | None) -> DataFra
     none = F.array().cast("array<struct<term:string,weight:double>>")
     if weights is None:
         return rows.withColumn("terms", none)
-    lists = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    lists = weights.join(rows.select(key), key, "left_semi").groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     return rows.join(lists, key, "left").withColumn("terms", F.coalesce("terms", none))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators import beam, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, pools, ppr, push, retrieval, weights
+from ..operators import beam, blockmax, bm25, corridor, deviations, evaluate, generate, linking, match, metapath, pairs, paths, pools, ppr, push, retrieval, weights
 from ..sources import jsonl, kg, schemas
 from ..operators.memo import Memo, Remembered
 from ..sources.durable import durable, shared_dir
@@ -891,6 +891,15 @@ def guided_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question", "results", "cot_fallback_used", "chosen_hop", "paths_used", "paths_success", "fallback", "evidence", F.to_json("paths_by_hop").alias("paths_by_hop"), "triplets_before_dedup", "triplets_after_dedup")
 
 
+@query
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk from postings in blocks by impact, written and read again: levels that cannot reach an item's kth score stay closed."""
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    blockmax.blocks(bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text")).write(path)
+    terms = bm25.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return blockmax.top(blockmax.Blocks.read(spark, path), terms, 5, 6).select("query", "rank", "doc", "bm25")
+
+
 @query
 def bm25_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents of each benchmark item from an index that was written and read again."""

@@ -126,7 +126,7 @@ TOP5 = "SELECT query, rank, doc, bm25 FROM (SELECT *, CAST(row_number() OVER (PA
 ORACLES["bm25_lexicon"] = f"WITH {BM25_DOCUMENTS} SELECT term, df, round(idf, 6) AS idf FROM lex"
 ORACLES["bm25_scores"] = f"WITH {BM25_DOCUMENTS} SELECT query, doc, round(bm25, 6) AS bm25 FROM scores"
 ORACLES["bm25_topk"] = f"WITH {BM25_DOCUMENTS} {TOP5}"
-ORACLES["bm25_store"] = ORACLES["bm25_topk"]
+ORACLES["bm25_store"] = ORACLES["bm25_blockmax"] = ORACLES["bm25_topk"]
 ORACLES["bm25_default_b"] = f"WITH {bm25(DOCUMENTS, ITEMS, b=0.75, tokens=SPACED)} {TOP5}"
 
 
