@@ -52,7 +52,7 @@ def blocks(ix: bm25.Index, b: float = 0.0, k1: float = bm25.K1, size: int = BLOC
     dealt = filed.join(levels.select("term", "level", F.ceil(F.col("n") / size).alias("_n")), ["term", "level"]).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("_n")))
     lists = dealt.groupBy("term", "level", "chunk").agg(F.collect_list("doc").alias("docs"))
     own = filed.groupBy("doc").agg(F.collect_list(F.struct("term", "weight")).alias("own")).select("doc", F.col("own.term").alias("words"), F.col("own.weight").alias("impacts"))
-    return Blocks(lists.repartitionByRange("term", "chunk").sortWithinPartitions("term", F.desc("level")), levels, own, ix.lexicon)
+    return Blocks(lists.sortWithinPartitions("term", F.desc("level")), levels, own, ix.lexicon)
 
 
 def _scored(found: DataFrame, asked: DataFrame, store: Blocks, digits: int) -> DataFrame:
