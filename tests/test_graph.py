@@ -381,6 +381,22 @@ def test_weight_histogram_equals_weights(spark):
     assert sorted(map(tuple, weights.weigh(some, by).select("query", "u", "v", "rel_id", "weight").collect())) == sorted(map(tuple, every.where("query = 1 and u % 2 = 0").collect()))
 
 
+def test_edges_are_counted_before_they_meet_questions(spark):
+    """A thousand nodes alike are one class, so edges are a few kinds; best edges by kind equal best edges one by one, with parallel edges."""
+    edges = spark.createDataFrame([(0, i, i % 2) for i in range(1, 1001)] + [(0, i, 2) for i in range(1, 500)], "u long, v long, rel_id int")
+    by = weights.Weighting(spark.createDataFrame([(q, i, 0.25 * q) for q in (1, 2) for i in range(1, 1001)], "query long, node long, sim double"), spark.createDataFrame([(1, 2, 0.5), (2, 0, 0.75)], "query long, rel_id int, sim double"))
+    own, sims = weights.classes(by.node_sim)
+    assert own.select("class").distinct().count() == 1 and sims.count() == 2
+    assert sorted(map(tuple, weights.kinds(edges, own, "rel_id").collect())) == [(0, None, 1, 500), (1, None, 1, 500), (2, None, 1, 499)]
+    edges, by, _ = weighed(np.random.default_rng(8), spark)
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query long")
+    degree = kg.degrees(edges)
+    best = weights.best_edges(weights.edge_weights(edges, queries, by.node_sim, by.rel_sim), "query").join(degree.toDF("u", "a"), "u").join(degree.toDF("v", "b"), "v")
+    want = {tuple(r)[:4]: r.n for r in best.groupBy("query", F.round("weight", 9).alias("w"), "a", "b").agg(F.count("*").alias("n")).collect()}
+    found = weights.best_histogram(edges, queries, by, degree)
+    assert {tuple(r)[:4]: r.n for r in found.groupBy("query", F.round("weight", 9).alias("w"), "u_degree", "v_degree").agg(F.sum("n").alias("n")).collect()} == want
+
+
 def test_raw_paths_equal_brute_force(spark):
     rng = np.random.default_rng(11)
     rows, pairs_, want = [], [], []
