@@ -46,7 +46,7 @@ def run(tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame,
     typed = durable(typed, "typed")
     ix = bm25.index(trains, "train", "text")
     asked = typed.select(F.col("question").alias("test"), "topic_type", "vector", "answer_type")
-    top = pools.top_trains(pools.pools(asked, trains, ix._replace(postings=durable(ix.postings, "postings")), bm25.query_terms(typed, "question", "text")), config.matched)
+    top = pools.top_trains(pools.pools(asked, trains, ix, bm25.query_terms(typed, "question", "text")), config.matched)
     patterns = match.patterns_of(top.join(typed.select(F.col("question").alias("test"), "answer_type"), "test"), bank, config.hops)
 
     # patterns that the topic cannot follow go before the cap

@@ -134,6 +134,20 @@ def test_bm25_by_hand(spark):
     assert sparse == {pair: sim for pair, sim in sims.items() if sim}
 
 
+def test_index_reads_texts_once(spark):
+    """Postings, lexicon and totals are read from tables, not from texts that are cut again for each; few asked terms move no postings."""
+    docs = spark.createDataFrame([(1, "a b b"), (1, "a c d"), (2, ""), (3, None), (4, "a d d d")], "doc long, text string")
+    ix = bm25.index(docs, "doc", "text")
+    for df in ix:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "Generate" not in plan
+    assert sorted(map(tuple, ix.postings.collect())) == [(1, "a", 2, 3), (1, "b", 2, 3), (1, "c", 1, 3), (1, "d", 1, 3), (4, "a", 1, 4), (4, "d", 3, 4)]
+    assert tuple(ix.totals.first()) == (5, 2.0)
+    scored = bm25.scores(ix, bm25.query_terms(docs.where("doc = 4"), "doc", "text"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_similarities_of_negative_scores(spark):
     """A term in nearly all docs has a negative idf here, so docs without a hit lie above those with one."""
     docs = spark.createDataFrame([(i, "common" if i < 3 else "other") for i in range(4)], "doc long, text string")
