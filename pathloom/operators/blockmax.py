@@ -56,11 +56,15 @@ def blocks(ix: bm25.Index, b: float = 0.0, k1: float = bm25.K1, size: int = BLOC
 
 
 def _scored(found: DataFrame, asked: DataFrame, store: Blocks, digits: int) -> DataFrame:
-    """query, doc and bm25 of the found (query, doc), from the docs' own terms."""
-    words = asked.groupBy("query").agg(F.collect_set("term").alias("asked"))
-    own = F.filter(F.arrays_zip("words", "impacts"), lambda x: F.array_contains("asked", x["words"]))
-    hits = found.join(words, "query").join(store.docs, "doc").select("query", "doc", F.explode(own).alias("x")).select("query", "doc", F.col("x.words").alias("term"), F.col("x.impacts").alias("impact"))
-    return hits.join(asked.select("query", "term", "weight"), ["query", "term"]).groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("impact")), digits).alias("bm25"))
+    """query, doc and bm25 of the found (query, doc), from the docs' own terms.
+
+    A doc that any query found shows its terms once, whatever the number of queries; these meet the asked terms, and a pair's sum is taken where
+    the doc is before it moves. That is never more than all scores of the found docs.
+    """
+    docs = store.docs.join(found.select("doc").distinct(), "doc", "left_semi")
+    own = docs.select("doc", F.explode(F.arrays_zip("words", "impacts")).alias("x")).select("doc", F.col("x.words").alias("term"), F.col("x.impacts").alias("impact"))
+    sums = own.join(asked.select("query", "term", "weight"), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("impact")), digits).alias("bm25"))
+    return sums.join(found, ["query", "doc"], "left_semi")
 
 
 def plan(store: Blocks, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +96,10 @@ def top(store: Blocks, terms: DataFrame, k: int, digits: int = 9, size: int = BL
     asked, levels = plan(store, terms)
     # a few rows of a large level do, a row more than needed since their sizes vary
     near = first_levels(levels, k).join(store.postings, ["term", "level"]).where(F.col("chunk") <= F.ceil(F.col("need") / size))
-    first = durable(_scored(near.select("query", F.explode("docs").alias("doc")).distinct(), asked, store, digits), "first")
+    near = durable(near.select("query", F.explode("docs").alias("doc")).distinct(), "near")
+    first = durable(_scored(near, asked, store, digits), "first")
     thresholds = first.withColumn("rank", best(group("query"), F.desc("bm25"), F.col("doc"))).where(F.col("rank") == k).select("query", F.col("bm25").alias("threshold"))
     opened = later_levels(levels, thresholds, digits).join(store.postings, ["term", "level"]).select("query", F.explode("docs").alias("doc")).distinct()
-    more = _scored(opened.join(first.select("query", "doc"), ["query", "doc"], "left_anti"), asked, store, digits)
+    opened = durable(opened.join(first.select("query", "doc"), ["query", "doc"], "left_anti"), "opened")
+    more = _scored(opened, asked, store, digits)
     return bm25.top(first.unionByName(more), k)

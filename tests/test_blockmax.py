@@ -44,3 +44,15 @@ def test_an_empty_corpus(spark):
     docs, asked = corpus(spark)
     store = blockmax.blocks(bm25.index(docs.where("false"), "doc", "text"))
     assert blockmax.top(store, bm25.query_terms(asked, "query", "text"), 3).isEmpty()
+
+
+def test_a_found_doc_shows_its_terms_once(spark):
+    """However many queries found a doc: no list of a query's terms is searched for each of a doc's."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 9))) for i in range(40)], "doc long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 2}") for q in range(12)], "query long, text string")
+    ix, terms = bm25.index(docs, "doc", "text"), bm25.query_terms(asked, "query", "text")
+    every = bm25.scores(ix, terms).select("query", "doc", F.round("bm25", 9).alias("bm25"))
+    some = every.where("(query + doc) % 3 = 0")
+    scored = blockmax._scored(some.select("query", "doc"), blockmax.plan(blockmax.blocks(ix), terms)[0], blockmax.blocks(ix), 9)
+    assert "array_contains" not in scored._jdf.queryExecution().toString()
+    assert {(r.query, r.doc): r.bm25 for r in scored.collect()} == pytest.approx({(r.query, r.doc): r.bm25 for r in some.collect()}, abs=2e-9)
