@@ -33,7 +33,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the runs of 50 repeated words, as the pipeline removes them, beside the strings of 400 bytes."""
     documents = table(spark, sf_dir, "documents")
-    of_bytes, of_words = suffixes.remove(documents), suffixes.remove(documents, suffixes.PASSAGE, suffixes.WORDS)
+    of_bytes, of_words = suffixes.remove(documents), suffixes.remove(documents, suffixes.PASSAGE, suffixes.WORDS, kept=False)
     return suffixes.digests(of_bytes, of_words)
 
 

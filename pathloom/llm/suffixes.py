@@ -60,7 +60,11 @@ _bytes = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np
 
 def refined(names: np.ndarray, later: int) -> np.ndarray:
     """Names of pairs: of each position and the one `later` bytes on."""
-    x = names[:-later] * _m1 + names[later:] * _m2
+    return paired(names[:-later], names[later:])
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _m1 + b * _m2
     return (x ^ (x >> _s29)) * _m3
 
 
@@ -119,7 +123,10 @@ class Names:
         return self.by_length[length]
 
     def one(self, start: np.ndarray, length: int) -> np.ndarray:
-        return self.of(length)[start]
+        """Names of the strings at some positions: only the lengths that are powers of two are named everywhere."""
+        half = 1 << (length - 1).bit_length() - 1 if length > 1 else 1
+        own = self.of(half)
+        return own[start] if half == length else paired(own[start], own[start + (length - half)])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -207,8 +214,8 @@ class Removal(NamedTuple):
 
 
 @compact
-def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_id: str = "doc_id", text: str = "text") -> Removal:
-    """What the strings of `length` symbols that start more than once leave of every document."""
+def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_id: str = "doc_id", text: str = "text", kept: bool = True) -> Removal:
+    """What the strings of `length` symbols that start more than once leave of every document. kept: whether the bytes that stay are asked for; else they are null."""
     bounded_batches(documents)
     # so many bytes have texts of `length` symbols at least
     least = 2 * length - 1 if unit.words else length
@@ -281,7 +288,7 @@ def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_i
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            cuts, kept = [], []
+            cuts, left = [], []
             for t, found in _grouped_rows(batch, "found"):
                 joined: list[list[int]] = []
                 for x in found:
@@ -294,12 +301,12 @@ def remove(documents: DataFrame, length: int = LENGTH, unit: Unit = BYTES, doc_i
                     joined = [[int(starts[a]), int(ends[b - 1])] for a, b in joined]
                 ends = [0, *(e for _, e in joined)]
                 cuts.append([{"a": a, "b": b} for a, b in joined])
-                kept.append(b"".join(t[e:a] for e, a in zip(ends, [*(a for a, _ in joined), len(t)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cuts, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], ["key", "spans", "kept"])
+                left.append(b"".join(t[e:a] for e, a in zip(ends, [*(a for a, _ in joined), len(t)], strict=True)) if kept else None)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cuts, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(left, pa.binary())], ["key", "spans", "kept"])
 
     part = candidates.where("copies = 1").select("id", "key", "t").join(spans, "id").select("key", "found", "t").mapInArrow(leave, "key binary, spans array<struct<a:bigint,b:bigint>>, kept binary")
     # a text that several rows have repeats as a whole
-    whole = once.where("copies > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"), F.lit(b"").alias("kept"))
+    whole = once.where("copies > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"), F.lit(b"" if kept else None).cast("binary").alias("kept"))
     return Removal(rows, part.unionByName(whole))
 
 

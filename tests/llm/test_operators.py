@@ -295,6 +295,22 @@ def test_repeated_passages_of_words_equal_brute_force(spark, length, q, cell):
     assert sum(w[0] > 0 for w in want) > 20 and [r.n_removed for r in got] == [r.passage_bytes for r in got]
 
 
+def test_names_at_a_few_positions_need_no_pass_over_the_text():
+    names = suffixes.Names(suffixes.symbols(bytes(np.random.default_rng(4).integers(97, 100, 900, dtype=np.uint8)), suffixes.BYTES))
+    for length in (1, 2, 3, 32, 33, 377, 400, 423, 512):
+        start = np.array([0, 5, 900 - length])
+        own = names.one(start, length)
+        assert length & (length - 1) == 0 or length not in names.by_length
+        assert (own == names.of(length)[start]).all()
+
+
+def test_passages_without_what_stays(spark):
+    rows = docs(spark, [(1, "a b c d e f x"), (2, "y a b c d e f"), (3, "p q r s"), (4, "t u v w t2 u2"), (5, "t u v w t2 u2")])
+    full, spans = (suffixes.remove(rows, 4, suffixes.Unit(True, 2, 2), kept=k).texts for k in (True, False))
+    assert sorted((r.key, r.spans) for r in spans.collect()) == sorted((r.key, r.spans) for r in full.collect())
+    assert spans.where("kept is not null").isEmpty() and full.where("kept is null").isEmpty()
+
+
 def test_repeats_odd_rows(spark, odd):
     got = suffixes.digests(suffixes.remove(odd, 10, suffixes.Unit(False, 4, 3))).toPandas()
     assert len(got) == 10 and (got[got["doc_id"] == 7]["n_removed"] == 19).all()
