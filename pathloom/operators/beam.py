@@ -2,7 +2,7 @@
 
 A frontier is a table (question, path, entity, score, ...). A step joins it with the
 edges, filters, scores and keeps the best few of each question; it knows neither gold
-answers nor gold paths. Depth is at most three, so the steps are unrolled into one plan.
+answers nor gold paths. Each depth's frontier is a table, so only the edges around it are moved.
 """
 
 from __future__ import annotations
@@ -24,14 +24,26 @@ Enough = Callable[[DataFrame], DataFrame]
 Ask = Callable[[DataFrame | None, int], DataFrame]
 
 
+def near(steps: DataFrame, at: DataFrame) -> DataFrame:
+    """The steps from the nodes of at(node). Where these are known to be few (a table), Spark takes them to the edges, so that only theirs are made distinct and get a type."""
+    return steps.join(at.select("node"), "node", "left_semi")
+
+
 def keep_if_any(candidates: DataFrame, fits: Column, *by: str) -> DataFrame:
     """The candidates that fit; all of a group of which none does."""
     return candidates.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_any", F.max("_fits").over(group(*by))).where("_fits or not _any").drop("_fits", "_any")
 
 
 def leading_on(candidates: DataFrame, relations: DataFrame, wanted: str, *by: str) -> DataFrame:
-    """The candidates that have the relation of column `wanted`; all of a group of which none has. relations: node, relation."""
-    have = relations.select(F.col("node").alias("entity"), F.col("relation").alias(wanted), F.lit(True).alias("_has")).distinct()
+    """The candidates that have the relation of column `wanted`; all of a group of which none has. relations: node, relation.
+
+    Only the relations asked for are looked up, and only at candidates; their names are a handful of a schema's.
+    """
+    asked = candidates.where(F.col(wanted).isNotNull())
+    names = F.broadcast(asked.select(F.col(wanted).alias("relation")).distinct())
+    pairs = asked.select(F.col("entity").alias("node"), F.col(wanted).alias("relation"))
+    found = relations.join(names, "relation", "left_semi").join(pairs.select("node"), "node", "left_semi").join(pairs, ["node", "relation"], "left_semi")
+    have = found.select(F.col("node").alias("entity"), F.col("relation").alias(wanted), F.lit(True).alias("_has")).distinct()
     return keep_if_any(candidates.join(have, ["entity", wanted], "left"), F.col("_has"), *by).drop("_has")
 
 
@@ -114,27 +126,29 @@ def run_pattern(questions: DataFrame, steps: DataFrame, relations: DataFrame, sc
     free: scores relations(question, relation) of the paths whose frontier lacks the pattern's relation; the best are followed
     instead, to any type. Without it such a path ends. ask: the question as put at a depth, see Ask.
     """
-    asked = questions.select(F.concat_ws("#", "question", "path").alias("q"), "topic", "types", "relations")
+    # tables tell Spark that frontiers are small, see near()
+    asked = durable(questions.select(F.concat_ws("#", "question", "path").alias("q"), "topic", "types", "relations"), "asked")
     frontier = asked.select("q", F.col("topic").alias("node"), F.lit(1.0).alias("parent_score"))
     out = None
     for i in range(depth):
         goal = asked.where(F.size("relations") > i).select("q", F.get("relations", F.lit(i)).alias("relation"), F.get("types", F.lit(i + 1)).alias("wanted_type"), F.get("relations", F.lit(i + 1)).alias("next"))
-        onward = frontier.join(goal, "q").join(steps, ["node", "relation"])
+        aimed = durable(frontier.join(goal, "q"), "aimed")
+        onward = aimed.join(near(steps, aimed), ["node", "relation"])
         if free is not None:
-            lost = frontier.join(goal, "q").join(onward.select("q").distinct(), "q", "left_anti").drop("relation").join(steps, "node")
+            onward = durable(onward, "onward")
+            lost = aimed.join(onward.select("q").distinct(), "q", "left_anti").drop("relation")
+            lost = durable(lost.join(near(steps, durable(lost, "lost")), "node"), "around")
             chosen = relation_choice(free(lost.select(F.col("q").alias("question"), "relation").distinct()), width).select(F.col("question").alias("q"), "relation")
             onward = onward.unionByName(lost.join(chosen, ["q", "relation"]).withColumn("wanted_type", F.col("other_type")))
         found = onward.select("q", F.col("node").alias("parent"), "relation", "wanted_type", "next", F.col("other").alias("entity"), "other_type")
-        found = keep_if_any(found, F.col("other_type") == F.col("wanted_type"), "q", "parent")
+        found = durable(keep_if_any(found, F.col("other_type") == F.col("wanted_type"), "q", "parent"), "found")
         found = leading_on(found, relations, "next", "q", "parent")
         # one row for an entity that several parents reach: the first
         once = found.groupBy("q", "relation", "entity").agg(F.min("parent").alias("parent"))
         once = once.withColumnRenamed("q", "question")
         scored = grouped_scores(score(once if ask is None else once.join(ask(out, i + 1), "question", "left")).withColumn("relation_score", F.lit(1.0)))
         kept = prune(scored.withColumn("ord", F.col("entity")), width)
-        block = kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score")
-        if free is not None or ask is not None:  # what is read several times, and what a model was asked, is made once
-            block = durable(block, "kept")
+        block = durable(kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score"), "kept")
         out = block if out is None else out.unionByName(block)
         frontier = block.select(F.col("question").alias("q"), F.col("entity").alias("node"), F.col("score").alias("parent_score"))
     split = F.split("question", "#")
@@ -147,22 +161,20 @@ def explore(questions: DataFrame, steps: DataFrame, relation_score: Scorer, scor
     At each depth the frontier's relations but those that led to it are scored and the best chosen, their neighbours scored and pruned.
     enough: the questions that the triples so far suffice for; they go no deeper.
     """
-    frontier = questions.select("question", F.col("topic").alias("node"))
+    frontier = durable(questions.select("question", F.col("topic").alias("node")), "frontier")
     came_by = questions.select("question", F.lit(None).cast("string").alias("relation")).where("1 = 0")
     out = None
     for i in range(depth):
-        around = frontier.join(steps, "node")
+        around = durable(frontier.join(near(steps, frontier), "node").select("question", "node", "relation", "other"), "around")
         open_ = without_explored(around.select("question", "relation").distinct(), came_by)
         chosen = relation_choice(relation_score(open_), width).select("question", "relation", F.col("score").alias("relation_score"))
         found = around.join(chosen, ["question", "relation"]).groupBy("question", "relation", "relation_score", F.col("other").alias("entity")).agg(F.min("node").alias("parent"))
         kept = prune(grouped_scores(score(found)).withColumn("ord", F.col("entity")), width)
-        block = kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score")
+        block = durable(kept.select("question", F.lit(i + 1).alias("depth"), F.col("parent").alias("source"), "relation", "entity", "score"), "kept")
         out = block if out is None else out.unionByName(block)
         frontier, came_by = block.select("question", F.col("entity").alias("node")).distinct(), block.select("question", "relation").distinct()
         if enough is not None and i + 1 < depth:
-            # what a model is asked is asked once, and what it is asked about is not made again for the next depth
-            out = durable(out, "explored")
-            frontier = frontier.join(durable(enough(out), "enough"), "question", "left_anti")
+            frontier = frontier.join(durable(enough(out), "enough"), "question", "left_anti")  # what a model is asked is asked once
     return out
 
 

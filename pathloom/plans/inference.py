@@ -72,7 +72,7 @@ def run(tests: DataFrame, trains: DataFrame, bank: DataFrame, nodes: DataFrame,
     score = score or generate.entity_scorer(texts, nodes, factory, config.description, config.seed)
     relation_score = relation_score or generate.relation_scorer(texts, factory)
     ask = generate.subquestions(durable(paths, "paths"), nodes, factory) if config.subqueries else None
-    guided = durable(beam.run_pattern(chosen, steps, steps.select("node", "relation").distinct(), score, config.width, config.depth, relation_score, ask), "guided")
+    guided = durable(beam.run_pattern(chosen, steps, steps.select("node", "relation"), score, config.width, config.depth, relation_score, ask), "guided")
     won = durable(beam.succeeded(guided, chosen), "won")
     counts = won.groupBy("question").agg(F.count("*").alias("paths_used"), F.count_if("success").alias("paths_success"))
 
