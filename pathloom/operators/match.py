@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import best, group
+from ..sources.durable import durable
 
 CAPS = {1: 2, 2: 4, 3: 8}
 
 
 def patterns_of(matched: DataFrame, bank: DataFrame, hops: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """test, hop, types, relations and n (how often) of the banked paths of the matched questions. matched: test, data_id, answer_type (null: any)."""
-    paths = bank.where(F.col("hop").isin(*hops))
+    """test, hop, types, relations and n (how often) of the banked paths of the matched questions. matched: test, data_id, answer_type (null: any).
+
+    The matches are a table, so that Spark knows when they are few and takes them to what the bank is made of.
+    """
+    matched = durable(matched, "matched")
+    paths = bank.where(F.col("hop").isin(*hops)).join(matched.select("data_id"), "data_id", "left_semi")
     joined = matched.join(paths, "data_id").where("answer_type is null or element_at(types, -1) = answer_type")
     return joined.groupBy("test", "hop", "types", "relations").agg(F.count("*").alias("n"))
 

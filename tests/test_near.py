@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import beam
+from pathloom.operators import beam, match
 from pathloom.plans.setting import Graph
 from pathloom.sources.durable import durable
 
@@ -38,3 +38,16 @@ def test_leading_on_with_repeated_relations(spark):
     candidates = spark.createDataFrame([("q", 1, "a"), ("q", 2, "a"), ("p", 3, None)], "q string, entity long, next string")
     relations = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "a")], "node long, relation string")
     assert sorted(tuple(r) for r in beam.leading_on(candidates, relations, "next", "q").select("q", "entity").collect()) == [("p", 3), ("q", 1)]
+
+
+def test_matches_reach_what_the_bank_is_made_of(spark):
+    """The bank's joins are of the matched questions' rows only, and the counts are those of all."""
+    orders = durable(spark.range(100).select("id", (F.col("id") % 5).alias("data_id")), "orders")
+    lines = durable(spark.range(300).select((F.col("id") % 100).alias("id"), F.array(F.lit("a"), F.lit("b")).alias("types"), F.array(F.lit("r")).alias("relations"), F.lit(1).alias("hop")), "lines")
+    bank = orders.join(lines, "id").select("data_id", "hop", "types", "relations")
+    matched = spark.createDataFrame([(1, 3, None)], "test int, data_id long, answer_type string")
+    found = match.patterns_of(matched, bank)
+    lines_ = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = next(i for i, line in enumerate(lines_) if "LeftSemi" in line)
+    assert sum("Join Inner" in line for line in lines_[:semi]) == 2  # below the meeting with the matches and the bank's own join
+    assert [r.n for r in found.collect()] == [60]
