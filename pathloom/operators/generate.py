@@ -152,12 +152,16 @@ def effective_query(query: Column, sub: Column) -> Column:
 
 def entity_shares(response: Column, dense: Column) -> Column:
     """A response's scores as shares; the dense scores where the response is uniform, as it is if it can't be read."""
-    n = F.size(dense)
-    scores = T.score_list(response, n)
-    uniform = F.forall(scores, lambda s: F.abs(s - F.lit(1.0) / n) < 1e-6)
-    total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
-    shares = F.when(total > 0, F.transform(scores, lambda s: s / total)).otherwise(F.array_repeat(F.lit(1.0) / n, n))
-    return F.when(uniform, dense).otherwise(shares)
+    scores = T.score_list(response, F.size(dense))
+    read = F.struct(scores.alias("scores"), F.aggregate(scores, F.lit(0.0), lambda a, s: a + s).alias("total"), F.size(dense).alias("n"))
+
+    def shares(r: Column) -> Column:
+        even = F.lit(1.0) / r["n"]
+        uniform = F.forall(r["scores"], lambda s: F.abs(s - even) < 1e-6)
+        return F.when(uniform, dense).when(r["total"] > 0, F.transform(r["scores"], lambda s: s / r["total"])).otherwise(F.array_repeat(even, r["n"]))
+
+    # bound as a variable, the response is read once; in a lambda over the scores it would be for each of them
+    return F.get(F.transform(F.array(read), shares), F.lit(0))
 
 
 def chosen_hop(response: Column, available: Column, commonest: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import beam, bm25, corridor, deviations, evaluate, linking, match, metapath, pairs, paths, ppr, push, weights
-from pathloom.plans import inference, pathbank
+from pathloom.plans import catalogue, inference, pathbank
 from pathloom.sources import jsonl, kg, schemas
 from pathloom.streaming import results as streaming
 
@@ -502,3 +502,9 @@ def test_store_knows_how_its_neighbours_lie(spark, tmp_path):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.sql(f"DROP TABLE {store._table()}")  # as a session that has not written it
     assert store.complete("neighbours")
+
+
+@pytest.mark.parametrize("name", ["generated_scores", "beam_first_source"])
+def test_steps_along_a_relation_read_no_other(spark, name):
+    read = {f.split("/")[-1] for f in catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()}
+    assert read.isdisjoint({"customer.parquet", "part.parquet", "lineitem.parquet" if name == "generated_scores" else "nation.parquet"})

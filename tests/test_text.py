@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,13 @@ def test_generation_retries_and_falls_back(spark, monkeypatch):
     assert got["b"].results_original == "unsure" and got["b"].cot_fallback_used
     assert one(spark, generate.entity_shares(F.lit("0.2, 0.6"), F.array(F.lit(0.9), F.lit(0.1)))) == pytest.approx([0.25, 0.75])
     assert one(spark, generate.entity_shares(F.lit("nothing"), F.array(F.lit(0.9), F.lit(0.1)))) == [0.9, 0.1]
+
+
+def test_the_shares_of_a_long_response_are_read_once(spark):
+    n = 12_000
+    response = ", ".join(f"0.{i % 7 + 1}" for i in range(n))
+    start = time.monotonic()
+    shares = one(spark, generate.entity_shares(F.lit(response), F.array_repeat(F.lit(1.0) / n, n)))
+    total = sum((i % 7 + 1) / 10 for i in range(n))
+    assert shares == pytest.approx([(i % 7 + 1) / 10 / total for i in range(n)])
+    assert time.monotonic() - start < 15  # read again for each score: about n * n numbers
