@@ -508,3 +508,23 @@ def test_store_knows_how_its_neighbours_lie(spark, tmp_path):
 def test_steps_along_a_relation_read_no_other(spark, name):
     read = {f.split("/")[-1] for f in catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()}
     assert read.isdisjoint({"customer.parquet", "part.parquet", "lineitem.parquet" if name == "generated_scores" else "nation.parquet"})
+
+
+def test_types_of_first_neighbours(spark):
+    """Groups of few neighbours, of many of one type, and of many of several types, with edges that repeat."""
+    types = {n: "abc"[n % 3] for n in range(200)} | {n: "d" for n in range(200, 300)}
+    edges = [(1000, n, 0) for n in range(200, 300)] + [(1001, n, 0) for n in (7, 3, 250)] + [(1002, n, 0) for n in range(150, 300)] * 2 + [(1002, 5, 1), (1003, 1003, 0)] + [(1003, n, 0) for n in range(0, 30, 3)] * 9 + [(1004, 999, 0)]
+    types |= {n: "hub" for n in range(1000, 1005)}  # 999 is no node
+    nodes = spark.createDataFrame(list(types.items()), "node_id long, type string")
+    relations = kg.relations(spark, [("near", "a"), ("far", "b")])
+    for most in (3, 50):
+        around = {}
+        for u, v, r in edges:
+            for node, other in {(u, v), (v, u)}:
+                if other in types:
+                    around.setdefault((node, ("near", "far")[r]), set()).add(other)
+        want = {k: sorted({types[o] for o in sorted(own)[:most]}) for k, own in around.items()}
+        raw = spark.createDataFrame(edges, "src long, dst long, rel_id int")
+        got = kg.relation_target_types(kg.both_ways(kg.undirected(raw)), nodes, relations, most)
+        rows = [((r.node, r.relation), list(r.types)) for r in got.collect()]
+        assert len(rows) == len(want) and dict(rows) == want
