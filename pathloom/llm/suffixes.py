@@ -128,13 +128,26 @@ class Names:
         own = self.of(half)
         return own[start] if half == length else paired(own[start], own[start + (length - half)])
 
-
-def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    def each(self, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """As one(), of a length of its own at each position; those between the same powers of two are named at once."""
+        halves = [1 << (int(n) - 1).bit_length() - 1 if n > 1 else 1 for n in ((lengths.min(), lengths.max()) if len(lengths) else ())]
+        if len(set(halves)) == 1 and halves[0] < lengths.min():
+            own = self.of(halves[0])
+            return paired(own[start], own[start + (lengths - halves[0])])
+        out = np.empty(len(start), np.uint64)
+        for length in np.unique(lengths):
+            at = lengths == length
+            out[at] = self.one(start[at], int(length))
+        return out
+
+
+def sliding(of: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least (np.minimum) or greatest (np.maximum) of each `width` in a row."""
     h = 1
     while 2 * h <= width:
-        x = np.minimum(x[:-h], x[h:])
+        x = of(x[:-h], x[h:])
         h *= 2
-    return np.minimum(x[: len(x) - (width - h)], x[width - h :]) if h < width else x
+    return of(x[: len(x) - (width - h)], x[width - h :]) if h < width else x
 
 
 def filed(names: Names, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,12 +159,12 @@ def filed(names: Names, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np
     if len(names.by_length[1]) < length:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     own, width = names.of(q), length - q + 1
-    least = sliding_least(own, width)
+    least = sliding(np.minimum, own, width)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     end, bucket = np.append(first[1:], len(least)), least[first]
     # a place is least in some window if the greatest least of the windows that hold it is its own name
     none = np.zeros(width - 1, np.uint64)
-    greatest = ~sliding_least(~np.concatenate([none, least, none]), width)
+    greatest = sliding(np.maximum, np.concatenate([none, least, none]), width)
     place = np.flatnonzero(own == greatest)
     if len(place) == len(first):
         return first, end, bucket, place
@@ -189,11 +202,7 @@ def cells(names: Names, first: np.ndarray, end: np.ndarray, bucket: np.ndarray,
     start, last = np.maximum(from_, first[run]), np.minimum(to, end[run] - 1)
     # what all windows of the whole cell have in common; every window of it holds that, so it lies in the text
     core = _keys(b, 0, nth, nth, names.one(to, length - width + 1))
-    hull = np.empty(len(run), np.int64)
-    spans = last - start
-    for span in np.unique(spans):
-        at = spans == span
-        hull[at] = _keys(b[at], 1, start[at] - p[at], last[at] - p[at], names.one(start[at], length + int(span)))
+    hull = _keys(b, 1, start - p, last - p, names.each(start, length + last - start))
     return {"start": start, "last": last, "core": core, "hull": hull}
 
 

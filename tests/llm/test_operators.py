@@ -703,3 +703,19 @@ def test_warc_round_trip(spark, monkeypatch):
     named = spark.createDataFrame([("a b\n%é", "u", "x"), ("z", "u", "x"), (None, "u", "x")], "page_id string, url string, html string")
     assert {(r.page_id, r.record_type, r.refers_to) for r in warc.read(warc.write(named), "string").collect()} == {("z", "response", None), ("a b\n%é", "revisit", "z"), (None, "revisit", "z")}
     assert warc.read(warc.write(df.limit(0))).count() == 0
+
+
+def test_names_of_hulls_are_made_at_once(monkeypatch):
+    """Hulls of any number of windows take no pass each over the text's cells."""
+    rng = np.random.default_rng(4)
+    calls = []
+    one = suffixes.Names.one
+    monkeypatch.setattr(suffixes.Names, "one", lambda self, start, length: calls.append(length) or one(self, start, length))
+    for unit, length in ((suffixes.BYTES, suffixes.LENGTH), (suffixes.WORDS, suffixes.PASSAGE)):
+        names = suffixes.Names(rng.integers(1, 2**63, 3000, dtype=np.uint64))
+        found = suffixes.cells(names, *suffixes.filed(names, length, unit.q), length, unit.cell)
+        assert len(set((found["last"] - found["start"]).tolist())) > 2
+        assert len(calls) <= 1
+        calls.clear()
+    start, lengths = np.arange(40), np.arange(1, 41)
+    assert names.each(start, lengths).tolist() == [int(one(names, start[i : i + 1], int(n))[0]) for i, n in enumerate(lengths)]
