@@ -40,3 +40,24 @@ def test_what_moves_is_nodes_and_not_edges(spark):
     ones = F.unhex(F.expr(f"repeat('000000000000F03F', {n // 2})"))  # 1.0, as many as a stripe has nodes
     x = stripes.join(grid.nodes.select("stripe", (F.length("nodes") / 8).alias("n")), "stripe").where(F.col("n") == n // 2).select("block", "stripe", "lane", "q", ones.alias("data"))
     assert x.count() == 4 and grid.times(x).count() == 2 * 4
+
+
+def test_what_a_task_holds_is_bounded(spark):
+    """A few edges for each of a thousand nodes: stripes are cut by nodes, cells of many edges are slices, runs of a question lie together; repeated edges are one, and ranks are those of pushing."""
+    from pathloom.sources import kg
+
+    n = 1000
+    raw = spark.range(n).select("id", F.explode(F.array(F.lit(1), F.lit(7), F.lit(7), F.lit(400))).alias("by")).select(F.col("id").alias("src"), ((F.col("id") + F.col("by")) % n).alias("dst"), (F.col("by") % 3).cast("int").alias("rel_id"))
+    by = weighed(np.random.default_rng(7), spark, tiny=True)[1]
+    edges, linked = kg.undirected(raw), spread.links(kg.undirected(raw))
+    assert linked.pairs.count() == kg.canonical(raw).select("u", "v").distinct().count() < edges.count()
+    stripes = spread.Stripes(linked, nodes=100)
+    assert 10 <= stripes.nodes.count() <= 24 and stripes.most <= 110
+    seeds = spark.createDataFrame([(f"{end}{q}", q, q * 7 + i, 1.0) for q in (1, 2) for i, end in enumerate("ta")], "run string, query long, node long, reset double")
+    runs = spread.dealt(seeds, spread.VALUES // 2)
+    assert [r.n for r in runs.groupBy("block").agg(F.count_distinct("query").alias("n")).collect()] == [1, 1]
+    grid = spread.Grid(runs, linked, by, edges=60, part=10, stripes=stripes)
+    assert grid.touched.select("slice").distinct().count() > 1
+    got = _ranks(spread.rank(seeds, linked, by, runs, 0.15, 3, edges=60, part=10))
+    want = _ranks(push.Push(seeds, push.adjacency(kg.canonical(raw)), by, residual=1e-2).ranks())
+    assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), rel=1e-9)
